@@ -86,6 +86,16 @@ def blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFr
     return bucketed(docs.mapInArrow(cut, schema), "block", name)
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as (doc_id, text, rest): whatever else it has, by whatever names, lies in one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", *([F.struct(*others).alias("rest")] if others else []))
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    return rows.select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in columns])
+
+
 def texts(column) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):

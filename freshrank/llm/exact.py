@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, partitions, staged, texts
+from .common import blocks, packed, partitions, staged, texts
 
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
@@ -52,7 +52,7 @@ def _by_owner(hashes: np.ndarray, bits: int):
 def exact_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text, ...) -> (rows, decisions).
 
-    rows: docs with (block, row). decisions, one for each of them: doc_id, keep_id, group_size, kept, text_sha256, block, row.
+    rows: docs as packed, with (block, row). decisions, one for each of them: doc_id, keep_id, group_size, kept, text_sha256, block, row.
     Texts are equal when their UTF-8 bytes without ASCII white space are; null counts as empty. Of a group the row with the most
     code points stays, then the smallest doc_id (null last), then the first of repeated rows: exactly one row.
 
@@ -62,7 +62,7 @@ def exact_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     of a task become one row before the shuffle, so a group of any size sends one row a task.
     """
     spark = docs.sparkSession
-    rows = blocks(docs, "exact_rows")
+    rows = blocks(packed(docs), "exact_rows")
     bits = max(1, (partitions(spark) - 1).bit_length())
 
     def send(table: pa.Table) -> pa.Table:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, url_filter
+from . import ann, exact, lines, mixing, packing, repeats, simhash, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,9 +30,26 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(docs)[1].select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(_table(spark, sf_dir, "documents"))
+
+
+def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.strip_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_windows, op3_exact_dedup, op9_url_filter)}
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_windows, op3_exact_dedup, op4_simhash_near_dedup, op6_vector_search,
+                                 op7_repeated_passages, op9_url_filter, op10_line_dedup)}
 ORACLES = {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact.SQL, "op9_url_filter": url_filter.SQL}
