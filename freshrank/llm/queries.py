@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, lines, mixing, packing, repeats, simhash, url_filter
+from . import ann, exact, lines, lm, mixing, packing, repeats, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op6_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"))
 
@@ -42,6 +46,10 @@ def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.strip_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"))
 
@@ -50,6 +58,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_windows, op3_exact_dedup, op4_simhash_near_dedup, op6_vector_search,
-                                 op7_repeated_passages, op9_url_filter, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_windows, op3_exact_dedup, op4_simhash_near_dedup, op5_lm_scores,
+                                 op6_vector_search, op7_repeated_passages, op8_toxicity, op9_url_filter, op10_line_dedup)}
 ORACLES = {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact.SQL, "op9_url_filter": url_filter.SQL}
