@@ -89,7 +89,7 @@ class Automaton:
         return np.log10(p), base, c[0]
 
 
-def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, order: int = 2, k: float = 20.0) -> DataFrame:
+def lm_scores(docs: DataFrame, folds: int = 5, held: int = 1, order: int = 2, k: float = 500.0) -> DataFrame:
     """docs (doc_id, text) -> doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Texts whose crc32(doc_id as text) is not `held` modulo `folds` train the model (null doc_id: as an empty text). Null text: only its
