@@ -54,7 +54,7 @@ def line_dedup(docs: DataFrame, reach: int = REACH, mean: int = MEAN) -> DataFra
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(arrow)], names=names)
 
     found = staged(rows.mapInArrow(scan, schema), "lines_chunks")
-    again = found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
+    again = staged(found.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2"), "lines_again")  # apart, so that a skewed join can split a hot chunk
     hits = staged(found.join(again, ["h1", "h2"]), "lines_hits")
 
     def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
@@ -71,7 +71,7 @@ def line_dedup(docs: DataFrame, reach: int = REACH, mean: int = MEAN) -> DataFra
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "block", "row", "line")).alias("first")
     same = bodies.groupBy("h1", "h2", "body").agg(F.count("*").alias("times"), first).drop("body")
     kept = same.groupBy("h1", "h2").agg(F.count("*").alias("contents"), F.min("first").alias("first")).where("contents = 1").select("h1", "h2", "first")
-    gone = hits.join(kept, ["h1", "h2"]).where(
+    gone = hits.join(staged(kept, "lines_kept"), ["h1", "h2"]).where(
         (F.col("block") != F.col("first.block")) | (F.col("row") != F.col("first.row")) | (F.col("line") != F.col("first.line"))).select("block", "row", "line", "n")
 
     def remove(table: pa.Table, covers: pa.Table) -> pa.Table:
