@@ -80,11 +80,13 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each row as often as it is taken whole, then the first words of what is taken in part.
 
-    Needs (doc_id, text) to tell its rows apart. A document of no words, which costs nothing, comes once.
+    Repeated rows are numbered and matched one to one. A document of no words, which costs nothing, comes once.
     """
-    plan = mix(docs, **options).select(
-        F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
-    took = docs.withColumn("_h", F.xxhash64("text")).join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")))
+    plan = mix(docs, **options).withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "text_hash", "source").orderBy(F.desc("part")))).select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_nth", F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
+    mine = docs.withColumn("_h", F.xxhash64("text"))
+    mine = mine.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_h", "source").orderBy("_h")))
+    took = mine.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash")) & (F.col("_n") == F.col("_nth")))
     copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + (F.col("_part") == F.col("_size")).cast("long"))
     copies = F.transform(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.col("text"))
     cut = F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")),

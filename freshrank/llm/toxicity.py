@@ -197,15 +197,17 @@ class Coder:
         return [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in split]
 
 
-def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, seed: int = 5) -> Net | None:
+def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 200, seed: int = 5) -> Net | None:
     """A net for whole texts and their labels; None where there are not both labels.
 
     A text is as toxic as its worst window. The word vectors' first component begins as the word's log odds among the labels. Then
-    rounds step on the worst window of each text, with toxic ones weighted to a fourth of all; every second round finds it anew.
+    rounds step on the worst window of each text, with toxic ones weighted to a fourth of all; every second round finds it anew. There are
+    at least `rounds` rounds and as many more as a small sample needs for `steps` steps.
     """
     if not 0 < labels.sum() < len(labels):
         return None
     net = Net()
+    rounds = max(rounds, -(-steps * 128 // len(data)))
     split = [[clean(w) for w in x.lower().split()] for x in data]
     odds = np.zeros((2, WORDS))
     for ws, y in zip(split, labels.tolist(), strict=True):
@@ -233,7 +235,7 @@ def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, seed: int = 5)
         for a in range(0, len(order), 128):
             some = order[a:a + 128]
             used, local = np.unique(idx[worst[some]], return_inverse=True)
-            net.step(words[used].tolist(), local.reshape(len(some), -1), mask[worst[some]], labels[some].astype(np.float32), weight[some].astype(np.float32), 0.01 if turn < 4 else 0.003, moments)
+            net.step(words[used].tolist(), local.reshape(len(some), -1), mask[worst[some]], labels[some].astype(np.float32), weight[some].astype(np.float32), 0.01 if 3 * turn < 2 * rounds else 0.003, moments)
     return net
 
 
