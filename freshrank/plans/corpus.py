@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 
 def token_labels(text: Column) -> Column:
@@ -34,7 +35,7 @@ def _terms(tree: ast.AST) -> list[str]:
 _BROKEN = (SyntaxError, RecursionError, ValueError, MemoryError)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def code_labels(source: pd.Series) -> pd.Series:
     """The label set of a piece of code; null where it can't be parsed."""
 

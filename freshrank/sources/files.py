@@ -30,7 +30,7 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def last_match_per_file(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     """(path, found): the last match's first group in each text file; null where there is none."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     hits = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
     return raw.select("path", F.when(F.size(hits) > 0, F.element_at(hits, -1)).alias("found"))
 
