@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from itertools import combinations
+from math import acos, ceil, floor, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -11,25 +12,33 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, staged, texts
+from .common import components, packed, staged, texts, unpacked
 
 LEAF, FAN = 16, 8
 #: Fingerprints that one group should hold, and beyond which a group is dealt out in pairs of parts.
 GROUP, MOST = 4096, 16384
+#: Of wide fingerprints: 64-bit words, what a group should hold at best and at most, the recall of a pair that is just near enough.
+WORDS, WIDE_GROUP, WIDE_MOST, RECALL = 8, 256, 4096, 0.98
 
 
-def fingerprint(text: bytes, width: int = 4) -> int:
-    """Of the lower-cased (A-Z) words' shingles: a bit is set if it is in over half of their XXH64 (seed 42). No words: 0."""
+def shingle_hashes(text: bytes, width: int) -> np.ndarray:
+    """XXH64 (seed 42) of the shingles of the lower-cased (A-Z) words, repeats included; of fewer words, of all as one."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, "<u8")
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     last = max(1, len(words) - width + 1)
     h = xxhash.xxh64_intdigest
     spans = zip(starts[:last].tolist(), ends[width - 1:].tolist() if len(words) >= width else [len(line)], strict=True)
-    hashes = np.array([h(line[a:b], 42) for a, b in spans], "<u8")
+    return np.array([h(line[a:b], 42) for a, b in spans], "<u8")
+
+
+def fingerprint(text: bytes, width: int = 4) -> int:
+    """A bit is set if it is in over half of the shingles' hashes. No words: 0."""
+    hashes = shingle_hashes(text, width)
+    last = len(hashes)
     votes = np.zeros(64, np.int64)
     for at in range(0, last, 1 << 16):
         part = hashes[at:at + (1 << 16)]
@@ -37,6 +46,20 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0])
 
 
+def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
+    """As fingerprint, but WORDS times as long and of the distinct shingles, so that the share of bits in which two differ tells their similarity."""
+    hashes = np.unique(shingle_hashes(text, width))
+    votes = np.zeros(64 * WORDS, np.int64)
+    step = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, len(hashes), 255):  # the most that 8-bit sums can hold
+        x = hashes[at:at + 255, None] + step
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        votes += np.add.reduce(np.unpackbits(x.astype("<u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+    return np.packbits(votes * 2 > len(hashes)).tobytes()
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (long, the bits as they are). Null text: as an empty one."""
 
@@ -71,8 +94,13 @@ def _union(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
+def _ones(x: np.ndarray) -> np.ndarray:
+    count = np.bitwise_count(x)
+    return count if count.ndim == 1 else count.sum(axis=1, dtype=np.int64)
+
+
 def linked(fps: np.ndarray, most: int = 4, budget: int = 1 << 21) -> np.ndarray:
-    """Distinct fingerprints (uint64) -> for each the least index of its class; classes link fingerprints that differ in at most `most` bits.
+    """Distinct fingerprints (uint64, or a row of them each) -> for each the least index of its class; classes link fingerprints that differ in at most `most` bits.
 
     Sorted by Gray rank, runs of LEAF fingerprints are leaves and runs of FAN nodes upper nodes. A node holds the
     bits that all below it share and their pattern. Pairs of nodes go from the root down; a pair whose shared bits differ too often
@@ -80,20 +108,21 @@ def linked(fps: np.ndarray, most: int = 4, budget: int = 1 << 21) -> np.ndarray:
     whose members are all in one class needs no look. budget bounds the pairs that are held at once.
     """
     n = len(fps)
-    order = np.argsort(gray_rank(fps), kind="stable")
+    order = np.argsort(gray_rank(fps), kind="stable") if fps.ndim == 1 else np.lexsort(gray_rank(fps).T[::-1])
+    budget //= fps.size // n if n else 1
     v = fps[order]
     labels = np.arange(n)
-    near = np.flatnonzero(np.bitwise_count(v[1:] ^ v[:-1]) <= most)
+    near = np.flatnonzero(_ones(v[1:] ^ v[:-1]) <= most)
     labels = _union(labels, near, near + 1)
     levels = []  # from the leaves up: start of each node's members, shared bits, their pattern
     starts = np.arange(0, n, LEAF)
-    ands, ors = np.bitwise_and.reduceat(v, starts), np.bitwise_or.reduceat(v, starts)
+    ands, ors = np.bitwise_and.reduceat(v, starts, axis=0), np.bitwise_or.reduceat(v, starts, axis=0)
     while True:
         levels.append((starts, ands | ~ors, ands))
         if len(starts) == 1:
             break
         at = np.arange(0, len(starts), FAN)
-        starts, ands, ors = starts[at], np.bitwise_and.reduceat(ands, at), np.bitwise_or.reduceat(ors, at)
+        starts, ands, ors = starts[at], np.bitwise_and.reduceat(ands, at, axis=0), np.bitwise_or.reduceat(ors, at, axis=0)
     stack = [(len(levels) - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))]
     while stack:
         level, a, b = stack.pop()
@@ -104,9 +133,9 @@ def linked(fps: np.ndarray, most: int = 4, budget: int = 1 << 21) -> np.ndarray:
         starts, mask, bits = levels[level]
         ends = np.append(starts[1:], n)
         both = mask[a] & mask[b]
-        apart = np.bitwise_count((bits[a] ^ bits[b]) & both)
+        apart = _ones((bits[a] ^ bits[b]) & both)
         keep = apart <= most
-        sure = keep & (apart + np.bitwise_count(~both) <= most)
+        sure = keep & (apart + _ones(~both) <= most)
         if sure.any():
             labels = _union(labels, starts[a[sure]], starts[b[sure]])
             for x in np.unique(np.concatenate([a[sure], b[sure]])).tolist():  # their own members are as near
@@ -126,7 +155,7 @@ def linked(fps: np.ndarray, most: int = 4, budget: int = 1 << 21) -> np.ndarray:
             x, y = np.repeat(ia, LEAF, axis=1).ravel(), np.tile(ib, (1, LEAF)).ravel()
             ok = (x < y) & (y < n)
             x, y = x[ok], y[ok]
-            ok = np.bitwise_count(v[x] ^ v[y]) <= most
+            ok = _ones(v[x] ^ v[y]) <= most
             labels = _union(labels, x[ok], y[ok])
     out = np.empty(n, np.int64)
     least = np.full(n, n)
@@ -145,6 +174,15 @@ def _cuts(count: int, most: int) -> tuple[int, int]:
     return m, have
 
 
+def _dealt(keyed: DataFrame, most: int) -> DataFrame:
+    """keyed (fp, choice, key) -> the same with p: groups of one key over `most` rows are dealt out as pairs of parts."""
+    counts = keyed.groupBy("choice", "key").agg(F.ceil(F.count("*") / most).cast("int").alias("parts")).where("parts > 1")
+    keyed = keyed.join(counts, ["choice", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, own).alias("a"), F.greatest(i, own).alias("b")))
+    return keyed.select("fp", "choice", "key", F.explode(pairs).alias("p"))
+
+
 def near_links(fps: DataFrame, count: int, most: int = 4) -> DataFrame:
     """fps (fp, distinct) -> (src, dst), enough links between fingerprints of at most `most` differing bits to join all that any such links join.
 
@@ -162,11 +200,7 @@ def near_links(fps: DataFrame, count: int, most: int = 4) -> DataFrame:
         key = key.bitwiseAND(F.lit((1 << used) - 1))
         keys.append(F.struct(F.lit(i).alias("choice"), key.alias("key")))
     dealt = fps.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.choice", "k.key")
-    counts = dealt.groupBy("choice", "key").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts")).where("parts > 1")
-    dealt = dealt.join(counts, ["choice", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda i: F.struct(F.least(i, own).alias("a"), F.greatest(i, own).alias("b")))
-    dealt = dealt.select("fp", "choice", "key", F.explode(pairs).alias("p"))
+    dealt = _dealt(dealt, MOST)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         fp = pdf["fp"].to_numpy()
@@ -190,3 +224,64 @@ def near_dedup(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return base.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def far_share(similarity: float) -> float:
+    """The share of bits in which fingerprints differ in the mean, of sets of this Jaccard similarity: their angle over pi."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def wide_links(fps: DataFrame, count: int, similarity: float) -> DataFrame:
+    """fps (fp, distinct wide fingerprints) -> (src, dst), links between those whose differing bits tell a similarity of at least this.
+
+    A key is a few bits of the fingerprint, drawn once for each choice; there are as many bits as leave about WIDE_GROUP of count
+    in a group, and as many choices as give a pair that is just near enough one common key with probability RECALL. In a
+    group the index of linked() compares all; what it links is exact, and nearer pairs are missed much less.
+    """
+    same = 1 - far_share(similarity)
+    used = max(4, ceil(log2(max(1.0, count / WIDE_GROUP))))
+    choices = ceil(log(1 - RECALL) / log(1 - same ** used))
+    most = floor(far_share(similarity) * 64 * WORDS)
+    rng = np.random.default_rng(17)
+    picks = np.stack([rng.choice(64 * WORDS, used, replace=False) for _ in range(choices)])
+
+    def key(batches):
+        for batch in batches:
+            raw = batch.column("fp")
+            bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(raw), -1), axis=1)
+            keys = [(bits[:, pick].astype(np.int64) << np.arange(used)).sum(axis=1) for pick in picks]
+            for i, k in enumerate(keys):
+                yield pa.RecordBatch.from_arrays([raw, pa.array(np.full(len(raw), i, np.int32)), pa.array(k)], names=["fp", "choice", "key"])
+
+    keyed = staged(fps.select("fp").mapInArrow(key, "fp binary, choice int, key long"), "simhash_keyed")
+
+    def solve(table: pa.Table) -> pa.Table:
+        fp = table.column("fp").to_pylist()
+        root = linked(np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1), most)
+        far = np.flatnonzero(root != np.arange(len(fp))).tolist()
+        return pa.table({"src": pa.array([fp[i] for i in far], pa.binary()), "dst": pa.array([fp[root[i]] for i in far], pa.binary())})
+
+    return _dealt(keyed, WIDE_MOST).groupBy("choice", "key", "p").applyInArrow(solve, "src binary, dst binary").distinct()
+
+
+def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """docs (doc_id, text, ...) without all but one row of each group that near copies join: the one of the least doc_id (null last), then of the least text hash.
+
+    Near copies: similarity of their sets of shingles (five words), as told by fingerprints of 512 bits, at least 0.8. Texts without words
+    are copies of each other, null among them. Rows of one doc_id are judged one by one. No rows: no rows.
+    """
+    schema = packed(docs).schema.add("fp", "binary")
+
+    def run(batches):
+        for batch in batches:
+            fps = pa.array([wide_fingerprint(x, width) for x in texts(batch.column("text"))], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "fp"])
+
+    base = staged(packed(docs).mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()), "simhash_rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "id")).alias("first")
+    distinct = staged(base.groupBy("fp").agg(first), "simhash_distinct")
+    links = wide_links(distinct.select("fp"), distinct.count(), similarity)
+    roots = components(links, "simhash_rounds")
+    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
+    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
+    return unpacked(base.join(chosen, "id", "left_semi"), docs.columns)
