@@ -40,10 +40,9 @@ def changed_answers(exact: DataFrame, queries: DataFrame, cuts: DataFrame) -> Da
     return g.select("query_id", "cut_id", ((F.row_number().over(w) > 1) & ~F.col("a").eqNullSafe(F.lag("a").over(w))).alias("changed"))
 
 
-def nearest_rank(column: Column, p: float) -> Column:
+def nearest_rank(column: str, p: float) -> Column:
     """The element at ceil(p * n), at least the first."""
-    n = F.count(column)
-    return F.element_at(F.array_sort(F.collect_list(column)), F.greatest(F.lit(1), F.ceil(F.lit(p) * n)).cast("int"))
+    return F.expr(f"percentile_disc({p}) within group (order by {column})")
 
 
 def summarize(obs: DataFrame, keys: list[str]) -> DataFrame:
@@ -93,3 +92,99 @@ def work_census(initial: DataFrame, changes: DataFrame, label_counts: DataFrame)
     n = label_counts.select("body", "n")
     j = moved.join(n, "body", "left").join(n.select(F.col("body").alias("old"), F.col("n").alias("old_n")), "old", "left")
     return j.groupBy("shard").agg(F.count("*").alias("assignments"), F.sum(F.coalesce("n", F.lit(0)) + F.coalesce("old_n", F.lit(0))).alias("updates"))
+
+
+def policy_totals(obs: DataFrame, keys: list[str], state: str | None = None) -> DataFrame:
+    """Counts, and sums and means of bytes and messages; with a state column its greatest and its median."""
+    more = [F.max(state).alias("peak_state"), F.expr(f"median({state})").alias("median_state")] if state else []
+    return obs.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.count_if("exact").alias("exact"), (F.count("*") - F.count_if("claimed")).alias("not_complete"), F.count_if("false_complete").alias("false_complete"),
+        F.sum("bytes").alias("bytes"), F.round(F.avg("bytes"), 9).alias("mean_bytes"), F.sum("messages").alias("messages"), *more)
+
+
+def case_aggregate(cases: DataFrame, keys: list[str], metric: str, weight: str = "n") -> DataFrame:
+    """(keys, weight, metric): the cases' means weighted by how many answers each stands for."""
+    return cases.groupBy(*keys).agg(F.sum(weight).alias(weight), F.round(F.sum(F.col(metric) * F.col(weight)) / F.sum(weight), 9).alias(metric))
+
+
+def repair_report(repaired: DataFrame, queries: DataFrame) -> DataFrame:
+    """One row (queries, repaired_queries, repaired_shards, rate) from repaired (query_id, shard) among all queries (query_id)."""
+    r = repaired.agg(F.count_distinct("query_id").alias("repaired_queries"), F.count("*").alias("repaired_shards"))
+    return queries.agg(F.count_distinct("query_id").alias("queries")).crossJoin(r).select("queries", "repaired_queries", "repaired_shards", F.round(F.col("repaired_queries") / F.col("queries"), 9).alias("rate"))
+
+
+def sensitivity(obs: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Percent complete and exact for each combination in grid; null where obs has none."""
+    rate = lambda c: F.round(100.0 * F.count_if(c) / F.count("*"), 9)
+    return grid.join(obs.groupBy(*keys).agg(F.count("*").alias("n"), rate("claimed").alias("complete_pct"), rate("exact").alias("exact_pct")), keys, "left")
+
+
+def paired_diff(obs: DataFrame, keys: list[str], a: str, b: str, metric: str) -> DataFrame:
+    """(keys, diff): metric of policy a less that of policy b, for the trials that have both."""
+    one = lambda p, name: obs.where(F.col("policy") == p).groupBy(*keys).agg(F.avg(F.col(metric)).alias(name))
+    return one(a, "_a").join(one(b, "_b"), keys).select(*keys, (F.col("_a") - F.col("_b")).alias("diff"))
+
+
+def wire_bytes(*columns: str) -> Column:
+    """Bytes of the columns as one line of canonical JSON: keys in order, no spaces, nulls kept, all but ASCII as \\uXXXX."""
+    text = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    text = F.regexp_replace(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "x" * 12), r"[^\x00-\x7F]", "x" * 6)
+    return F.octet_length(text) + F.lit(1)
+
+
+def phase_costs(receipts: DataFrame, keys: list[str]) -> DataFrame:
+    """Messages, bytes and returned rows by phase, and for all phases of a trial together (phase null)."""
+    costs = [F.sum(c).cast("long").alias(c) for c in ("messages", "bytes", "returned_rows")]
+    return receipts.groupingSets([[*map(F.col, keys), F.col("phase")], [*map(F.col, keys)]], *keys, "phase").agg(*costs)
+
+
+def token_work(heads: DataFrame, rows: DataFrame, final: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, assignments, buffer_rows, score_evaluations, sort_rows): what one advance of a query's tokens costs its coordinator."""
+    keys = ["query_id", "shard"]
+    per = final.groupBy("shard").agg(F.count("*").alias("assignments"), F.count("body").alias("score_evaluations"))
+    work = heads.select(*keys).join(per, "shard", "left")
+    kept = rows.join(final.select("shard", "ident", F.lit(1).alias("touched")), ["shard", "ident"], "left").groupBy(*keys).agg(F.count("*").alias("buffer_rows"), (F.count("*") - F.count("touched")).alias("kept"))
+    fresh = final.where("body is not null").join(scores, "body").groupBy(*keys).agg(F.count("*").alias("fresh"))
+    j = work.join(kept, keys, "left").join(fresh, keys, "left").fillna(0)
+    return j.groupBy("query_id").agg(F.sum("assignments").alias("assignments"), F.sum("buffer_rows").alias("buffer_rows"), F.sum("score_evaluations").alias("score_evaluations"), F.sum(F.col("kept") + F.col("fresh")).alias("sort_rows"))
+
+
+def matched_answers(answers: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, variants): trials on which the policies' answers (policy, keys, rank, ident, body, score) differ.
+
+    Rows are told apart by one hash each and an answer by count and sum of them, so that no answer is gathered.
+    """
+    h = F.xxhash64("rank", "ident", "body", "score").cast("decimal(38,0)")
+    every = answers.select("policy").distinct().crossJoin(answers.select(*keys).distinct())
+    one = every.join(answers.withColumn("h", h), ["policy", *keys], "left").groupBy("policy", *keys).agg(F.count("h").alias("n"), F.coalesce(F.sum("h"), F.lit(0)).alias("s"))
+    return one.groupBy(*keys).agg(F.count_distinct(F.struct("n", "s")).alias("variants")).where("variants > 1")
+
+
+def matched_table(costs: DataFrame, total: DataFrame, trials: list[str]) -> DataFrame:
+    """(policy, bytes, trials, whole, balanced): phases summed by policy; all expected trials are there, and the phases make up the total."""
+    s = costs.groupBy("policy").agg(F.sum("bytes").alias("bytes"), F.array_sort(F.collect_set("trial")).alias("seen"))
+    t = total.groupBy("policy").agg(F.sum("bytes").alias("total"))
+    want = F.array(*[F.lit(x) for x in sorted(trials)])
+    return s.join(t, "policy", "left").select("policy", "bytes", F.size("seen").alias("trials"), (F.col("seen") == want).alias("whole"), F.col("bytes").eqNullSafe(F.col("total")).alias("balanced"))
+
+
+def peak_state(sizes: DataFrame, keys: list[str], tick: str) -> DataFrame:
+    """sizes (keys, tick, bytes: one row an entry) -> (keys, peak, at): the greatest state and the first tick that has it."""
+    per = sizes.groupBy(*keys, tick).agg(F.sum("bytes").alias("bytes"))
+    return per.groupBy(*keys).agg(F.max("bytes").alias("peak"), F.min_by(tick, F.struct(-F.col("bytes"), F.col(tick))).alias("at"))
+
+
+def resource_ledger(commands: DataFrame, suite: str) -> DataFrame:
+    """commands (suite, exit_code, wall_seconds, cpu_seconds, maximum_rss_kib) summed, the memory's greatest, and how many failed."""
+    return commands.groupBy(suite).agg(F.count("*").alias("commands"), F.count_if(F.col("exit_code") != 0).alias("failed"), F.round(F.sum("wall_seconds"), 6).alias("wall_seconds"),
+                                       F.round(F.sum("cpu_seconds"), 6).alias("cpu_seconds"), F.max("maximum_rss_kib").alias("maximum_rss_kib"))
+
+
+def count_kinds(receipts: DataFrame) -> DataFrame:
+    return receipts.groupBy("kind").agg(F.count("*").alias("receipts"))
+
+
+def history_totals(batches: DataFrame) -> DataFrame:
+    """(shard, events, assignments, largest) of a log in batches (shard, seq, ident, body)."""
+    per = batches.groupBy("shard", "seq").agg(F.count("*").alias("n"))
+    return per.groupBy("shard").agg(F.count("*").alias("events"), F.sum("n").alias("assignments"), F.max("n").alias("largest"))

@@ -63,6 +63,19 @@ def golden_diff(expected: DataFrame, actual: DataFrame, key: str, tolerance: flo
     return j.where(~(F.col("expected").eqNullSafe(F.col("actual")) | F.coalesce(near, F.lit(False))))
 
 
+def inventory_check(declared: DataFrame, files: DataFrame, group: str, size: str) -> DataFrame:
+    """declared (group, files, bytes) against files (group, size): (group, files, found_files, bytes, found_bytes) of groups that differ."""
+    got = files.groupBy(group).agg(F.count("*").alias("found_files"), F.sum(size).cast("long").alias("found_bytes"))
+    j = declared.join(got, group, "full").fillna(0, ["files", "bytes", "found_files", "found_bytes"])
+    return j.where("files <> found_files or bytes <> found_bytes").select(group, "files", "found_files", "bytes", "found_bytes")
+
+
+def digest_mismatches(files: DataFrame, declared: DataFrame, key: str, content: str) -> DataFrame:
+    """Keys whose content's SHA-256 is not the one declared (key, sha256), or that only one side has."""
+    got = files.select(key, F.sha2(content, 256).alias("found"))
+    return got.join(declared.select(key, "sha256"), key, "full").where(~F.col("found").eqNullSafe(F.col("sha256"))).select(key)
+
+
 def forbidden_paths(df: DataFrame, names: list[str], suffix_pattern: str) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     return df.where(name.isin(names) | name.rlike(suffix_pattern))

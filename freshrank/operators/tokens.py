@@ -102,6 +102,17 @@ def repair_lengths(queries: DataFrame, dirty: DataFrame, k: int, base: int, rese
     return d.select("query_id", "shard", F.greatest("required", F.lit(base)).alias("length"), (need <= most).alias("guaranteed"))
 
 
+def _refetch(heads: DataFrame, rows: DataFrame, pick: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(heads, rows) with those of pick (query_id, shard, length) replaced by prefixes of the state at hi."""
+    some = rank_state(state, scores).join(pick, list(KEYS)).withColumn("rank", F.row_number().over(best_first(*KEYS))).where(F.col("rank") <= most + 1)
+    tail = some.where("rank = length + 1").select(*KEYS, F.col("score").alias("tail_score"), F.col("ident").alias("tail_ident"))
+    fresh = pick.join(tail, list(KEYS), "left").join(hi, "shard").select(
+        *KEYS, F.col("hi").alias("at"), F.col("length").cast("int").alias("capacity"), F.lit(0).alias("generation"), "tail_score", "tail_ident")
+    heads = heads.join(pick, list(KEYS), "left_anti").select(*fresh.columns).unionByName(fresh)
+    rows = rows.join(pick, list(KEYS), "left_anti").unionByName(some.where("rank <= length").select(*KEYS, "ident", "body", "score"))
+    return heads, rows
+
+
 def repair_round(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, done: DataFrame, lengths: DataFrame, shards: int, k: int, most: int = 64):
     """One set-based round: of each query that is not partial its most threatening blocker not repaired yet gets a fresh prefix of the
     state at the cut. Returns (heads, rows, repaired (query_id, shard))."""
@@ -109,13 +120,56 @@ def repair_round(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: Da
     b = blockers(best, heads, k).where("blocks").join(answer.where("missing = 0").select("query_id"), "query_id", "left_semi").join(done, list(KEYS), "left_anti")
     first = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("tail_score"), "tail_ident"))
     pick = b.withColumn("n", first).where("n = 1").select(*KEYS).join(lengths, list(KEYS))
-    some = rank_state(state, scores).join(pick, list(KEYS)).withColumn("rank", F.row_number().over(best_first(*KEYS))).where(F.col("rank") <= most + 1)
-    tail = some.where("rank = length + 1").select(*KEYS, F.col("score").alias("tail_score"), F.col("ident").alias("tail_ident"))
-    fresh = pick.join(tail, list(KEYS), "left").join(hi, "shard").select(
-        *KEYS, F.col("hi").alias("at"), F.col("length").cast("int").alias("capacity"), F.lit(0).alias("generation"), "tail_score", "tail_ident")
-    heads = heads.join(pick, list(KEYS), "left_anti").select(*fresh.columns).unionByName(fresh)
-    rows = rows.join(pick, list(KEYS), "left_anti").unionByName(some.where("rank <= length").select(*KEYS, "ident", "body", "score"))
-    return heads, rows, pick.select(*KEYS)
+    return *_refetch(heads, rows, pick, state, scores, hi, most), pick.select(*KEYS)
+
+
+def missing_shards(heads: DataFrame, grid: DataFrame, epochs: DataFrame, cover: DataFrame) -> DataFrame:
+    """(query_id, shard, why) of grid (query_id, shard, cut): no token, another epoch, past the cut, or a suffix that the feed has not in whole.
+
+    heads carry an epoch; epochs (shard, epoch) are those in force; cover (shard, base, frontier) says what the feed keeps.
+    """
+    t = heads.select(*KEYS, "at", F.col("epoch").alias("held"))
+    j = grid.join(t, list(KEYS), "left").join(epochs, "shard", "left").join(cover, "shard", "left")
+    fed = (F.col("at") == F.col("cut")) | ((F.col("base") <= F.col("at")) & (F.col("cut") <= F.col("frontier")))
+    why = (F.when(F.col("at").isNull(), "no-token").when(~F.col("held").eqNullSafe(F.col("epoch")), "epoch").when(F.col("at") > F.col("cut"), "past-cut")
+           .when(~F.coalesce(fed, F.lit(False)), "uncovered"))
+    return j.withColumn("why", why).where("why is not null").select(*KEYS, "why")
+
+
+def rebind_tokens(heads: DataFrame, epochs: DataFrame) -> DataFrame:
+    """Tokens of shards in epochs (shard, new_epoch) under that epoch, a generation later; the others as they are. An epoch that is not later is an error."""
+    j = heads.join(epochs, "shard", "left")
+    later = F.col("new_epoch") > F.col("epoch")
+    epoch = F.when(F.col("new_epoch").isNull(), F.col("epoch")).when(later, F.col("new_epoch")).otherwise(F.raise_error(F.lit("new epoch required")))
+    return j.withColumn("generation", F.col("generation") + F.col("new_epoch").isNotNull().cast("int")).withColumn("epoch", epoch).select(heads.columns)
+
+
+def own_blockers(heads: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query_id, shard): tokens whose own k-th row does not come before their own tail."""
+    kth = top_n(rows, KEYS, k).where(F.col("rank") == k).select(*KEYS, key_of(F.col("score"), F.col("ident")).alias("kth"))
+    tail = key_of(F.col("tail_score"), F.col("tail_ident"))
+    return heads.join(kth, list(KEYS), "left").where(tail.isNotNull() & (F.col("kth").isNull() | (F.col("kth") >= tail))).select(*KEYS)
+
+
+def refill_local(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, lengths: DataFrame, k: int, most: int = 64):
+    """Overfetch and refill with a stop in each shard: every token that blocks itself gets a fresh prefix, whatever the others hold.
+
+    No refill depends on another, so one set-based pass does all. Returns (heads, rows, refilled (query_id, shard)).
+    """
+    pick = own_blockers(heads, rows, k).join(lengths, list(KEYS))
+    return *_refetch(heads, rows, pick, state, scores, hi, most), pick.select(*KEYS)
+
+
+def refill_global(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, lengths: DataFrame, shards: int, k: int, keep, most: int = 64):
+    """Overfetch and refill with one stop for the merged answer: rounds of repair_round until none blocks, at most one refill a shard."""
+    done = heads.select(*KEYS).limit(0)
+    for _ in range(shards):
+        new_heads, new_rows, pick = repair_round(heads, rows, state, scores, hi, done, lengths, shards, k, most)
+        pick = keep(pick, "token_repairs")
+        if not pick.head(1):
+            break
+        heads, rows, done = keep(new_heads, "token_heads"), keep(new_rows, "token_rows"), keep(done.unionByName(pick), "token_repairs")
+    return heads, rows, done
 
 
 def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, queries: DataFrame, ticks: list[DataFrame], keep, capacity: int = 5, k: int = 5,
@@ -141,13 +195,7 @@ def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, quer
         dirty = changes.join(floor, "shard").join(hi, "shard").where("seq > lo and seq <= hi").groupBy("shard").agg(F.count_distinct("ident").alias("dirty"))
         lengths = repair_lengths(now_heads.select(*KEYS), dirty, k, base, most=most)
         state = state_at(initial, changes, cut)
-        done = now_heads.select(*KEYS).limit(0)
-        for _ in range(n):
-            new_heads, new_rows, pick = repair_round(now_heads, now_rows, state, scores, hi, done, lengths, n, k, most)
-            pick = keep(pick, "token_repairs")
-            if not pick.head(1):
-                break
-            now_heads, now_rows, done = keep(new_heads, "token_heads"), keep(new_rows, "token_rows"), keep(done.unionByName(pick), "token_repairs")
+        now_heads, now_rows, done = refill_global(now_heads, now_rows, state, scores, hi, lengths, n, k, keep, most)
         best, answer = merge_tokens(now_heads, now_rows, n, k)
         repairs = done.groupBy("query_id").agg(F.count("*").alias("repairs"))
         got = answer.join(best, "query_id", "left").join(repairs, "query_id", "left").select(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .operators import audit, log, rank, tables, tokens
 from .plans import corpus
 from .sources import fixtures as fx
+from .sources.scratch import staged
 
 K, LENGTH, LAG = 5, 5, 8
 QUERIES: dict = {}
@@ -60,6 +61,14 @@ merge_heads AS (SELECT a.query_id, count(*) FILTER (WHERE a.tail_score IS NOT NU
 obs AS (SELECT p.policy, c.cut_id, q.query_id FROM (SELECT unnest(['exact', 'stale', 'local']) AS policy) p, (SELECT DISTINCT cut_id FROM cuts) c, (SELECT DISTINCT query_id FROM terms) q)
 """
 
+#: Certificates of a prefix and a delta.
+CERT = BASE + f""", cert_pool AS (
+  SELECT query_id, shard, ident, score FROM idx_ranked r WHERE rank <= {LENGTH} AND NOT EXISTS (SELECT 1 FROM finals f WHERE f.shard = r.shard AND f.ident = r.ident)
+  UNION ALL SELECT query_id, shard, ident, score FROM fresh QUALIFY row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, ident) <= {K}),
+cert_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ident) AS rank FROM cert_pool),
+cert_last AS (SELECT query_id, score AS l_score, ident AS l_ident FROM cert_rows WHERE rank = {K}),
+cert_heads AS (SELECT h.query_id, count(*) FILTER (WHERE h.tail_score IS NOT NULL AND (l_score IS NULL OR (-l_score, l_ident) >= (-h.tail_score, h.tail_ident))) AS blockers FROM heads h LEFT JOIN cert_last USING (query_id) GROUP BY h.query_id)"""
+
 
 def query(sql: str | None = None, base: str = BASE):
     """Registers a query under its function's name, with its oracle."""
@@ -344,12 +353,7 @@ def p1_overlay_topk(spark, sf_dir):
     return tokens.overlay_topk(i.index(), i.final(), i.scores(), K).select("query_id", *_long("rank", "shard"), "ident", "body", "score")
 
 
-@query("SELECT query_id, CASE WHEN blockers > 0 THEN 'rank-underdetermined' ELSE 'complete' END AS status, blockers FROM cert_heads", BASE + f""", cert_pool AS (
-  SELECT query_id, shard, ident, score FROM idx_ranked r WHERE rank <= {LENGTH} AND NOT EXISTS (SELECT 1 FROM finals f WHERE f.shard = r.shard AND f.ident = r.ident)
-  UNION ALL SELECT query_id, shard, ident, score FROM fresh QUALIFY row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, ident) <= {K}),
-cert_rows AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ident) AS rank FROM cert_pool),
-cert_last AS (SELECT query_id, score AS l_score, ident AS l_ident FROM cert_rows WHERE rank = {K}),
-cert_heads AS (SELECT h.query_id, count(*) FILTER (WHERE h.tail_score IS NOT NULL AND (l_score IS NULL OR (-l_score, l_ident) >= (-h.tail_score, h.tail_ident))) AS blockers FROM heads h LEFT JOIN cert_last USING (query_id) GROUP BY h.query_id)""")
+@query("SELECT query_id, CASE WHEN blockers > 0 THEN 'rank-underdetermined' ELSE 'complete' END AS status, blockers FROM cert_heads", CERT)
 def p2_certify(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     scores = i.scores()
@@ -377,8 +381,9 @@ def k1_acquire_tokens(spark, sf_dir):
 
 
 def _advanced(i: Inputs):
-    scores = i.scores()
-    heads, rows = tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH)
+    """Tokens of the lagging index carried to the log's end. The scores and the tokens at the start are written once, as several branches read them."""
+    scores = staged(i.scores(), "scores")
+    heads, rows = (staged(t, "token") for t in tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH))
     return tokens.advance_tokens(heads, rows, i.final(), i.lag().select("shard", "hi"), scores)
 
 
@@ -419,8 +424,6 @@ def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 4, size: int =
  FROM (SELECT unnest([1, 2, 3, 4]) AS tick), tops t JOIN versions v ON v.shard = t.shard JOIN scores USING (body)
  WHERE from_seq <= top - 16 * (4 - tick) AND (to_seq IS NULL OR top - 16 * (4 - tick) < to_seq)) WHERE rank <= {K}""")
 def k10_run_standing(spark, sf_dir):
-    from .sources.scratch import staged
-
     out = standing(spark, sf_dir, staged)
     return out.where("rank is not null").select(*_long("tick"), "query_id", "rank", "ident", "body", "score", "status")
 
@@ -428,16 +431,21 @@ def k10_run_standing(spark, sf_dir):
 # ---- audit
 
 
-def _observations(i: Inputs) -> DataFrame:
-    """Assessed answers of three policies: the exact one, the stale one that claims to be complete, and shard 0 alone, which claims nothing."""
+def policy_answers(i: Inputs) -> dict[str, tuple[DataFrame, bool]]:
+    """Answers of three policies and whether they claim to be complete: the exact one, the stale one that claims it, and shard 0 alone, which claims nothing."""
     exact = i.exact()
     cut_ids = i.cuts.select("cut_id").distinct()
-    grid = i.terms().select("query_id").distinct().crossJoin(cut_ids)
     cols = ["cut_id", "query_id", "rank", "ident", "body", "score"]
     stale = exact.where("cut_id = 0").drop("cut_id").crossJoin(cut_ids).select(cols)
     state = log.state_as_of(log.versions(i.initial, i.changes), i.cuts)
     local = rank.top_n(rank.rank_state(state.where("shard = 0"), i.scores()), ("cut_id", "query_id"), K).select(cols)
-    parts = [audit.assess(a, exact, grid.withColumn("claimed", F.lit(c))).withColumn("policy", F.lit(p)) for p, a, c in (("exact", exact.select(cols), True), ("stale", stale, True), ("local", local, False))]
+    return {"exact": (exact.select(cols), True), "stale": (stale, True), "local": (local, False)}
+
+
+def _observations(i: Inputs) -> DataFrame:
+    grid = i.terms().select("query_id").distinct().crossJoin(i.cuts.select("cut_id").distinct())
+    made = policy_answers(i)
+    parts = [audit.assess(a, made["exact"][0], grid.withColumn("claimed", F.lit(c))).withColumn("policy", F.lit(p)) for p, (a, c) in made.items()]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -453,7 +461,8 @@ assessed AS (SELECT j.policy AS policy, j.cut_id, j.query_id, j.policy <> 'local
 """
 
 
-@query("SELECT CAST(cut_id AS BIGINT) AS cut_id, query_id, a.ident, a.body, a.score FROM (SELECT * FROM answers WHERE policy = 'stale') a LEFT JOIN state_cuts s USING (cut_id, ident) LEFT JOIN scores v USING (query_id) WHERE false", _OBS)
+@query("""SELECT CAST(a.cut_id AS BIGINT) AS cut_id, a.query_id, a.ident, a.body, a.score FROM answers a LEFT JOIN state_cuts s ON s.cut_id = a.cut_id AND s.ident = a.ident
+LEFT JOIN scores v ON v.query_id = a.query_id AND v.body = s.body WHERE policy = 'exact' AND (a.body IS DISTINCT FROM s.body OR a.score IS DISTINCT FROM v.score)""", _OBS)
 def v11_unsound_exact_rows(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     state = log.state_as_of(log.versions(i.initial, i.changes), i.cuts)
