@@ -290,3 +290,212 @@ def v14_token_violations(spark, sf_dir):
     heads, rows = _advanced(i)
     state = log.state_at(i.initial, i.changes, i.lag().select("shard", F.col("hi").alias("at")))
     return receipts.token_violations(heads, rows.where(number() % 4 != 0), rank.rank_state(state, i.scores())).select("query_id", *_long("shard"), "ident", "why")
+
+
+# ---- audit tables
+
+_BYTES = "strlen(CAST(to_json({'body': body, 'ident': ident, 'score': score}) AS VARCHAR)) + 1"
+_COSTED = _OBS + f""", costs AS (SELECT policy, cut_id, query_id, sum({_BYTES}) AS bytes FROM answers GROUP BY ALL),
+costed AS (SELECT a.*, CAST(coalesce(bytes, 0) AS BIGINT) AS bytes, CAST(CASE policy WHEN 'exact' THEN 6 WHEN 'local' THEN 2 ELSE 0 END AS BIGINT) AS messages FROM assessed a LEFT JOIN costs USING (policy, cut_id, query_id))
+"""
+
+
+def _all_answers(i: Inputs) -> DataFrame:
+    made = [a.withColumn("policy", F.lit(p)) for p, (a, _) in policy_answers(i).items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+def _costed(i: Inputs) -> DataFrame:
+    """Assessed answers with the bytes of their rows as JSON lines and the messages that a policy takes."""
+    keys = ["policy", "cut_id", "query_id"]
+    costs = _all_answers(i).groupBy(*keys).agg(F.sum(audit.wire_bytes("body", "ident", "score")).alias("bytes"))
+    sent = F.when(F.col("policy") == "exact", 6).when(F.col("policy") == "local", 2).otherwise(0).cast("long")
+    return _observations(i).join(costs, keys, "left").withColumn("bytes", F.coalesce("bytes", F.lit(0))).withColumn("messages", sent)
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY event_type", "")
+def a1_nearest_rank(spark, sf_dir):
+    return fx.table(spark, sf_dir, "events").groupBy("event_type").agg(audit.nearest_rank("value", 0.5).alias("p50"), audit.nearest_rank("value", 0.95).alias("p95"))
+
+
+@query("""SELECT policy, count(*) AS n, count(*) FILTER (WHERE exact) AS exact, count(*) FILTER (WHERE NOT claimed) AS not_complete, count(*) FILTER (WHERE false_complete) AS false_complete, CAST(sum(bytes) AS BIGINT) AS bytes,
+round(avg(bytes), 9) AS mean_bytes, CAST(sum(messages) AS BIGINT) AS messages, max(returned) AS peak_state, CAST(median(returned) AS DOUBLE) AS median_state FROM costed GROUP BY policy""", _COSTED)
+def a4_policy_totals(spark, sf_dir):
+    return audit.policy_totals(_costed(Inputs(spark, sf_dir)), ["policy"], "returned")
+
+
+@query("""SELECT policy, CAST(sum(n) AS BIGINT) AS n, round(sum(body_recall * n) / sum(n), 9) AS body_recall FROM (SELECT policy, cut_id, count(*) AS n, round(avg(body_recall), 9) AS body_recall FROM assessed GROUP BY ALL) GROUP BY policy""", _OBS)
+def a6_case_aggregate(spark, sf_dir):
+    return audit.case_aggregate(audit.summarize(_observations(Inputs(spark, sf_dir)), ["policy", "cut_id"]), ["policy"], "body_recall")
+
+
+@query("SELECT (SELECT count(DISTINCT query_id) FROM terms) AS queries, count(DISTINCT query_id) AS repaired_queries, count(*) AS repaired_shards, round(count(DISTINCT query_id)::DOUBLE / (SELECT count(DISTINCT query_id) FROM terms), 9) AS rate FROM own", _REFILL)
+def a7_repair_report(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return audit.repair_report(tokens.own_blockers(*(staged(t, "token") for t in _advanced(i)), K), i.terms().select("query_id"))
+
+
+@query("""SELECT policy, CAST(cut_id AS BIGINT) AS cut_id, n, complete_pct, exact_pct FROM (SELECT cut_id, unnest(['exact', 'stale', 'mirror']) AS policy FROM (SELECT DISTINCT cut_id FROM cuts))
+LEFT JOIN (SELECT policy, cut_id, count(*) AS n, round(100.0::DOUBLE * count(*) FILTER (WHERE claimed) / count(*), 9) AS complete_pct, round(100.0::DOUBLE * count(*) FILTER (WHERE exact) / count(*), 9) AS exact_pct FROM assessed GROUP BY ALL) USING (policy, cut_id)""", _OBS)
+def a8_sensitivity(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    grid = i.cuts.select("cut_id").distinct().withColumn("policy", F.explode(F.array(*map(F.lit, ("exact", "stale", "mirror")))))
+    return audit.sensitivity(_observations(i), grid, ["policy", "cut_id"]).select("policy", *_long("cut_id"), "n", "complete_pct", "exact_pct")
+
+
+@query("""SELECT policy, CAST(sum(bytes) AS BIGINT) AS bytes, round(100.0::DOUBLE * (1 - sum(bytes)::DOUBLE / (SELECT sum(bytes) FROM costed WHERE policy = 'exact')), 9) AS reduction FROM costed GROUP BY policy""", _COSTED)
+def a9_relative_to(spark, sf_dir):
+    return audit.relative_to(audit.policy_totals(_costed(Inputs(spark, sf_dir)), ["policy"]).select("policy", "bytes"), "exact", "bytes")
+
+
+@query("""SELECT CAST(cut_id AS BIGINT) AS cut_id, round(avg(diff), 9) AS mean, round(min(diff), 9) AS least, round(max(diff), 9) AS most FROM (SELECT e.cut_id, e.id_recall - s.id_recall AS diff FROM assessed e JOIN assessed s
+ON s.cut_id = e.cut_id AND s.query_id = e.query_id WHERE e.policy = 'exact' AND s.policy = 'stale') GROUP BY cut_id""", _OBS)
+def a10_paired_diff(spark, sf_dir):
+    d = audit.paired_diff(_observations(Inputs(spark, sf_dir)), ["cut_id", "query_id"], "exact", "stale", "id_recall")
+    return d.groupBy(*_long("cut_id")).agg(F.round(F.avg("diff"), 9).alias("mean"), F.round(F.min("diff"), 9).alias("least"), F.round(F.max("diff"), 9).alias("most"))
+
+
+@query(r"""SELECT doc_id, strlen(regexp_replace(regexp_replace(CAST(to_json({'lang': lang, 'note': NULL, 'source': source || substr(text, 1, 0) || regexp_replace(text, '[\x00-\x1f\x7f"\\/]', '', 'g')}) AS VARCHAR), '[\x{10000}-\x{10FFFF}]', 'xxxxxxxxxxxx', 'g'), '[^\x00-\x7F]', 'xxxxxx', 'g')) + 1 AS bytes
+FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""", "")
+def a11_wire_bytes(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").where("text is not null and source is not null")
+    plain = F.concat("source", F.regexp_replace("text", r'[\x00-\x1f\x7f"\\/]', ""))
+    return d.select("doc_id", "lang", F.lit(None).cast("string").alias("note"), plain.alias("source")).select("doc_id", audit.wire_bytes("source", "lang", "note").cast("long").alias("bytes"))
+
+
+@query(f"""SELECT trial, phase, CAST(sum(messages) AS BIGINT) AS messages, CAST(sum(bytes) AS BIGINT) AS bytes, CAST(sum(returned_rows) AS BIGINT) AS returned_rows FROM (
+ SELECT CAST(shard AS BIGINT) AS trial, 'acquisition' AS phase, 2 AS messages, {_BYTES} AS bytes, 1 AS returned_rows FROM idx_ranked WHERE rank <= {LENGTH}
+ UNION ALL SELECT shard, 'feed', 1, {_BYTES.replace("'score': score", "'score': 0")}, 0 FROM changes UNION ALL SELECT shard, 'refill', 2, {_BYTES}, 1 FROM refetched) GROUP BY GROUPING SETS ((trial, phase), (trial))""", _REFILL)
+def a12_phase_costs(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    _, rows, pick = _refilled(i)
+    cost = lambda df, phase, sent, back: df.select(F.col("shard").cast("long").alias("trial"), F.lit(phase).alias("phase"), F.lit(sent).alias("messages"), audit.wire_bytes("body", "ident", "score").alias("bytes"), F.lit(back).alias("returned_rows"))
+    first = rank.top_n(rank.rank_state(i.index(), i.scores()), tokens.KEYS, LENGTH)
+    r = cost(first, "acquisition", 2, 1).unionByName(cost(i.changes.withColumn("score", F.lit(0)), "feed", 1, 0)).unionByName(cost(rows.join(pick, list(tokens.KEYS), "left_semi"), "refill", 2, 1))
+    return audit.phase_costs(r, ["trial"])
+
+
+@query(f"""SELECT g.query_id, CAST(sum(f.n) AS BIGINT) AS assignments, CAST(sum(coalesce(b.n, 0)) AS BIGINT) AS buffer_rows, CAST(sum(f.live) AS BIGINT) AS score_evaluations, CAST(sum(coalesce(p.n, 0)) AS BIGINT) AS sort_rows FROM grid g
+JOIN (SELECT shard, count(*) AS n, count(*) FILTER (WHERE body <> '') AS live FROM finals GROUP BY shard) f ON f.shard = g.shard
+LEFT JOIN (SELECT query_id, shard, count(*) AS n FROM idx_ranked WHERE rank <= {LENGTH} GROUP BY ALL) b ON b.query_id = g.query_id AND b.shard = g.shard
+LEFT JOIN (SELECT query_id, shard, count(*) AS n FROM pool GROUP BY ALL) p ON p.query_id = g.query_id AND p.shard = g.shard GROUP BY g.query_id""")
+def a14_token_work(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    scores = staged(i.scores(), "scores")
+    heads, rows = (staged(t, "token") for t in tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH))
+    return audit.token_work(heads, rows, staged(i.final(), "final"), scores)
+
+
+@query("SELECT CAST(cut_id AS BIGINT) AS cut_id, query_id, count(DISTINCT coalesce(CAST(mine AS VARCHAR), '')) AS variants FROM j GROUP BY ALL HAVING variants > 1", _OBS)
+def a15_matched_answers(spark, sf_dir):
+    return audit.matched_answers(_all_answers(Inputs(spark, sf_dir)), ["cut_id", "query_id"]).select(*_long("cut_id"), "query_id", "variants")
+
+
+@query(f"""SELECT policy, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT cut_id) AS trials, count(DISTINCT cut_id) = 5 AS whole, policy <> 'stale' AS balanced FROM (SELECT policy, cut_id, {_BYTES} AS bytes FROM answers WHERE NOT (policy = 'local' AND cut_id = 3)) GROUP BY policy""", _OBS)
+def a16_matched_table(spark, sf_dir):
+    rows = _all_answers(Inputs(spark, sf_dir)).where("not (policy = 'local' and cut_id = 3)").select("policy", F.col("cut_id").cast("string").alias("trial"), (F.col("rank") > 2).alias("phase"), audit.wire_bytes("body", "ident", "score").alias("bytes"))
+    costs = rows.groupBy("policy", "trial", "phase").agg(F.sum("bytes").alias("bytes"))
+    total = rows.groupBy("policy").agg(F.sum(F.col("bytes") + (F.col("policy") == "stale").cast("int")).alias("bytes"))
+    return audit.matched_table(costs, total, list("01234")).withColumn("trials", F.col("trials").cast("long"))
+
+
+@query("SELECT CAST(shard AS BIGINT) AS shard, CAST(cut_id AS BIGINT) AS cut_id, cutp - coalesce(lag(cutp) OVER (PARTITION BY shard ORDER BY cut_id), 0) AS delta FROM cuts")
+def a17_counter_deltas(spark, sf_dir):
+    return audit.counter_deltas(Inputs(spark, sf_dir).cuts, ["shard"], "cut_id", "at").select(*_long("shard", "cut_id"), "delta")
+
+
+@query("""SELECT CAST(shard AS BIGINT) AS shard, CAST(max(b) AS BIGINT) AS peak, CAST(arg_max(cut_id, b * 10 - cut_id) AS BIGINT) AS "at" FROM (SELECT shard, cut_id, sum(strlen(CAST(to_json({'body': body, 'ident': ident}) AS VARCHAR)) + 1) AS b FROM state_cuts GROUP BY ALL) GROUP BY shard""")
+def a18_peak_state(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    s = log.state_as_of(log.versions(i.initial, i.changes), i.cuts).withColumn("bytes", audit.wire_bytes("body", "ident"))
+    return audit.peak_state(s, ["shard"], "cut_id").select(*_long("shard", "peak", "at"))
+
+
+@query("""SELECT event_type, count(*) AS commands, count(*) FILTER (WHERE user_id % 7 = 0) AS failed, round(sum(value), 6) AS wall_seconds, round(sum(value * 2), 6) AS cpu_seconds, max(user_id) AS maximum_rss_kib FROM events GROUP BY event_type""", "")
+def a19_resource_ledger(spark, sf_dir):
+    e = fx.table(spark, sf_dir, "events")
+    c = e.select("event_type", (F.col("user_id") % 7 == 0).cast("int").alias("exit_code"), F.col("value").alias("wall_seconds"), (F.col("value") * 2).alias("cpu_seconds"), F.col("user_id").alias("maximum_rss_kib"))
+    return audit.resource_ledger(c, "event_type")
+
+
+@query("SELECT event_type AS kind, count(*) AS receipts FROM events GROUP BY event_type", "")
+def a20_count_kinds(spark, sf_dir):
+    return audit.count_kinds(fx.table(spark, sf_dir, "events").withColumnRenamed("event_type", "kind"))
+
+
+@query("SELECT CAST(shard AS BIGINT) AS shard, count(*) AS events, CAST(sum(n) AS BIGINT) AS assignments, max(n) AS largest FROM (SELECT shard, (seq - 1) // 4 AS b, count(DISTINCT ident) AS n FROM changes GROUP BY ALL) GROUP BY shard")
+def a20_history_totals(spark, sf_dir):
+    return audit.history_totals(fx.batches(fx.changes(spark, sf_dir))).select(*_long("shard"), "events", "assignments", "largest")
+
+
+# ---- table checks
+
+_LINKS = "regexp_extract_all(html, '<a href=\"/([^\"]*)\"', 1)"
+
+
+@query(f"""SELECT page_id, trim(ref) AS ref FROM (SELECT page_id, unnest(string_split(array_to_string({_LINKS}, ';'), ';')) AS ref FROM pages) WHERE trim(ref) <> '' AND trim(ref) NOT IN (SELECT unnest({_LINKS}) FROM pages WHERE page_id % 2 = 0)""", "")
+def d7_missing_refs(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages")
+    links = F.regexp_extract_all("html", F.lit('<a href="/([^"]*)"'), F.lit(1))
+    return tables.missing_refs(p.select("page_id", F.array_join(links, ";").alias("refs")), "page_id", "refs", p.where("page_id % 2 = 0").select(F.explode(links).alias("path")).distinct())
+
+
+@query("""SELECT doc_id, unnest(CASE WHEN doc_id % 90 = 0 THEN ['lang', 'size'] WHEN doc_id % 50 = 0 AND doc_id % 70 = 0 THEN ['lang', 'size'] WHEN doc_id % 50 = 0 THEN ['size'] WHEN doc_id % 70 = 0 THEN ['lang'] ELSE [] END) AS field FROM documents""", "")
+def d9_golden_diff(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents")
+    want = d.select("doc_id", F.coalesce(F.col("n_chars"), F.lit(0)).cast("double").alias("size"), F.coalesce("lang", F.lit("")).alias("lang"))
+    got = want.where("doc_id % 90 <> 0").select("doc_id", (F.col("size") + F.when(F.col("doc_id") % 50 == 0, 1.0).otherwise(1e-12)).alias("size"), F.when(F.col("doc_id") % 70 == 0, F.concat("lang", F.lit("?"))).otherwise(F.col("lang")).alias("lang"))
+    return tables.golden_diff(want, got, "doc_id").select("doc_id", "field")
+
+
+@query("""SELECT source, count(*) FILTER (WHERE doc_id % 97 <> 0) AS files, count(*) AS found_files, CAST(coalesce(sum(n_chars) FILTER (WHERE doc_id % 97 <> 0), 0) AS BIGINT) AS bytes, CAST(sum(n_chars) AS BIGINT) AS found_bytes FROM documents WHERE source IS NOT NULL GROUP BY source HAVING files <> found_files""", "")
+def d10_inventory_check(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").where("source is not null")
+    declared = d.where("doc_id % 97 <> 0").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("bytes"))
+    return tables.inventory_check(declared, d, "source", "n_chars")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 13 = 0 OR sha256(coalesce(text, '')) <> sha256(rtrim(coalesce(text, ''), ' .'))", "")
+def d10_digest_mismatches(spark, sf_dir):
+    d = fx.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    declared = d.where("doc_id % 13 <> 0").select("doc_id", F.sha2(F.rtrim("text", F.lit(" .")), 256).alias("sha256"))
+    return tables.digest_mismatches(d, declared, "doc_id", "text")
+
+
+@query(r"SELECT page_id FROM pages WHERE list_extract(string_split(url, '/'), -1) IN ('de', 'fr') OR regexp_matches(list_extract(string_split(url, '/'), -1), '[05]$')", "")
+def d11_forbidden_paths(spark, sf_dir):
+    p = fx.table(spark, sf_dir, "pages").withColumn("path", F.col("url"))
+    return tables.forbidden_paths(p, ["de", "fr"], "[05]$").select("page_id")
+
+
+# ---- streams
+
+
+def _feed_root(spark) -> str:
+    return f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}"
+
+
+def _feed(spark, root: str) -> DataFrame:
+    return spark.readStream.schema("shard int, seq long, pos int, ident string, body string").parquet(f"{root}/feed")
+
+
+@query("SELECT CAST(shard AS BIGINT) AS shard, ident, body, CAST(len(labels) AS BIGINT) AS postings FROM state_cuts JOIN bodies USING (body) WHERE cut_id = 4")
+def t4_stream_state(spark, sf_dir):
+    """The log arrives in three parts, the middle one last, and each is folded in by a micro-batch."""
+    i, root = Inputs(spark, sf_dir), _feed_root(spark)
+    changes, bodies = staged(i.changes, "log"), staged(i.bodies, "bodies")
+    for part in (0, 2, 1):
+        changes.where(f"seq div 100 % 3 = {part}").write.mode("append").parquet(f"{root}/feed")
+        state, postings = streams.stream_state(_feed(spark, root), i.initial, bodies, root)
+    n = postings.groupBy("shard", "ident").agg(F.count("*").alias("postings"))
+    return state.join(n, ["shard", "ident"], "left").select(*_long("shard"), "ident", "body", F.coalesce("postings", F.lit(0)).alias("postings"))
+
+
+@query("SELECT query_id, CASE WHEN blockers > 0 THEN 'rank-underdetermined' ELSE 'complete' END AS status, blockers FROM merge_heads")
+def t2_stream_standing(spark, sf_dir):
+    """Tokens of the lagging index carried over the log's suffix by one micro-batch; the answer is that of the batch job."""
+    i, root = Inputs(spark, sf_dir), _feed_root(spark)
+    scores, lag = staged(i.scores(), "scores"), i.lag()
+    heads, rows = tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH)
+    log.suffix(i.changes, lag).select("shard", "seq", "pos", "ident", "body").write.parquet(f"{root}/feed")
+    return streams.stream_standing(_feed(spark, root), heads, rows, scores, root, 3, K)[2].select("query_id", "status", *_long("blockers"))

@@ -1,10 +1,11 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from freshrank import queries
-from freshrank.operators import audit, log, rank, tables, tokens
+from freshrank import queries, queries_checks  # noqa: F401 -- the checks register themselves
+from freshrank.operators import audit, log, policies, rank, receipts, tables, tokens
 from freshrank.plans import corpus
 from freshrank.sources import files
 from freshrank.sources.scratch import staged
@@ -33,7 +34,8 @@ def plain(df):
     return sorted([[repr(round(float(v), 9)) if isinstance(v, float | int) and not isinstance(v, bool) else str(v) for v in r] for r in rows])
 
 
-@pytest.mark.parametrize("name", ["r10_exact_topk", "p1_overlay_topk", "k2_advance_rows", "k3_merge_tokens", "l2_classify_deliveries", "c9_query_plans", "d5_rule_violations"])
+@pytest.mark.parametrize("name", ["r10_exact_topk", "p1_overlay_topk", "k2_advance_rows", "k3_merge_tokens", "l2_classify_deliveries", "c9_query_plans", "d5_rule_violations", "p4_cut_cache", "p8_pick_owner", "k6_missing_shards",
+                                  "v1_check_rows", "v6_check_event_receipts", "v7_check_prefix_receipts", "a14_token_work", "t4_stream_state"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -75,7 +77,6 @@ def test_tail_is_kept(spark):
 def test_complete_answers_of_a_standing_run_are_exact(spark, sf_dir):
     got = queries.standing(spark, sf_dir, staged, ticks=2, size=8).where("rank is not null and status = 'complete'").toPandas()
     i = queries.Inputs(spark, sf_dir)
-    from pyspark.sql import functions as F
     top = i.changes.groupBy("shard").agg(F.max("seq").alias("top")).withColumn("cut_id", F.explode(F.sequence(F.lit(1), F.lit(2))))
     want = rank.exact_topk(i.initial, i.changes, i.bodies, i.terms(), top.select("cut_id", "shard", (F.col("top") - 8 * (2 - F.col("cut_id"))).alias("at")), 5).toPandas()
     both = got.merge(want, left_on=["tick", "query_id", "rank"], right_on=["cut_id", "query_id", "rank"], how="left")
@@ -127,3 +128,107 @@ def test_stream_admission(spark, tmp_path):
     got = [(r.seq, r.outcome) for r in spark.sql("select * from admitted").collect()]
     assert [s for s, o in got if o == "admitted"] == [1, 2]
     assert sorted(o for _, o in got if o != "admitted") == ["conflicting-sequence", "ok", "ok", "ok", "old", "retention-window"]
+
+
+def test_cache_serves_only_its_own_cut(spark):
+    """Available at tick 1, then an outage at the same cut (hit), then one at another cut (missing), then back (fetched)."""
+    rows = [(1, "q", 0, 5, True), (2, "q", 0, 5, False), (3, "q", 0, 6, False), (4, "q", 0, 6, True)]
+    got = policies.cut_cache(spark.createDataFrame(rows, "tick int, query_id string, shard int, cut int, available boolean"))
+    assert [r.outcome for r in got.orderBy("tick").collect()] == ["fetched", "hit", "missing", "fetched"]
+
+
+def test_owner_falls_over(spark):
+    replies = spark.createDataFrame([("q", 0, 1, 9, True), ("q", 0, 2, 4, False), ("q", 0, 3, 5, True)], "query_id string, shard int, owner int, at long, covered boolean")
+    owners = spark.createDataFrame([(0, 1, 0), (0, 2, 1), (0, 3, 2)], "shard int, owner int, place int")
+    cut = spark.createDataFrame([(0, 5)], "shard int, cut long")
+    assert [policies.pick_owner(replies, owners, cut, rule).first().owner for rule in ("acquire", "repair")] == [3, 3]
+    assert policies.pick_owner(replies.where("owner < 3"), owners, cut, "repair").count() == 0
+
+
+def refill_case(spark):
+    """Shard 0 holds global: b3, shard 1 a: b2 and b: b1; a is deleted; k = L = 1."""
+    shape = "query_id string, shard int, at long, capacity int, generation int, tail_score long, tail_ident string"
+    heads = spark.createDataFrame([("q", 0, 1, 1, 0, None, None), ("q", 1, 1, 1, 1, 1, "b")], shape)
+    rows = spark.createDataFrame([("q", 0, "global", "b3", 3)], "query_id string, shard int, ident string, body string, score long")
+    state = spark.createDataFrame([(0, "global", "b3"), (1, "b", "b1")], "shard int, ident string, body string")
+    hi = spark.createDataFrame([(0, 1), (1, 1)], "shard int, hi long")
+    lengths = spark.createDataFrame([("q", 0, 1), ("q", 1, 2)], "query_id string, shard int, length int")
+    return heads, rows, state, rank.score_bodies(bodies(spark), terms(spark)), hi, lengths
+
+
+def test_refill_local_and_global(spark):
+    case = refill_case(spark)
+    heads, rows, pick = tokens.refill_local(*case, 1)
+    assert [r.shard for r in pick.collect()] == [1] and {r.ident for r in rows.collect()} == {"global", "b"}
+    heads, rows, pick = tokens.refill_global(*case, 2, 1, staged)
+    assert pick.count() == 0 and tokens.merge_tokens(heads, rows, 2, 1)[1].first().status == "complete"
+
+
+def test_rebind(spark):
+    heads = refill_case(spark)[0].withColumn("epoch", F.lit(3))
+    later = spark.createDataFrame([(0, 4)], "shard int, new_epoch int")
+    assert {(r.shard, r.epoch, r.generation) for r in tokens.rebind_tokens(heads, later).collect()} == {(0, 4, 1), (1, 3, 1)}
+    with pytest.raises(Exception, match="new epoch required"):
+        tokens.rebind_tokens(heads, later.withColumn("new_epoch", F.lit(3))).collect()
+
+
+def test_row_and_tail_schemas(spark):
+    rows = {'{"score":1,"id":"a","body":"b"}': None, '{"id":"a","body":"b","score":1.0}': "row-schema", '{"id":"a","body":"b","score":true}': "row-schema",
+            '{"id":"a","body":"b","score":"1"}': "row-schema", '{"id":"a","body":"b","score":-1}': "score-not-positive", '{"id":"a"}': "row-schema", "{": "not-json", "[]": "row-schema"}
+    got = spark.createDataFrame([(x,) for x in rows], "j string").select("j", receipts.check_row(F.col("j")).alias("why")).collect()
+    assert {r.j: r.why for r in got} == rows
+    tails = {"null": None, '[-2,"a"]': None, '[2,"a"]': "tail-schema", '[-2.5,"a"]': "tail-schema", "[-2]": "tail-schema", '[-2,"a",1]': "tail-schema", '{"a":1}': "tail-schema", "[": "not-json"}
+    got = spark.createDataFrame([(x,) for x in tails], "j string").select("j", receipts.check_tail(F.col("j")).alias("why")).collect()
+    assert {r.j: r.why for r in got} == tails
+
+
+def test_same_json(spark):
+    pairs = [('{"a":1,"b":[1]}', '{"b":[1],"a":1}', True), ("1", "true", False), ("1", "1.0", False), ("null", "null", True), ("x", "x", False), (None, None, False), ('{"a":null}', "{}", False)]
+    got = spark.createDataFrame(pairs, "a string, b string, want boolean").select(receipts.same_json("a", "b").alias("got"), "want").collect()
+    assert all(r.got == r.want for r in got)
+
+
+def test_requests(spark):
+    fine = ([["a", "b"]], 5, [0, 0, 0], 0)
+    cases = [(*fine, None), ([], *fine[1:], "plan"), ([["a", "a"]], *fine[1:], "plan-alternate"), ([list("abcde")], *fine[1:], "plan-alternate"),
+             (fine[0], 21, [0, 0, 0], 0, "k"), (fine[0], 5, [0, -1, 0], 0, "cut"), (fine[0], 5, [0, 0], 0, "cut"), (fine[0], 5, [0, 0, 0], -1, "epoch"), (fine[0], None, [0, 0, 0], 0, "k")]
+    df = spark.createDataFrame(cases, "plan array<array<string>>, k int, cut array<long>, epoch int, want string")
+    got = df.select("want", receipts.check_request(F.col("plan"), F.col("k"), F.col("cut"), F.col("epoch"), 3).alias("why")).collect()
+    assert all(r.why == r.want for r in got)
+
+
+def test_commit_is_all_or_nothing(spark):
+    heads = refill_case(spark)[0]
+    new = heads.withColumn("generation", F.col("generation") + 10)
+    bad = spark.createDataFrame([("q", 0, None), ("q", 1, "rows")], "query_id string, shard int, reason string")
+    assert {r.generation for r in receipts.commit_checked(heads, new, bad).collect()} == {0, 1}
+    assert {r.generation for r in receipts.commit_checked(heads, new, bad.withColumn("reason", F.lit(None).cast("string"))).collect()} == {10, 11}
+
+
+def test_advance_agrees_with_its_second_derivation(spark, sf_dir):
+    i = queries.Inputs(spark, sf_dir)
+    scores = staged(i.scores(), "scores")
+    old = tokens.acquire_tokens(i.index(), scores, i.grid(), 5)
+    new = tokens.advance_tokens(*old, i.final(), i.lag().select("shard", "hi"), scores)
+    verdicts = receipts.check_results(*new, *receipts.recompute_advance(*old, i.final(), scores))
+    assert verdicts.count() > 0 and verdicts.where("reason is not null").count() == 0
+    state = log.state_at(i.initial, i.changes, i.lag().select("shard", F.col("hi").alias("at")))
+    assert receipts.token_violations(*new, rank.rank_state(state, scores)).count() == 0
+
+
+def test_wire_bytes(spark):
+    import json
+    rows = [("a", "ä中"), ("b", "\U0001f600x"), ("c", None), ("d", 'q"\n')]
+    got = spark.createDataFrame(rows, "k string, a string").select("k", "a", audit.wire_bytes("k", "a").alias("n")).collect()
+    assert all(r.n == len(json.dumps({"a": r.a, "k": r.k}, separators=(",", ":"))) + 1 for r in got)
+
+
+def test_nearest_rank(spark):
+    df = spark.createDataFrame([(i,) for i in range(1, 8)], "v int")
+    assert [df.agg(audit.nearest_rank("v", p).alias("x")).first().x for p in (0.0, 0.5, 0.95, 1.0)] == [1, 4, 7, 7]
+
+
+def test_policy_case_without_answers(spark):
+    answers = spark.createDataFrame([("p", 1, 1, "a", "b1", 1)], "policy string, t int, rank int, ident string, body string, score long")
+    other = answers.withColumn("policy", F.lit("r")).withColumn("t", F.lit(2))
+    assert {r.t for r in audit.matched_answers(answers.unionByName(other), ["t"]).collect()} == {1, 2}
