@@ -74,9 +74,10 @@ class Encoder:
         ids, sizes, odd, parts, tokenize = [], [], [], self.parts, self.tokenize
         for w in words:
             before = len(ids)
+            text = w.decode("utf-8", "replace")
             if w.isalpha() and w.islower():  # ASCII letters
-                ids += [t.id for t in tokenize(w.decode())]
-            elif SPECIAL in w or not PLAIN.fullmatch(text := w.decode("utf-8", "replace")):
+                ids += [t.id for t in tokenize(text)]
+            elif SPECIAL in w or not PLAIN.fullmatch(text):
                 odd.append((len(sizes), text))
             elif text.isalpha():
                 ids += [t.id for t in tokenize(w.decode("latin-1").translate(STANDS))]
