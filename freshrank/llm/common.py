@@ -57,7 +57,9 @@ def bucketed(df: DataFrame, key: str, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     (df.write.format("parquet").option("compression", "zstd").option("path", path)
        .bucketBy(partitions(spark), key).saveAsTable(table))
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: the files stay, and so does what out knows of them
+    return out
 
 
 def blocks(docs: DataFrame, name: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -10,12 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, joined_all, partitions, staged, texts
+from .common import blocks, joined_all, staged, texts
 
-#: Bytes of a digit; a window is a whole number of digits.
-DIGIT = 100
-#: Bytes that are hashed at once, bytes of spans of a sorting group, spans of one anchor beyond which its windows are dealt out.
-CHUNK, SORT_BYTES, MOST = 1 << 20, 4 << 20, 8192
+#: Bytes of the first digit, and bytes that are hashed at once.
+DIGIT, CHUNK = 100, 1 << 20
+#: A run of windows: its document, first window, windows, the anchor's place in the first and its value; what classes are told by.
+SPAN = "block long, row int, start long, n int, place int, anchor long, core long, h1 long, h2 long"
+_ALL = (1 << 64) - 1
 _PLACE = np.uint64((1 << 24) - 1)
 _rng = np.random.default_rng(20)
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -53,7 +54,7 @@ def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs(data: list[bytes], window: int) -> tuple:
-    """Runs of windows with one anchor: document, first start, windows, the anchor's digit, a hash of the run's bytes, the anchor's place in it.
+    """Runs of windows with one anchor: document, first start, windows, the anchor's digit, a digest of the run's bytes, the anchor's place in the first.
 
     A window's anchor is the digit inside it of the least value (of equal ones the last), so equal windows have equal
     anchors at equal places. Texts are hashed CHUNK bytes at a time; longer ones in parts that overlap by a window less one.
@@ -70,7 +71,7 @@ def runs(data: list[bytes], window: int) -> tuple:
             group.append(p)
             held += len(p[2])
     kinds = (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64)
-    return tuple(np.concatenate([np.asarray(o[c], k) for o in out]) if out else np.zeros(0, k) for c, k in enumerate(kinds))
+    return tuple(np.concatenate([np.asarray(o[c], k) for o in out]) if out else np.zeros((0, 2) if c == 4 else 0, k) for c, k in enumerate(kinds))
 
 
 def _runs_of(group: list[tuple], window: int) -> tuple:
@@ -89,59 +90,23 @@ def _runs_of(group: list[tuple], window: int) -> tuple:
     start = at[first]
     count = np.diff(np.append(np.flatnonzero(first), len(at)))
     of = np.searchsorted(begins, start, "right") - 1
-    h = xxhash.xxh3_64_intdigest
-    spans = [h(raw[a:a + n]) for a, n in zip(start.tolist(), (count + window - 1).tolist(), strict=True)]
+    h, place = xxhash.xxh3_128_digest, anchor[start] - start
+    spans = b"".join([h(raw[a:a + n], p) for a, n, p in zip(start.tolist(), (count + window - 1).tolist(), place.tolist(), strict=True)])
     doc, skip = np.array([p[0] for p in group]), np.array([p[1] for p in group])
-    return doc[of], start - begins[of] + skip[of], count, g[anchor[start]], np.array(spans, np.uint64), anchor[start] - start
+    return doc[of], start - begins[of] + skip[of], count, g[anchor[start]], np.frombuffer(spans, "<u8").reshape(-1, 2), place
 
 
-def repeated_windows(spans: list[bytes], group: np.ndarray, place: np.ndarray, part: np.ndarray, parts: np.ndarray, window: int) -> np.ndarray:
-    """Marks on the bytes of the joined spans: where a window starts that starts elsewhere too.
+def classes(x: bytes, start: int, n: int, place: int, anchor: int, window: int, size: int):
+    """The n windows from start on, whose anchor lies `place` bytes into the first, in classes of `size` windows by the anchor's place.
 
-    Most-significant-digit passes: suffixes are split by group, then by one digit after another up to the
-    window's length; at each pass those alone in their class are done. What is left after the last digit is compared byte by byte. A
-    span's windows take part whose anchor lies part modulo parts bytes into them.
+    Of each class: its first window, windows, the anchor's place in the first, a value of the bytes that all windows with such places share,
+    and a digest of all bytes of its own windows.
     """
-    raw = np.frombuffer(b"".join(spans), np.uint8)
-    n = np.array([len(s) for s in spans])
-    begins = np.concatenate([[0], np.cumsum(n)[:-1]])
-    g = digits(raw)
-    windows = np.maximum(0, n - window + 1)
-    of = np.repeat(np.arange(len(spans)), windows)
-    at = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    mine = (place[of] - at) % parts[of] == part[of]
-    of, at = of[mine], at[mine]
-    pos = begins[of] + at
-    kind = group[of].astype(np.uint64)
-    for d in range(0, window, DIGIT):
-        key = (kind * np.uint64(_BASE)) ^ g[pos + d]
-        order = np.argsort(key, kind="stable")
-        sk = key[order]
-        new = np.concatenate([[True], sk[1:] != sk[:-1]]) if len(sk) else np.zeros(0, bool)
-        ids = np.cumsum(new) - 1
-        many = np.bincount(ids)[ids] > 1 if len(ids) else new
-        order, ids = order[many], ids[many]
-        back = np.argsort(order)
-        pos, kind = pos[order][back], ids[back].astype(np.uint64)
-    marks = np.zeros(len(raw), bool)
-    if not len(pos):
-        return marks
-    _, first, inverse = np.unique(kind, return_index=True, return_inverse=True)
-    like = pos[first][inverse]
-    gap = like - pos
-    chain = np.concatenate([[False], (pos[1:] == pos[:-1] + 1) & (gap[1:] == gap[:-1])])
-    same = raw[pos + window - 1] == raw[like + window - 1]
-    heads = np.flatnonzero(~chain)
-    for i in heads.tolist():
-        same[i] = same[i] and (gap[i] == 0 or raw[pos[i]:pos[i] + window].tobytes() == raw[like[i]:like[i] + window].tobytes())
-    bad = np.unique(np.searchsorted(heads, np.flatnonzero(~same), "right") - 1)
-    ends = np.append(heads[1:], len(pos))
-    for b in bad.tolist():  # a collision: judge each window of the chain by itself
-        for i in range(heads[b], ends[b]):
-            same[i] = raw[pos[i]:pos[i] + window].tobytes() == raw[like[i]:like[i] + window].tobytes()
-    others = np.bincount(inverse, weights=same & (gap != 0))
-    marks[pos] = np.where(gap == 0, others[inverse] > 0, same)
-    return marks
+    at, least = start + place, place - n + 1
+    for c in range(least // size, place // size + 1):
+        far, near = min((c + 1) * size - 1, place), max(c * size, least)
+        shared = xxhash.xxh3_64_intdigest(x[at - c * size:at - (c + 1) * size + 1 + window], c)
+        yield at - far, far - near + 1, far, (shared ^ anchor) & _ALL, xxhash.xxh3_128_digest(x[at - far:at - near + window], far)
 
 
 def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,24 +114,47 @@ def _stretches(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def strip_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+def _passed(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over rows (SPAN): (settled, deeper).
+
+    Rows whose core no other row has are done. settled: rows with the same digest as another row of their core, all of whose
+    windows are repeated. deeper: of each core with more than one digest, one row for each digest. Both sides of each join are tables or
+    fresh shuffles, so that Spark can split the rows of a frequent core.
+    """
+    cores = rows.groupBy("core").agg(F.count("*").alias("times"), F.min("h1").alias("a"), F.max("h1").alias("z"), F.min("h2").alias("b"), F.max("h2").alias("y"))
+    cores = staged(cores.where("times > 1").select("core", F.expr("a != z or b != y").alias("mixed")), f"{name}_cores")
+    hits = staged(rows.join(cores, "core"), f"{name}_hits")
+    kinds = hits.where("mixed").groupBy("core", "h1", "h2").agg(F.count("*").alias("times"), F.min(F.struct("block", "row", "start", "n", "place", "anchor")).alias("r"))
+    kinds = staged(kinds.select("core", "h1", "h2", "times", "r.*"), f"{name}_kinds")
+    often = kinds.where("times > 1").select("core", "h1", "h2")
+    settled = hits.where("not mixed").drop("mixed").unionByName(hits.where("mixed").drop("mixed").join(often, ["core", "h1", "h2"], "left_semi"))
+    return settled, kinds
+
+
+def strip_repeats(docs: DataFrame, window: int = 400, sizes: tuple = (100, 10, 1)) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Removes every byte that is covered by a window-byte string which starts anywhere else too, the same document included;
     overlapping ones count. Texts are UTF-8 bytes, null is empty; texts shorter than a window lose nothing. Repeated rows repeat
-    each other. window is a multiple of DIGIT bytes, at least two digits.
-
-    1. Suffixes are put in classes by their first digit that matters, their anchor (see runs). Runs of suffixes that share an
-       anchor are one row. An anchor that comes once in all documents ends the search there.
-    2. Where all runs of an anchor have the same bytes, all their suffixes are repeated.
-    3. The others, one run of each content, meet by anchor and are sorted further, digit by digit (see repeated_windows). The windows
-       of an anchor with many contents are dealt out by the anchor's place in them: equal windows have it at the same place.
-    Documents lie in blocks that never move; rows of (block, run) go to them.
+    each other. window is at least twice DIGIT bytes. sizes: windows of a class in the passes after the first; the last is 1.
+
+    Suffixes are sorted from their most significant digit on, to the window's length. That digit is the window's anchor (see runs). The suffixes
+    of one anchor are one row at first; each pass then takes more of their bytes into account and smaller classes of them:
+    all with one anchor; up to 100, 10 and 1 with neighbouring places of the anchor, with all the bytes that these share. A class that comes once is
+    done. Classes with equal bytes are settled, all their suffixes being repeated. What remains, once for each content,
+    goes on to the next pass, the last of which looks at single suffixes and all their bytes. No pass gathers a class in a task: rows
+    are counted map-side and joined with the counts. Documents lie in blocks that never move.
+
+    Equal bytes: the same anchor value (64 bits) or shared bytes' value, and the same 128-bit digest, length and place.
     """
-    assert window % DIGIT == 0 and window >= 2 * DIGIT
-    spark = docs.sparkSession
+    assert window >= 2 * DIGIT and sizes[-1] == 1
     rows = blocks(docs.select("doc_id", "text"), "repeats_rows")
-    schema = "block long, row int, start long, n int, anchor long, content long, place int"
+    names = [x.split()[0] for x in SPAN.split(", ")]
+    schema = pa.schema([("block", pa.int64()), ("row", pa.int32()), ("start", pa.int64()), ("n", pa.int32()), ("place", pa.int32()),
+                        ("anchor", pa.int64()), ("core", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+    def signed(x: np.ndarray) -> pa.Array:
+        return pa.array(x.view(np.int64))
 
     def scan(batches):
         for batch in batches:
@@ -175,50 +163,33 @@ def strip_repeats(docs: DataFrame, window: int = 400) -> DataFrame:
             for at in range(0, len(data), 512):
                 of, start, n, anchor, content, place = runs(data[at:at + 512], window)
                 of = pa.array(of + at)
-                yield pa.RecordBatch.from_arrays([block.take(of), row.take(of), pa.array(start), pa.array(n.astype(np.int32)), pa.array(anchor.view(np.int64)),
-                                                  pa.array(content.view(np.int64)), pa.array(place.astype(np.int32))], names=[x.split()[0] for x in schema.split(", ")])
-
-    found = staged(rows.select("block", "row", "text").mapInArrow(scan, schema), "repeats_runs")
-    anchors = found.groupBy("anchor").agg(F.count("*").alias("times"), F.min("content").alias("lo"), F.max("content").alias("hi")).where("times > 1")
-    hits = staged(found.join(anchors.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "repeats_hits")
-    kinds = hits.where("mixed").groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("block", "row", "start", "n", "place")).alias("r"))
-    kinds = staged(kinds.select("anchor", "content", "times", "r.*"), "repeats_kinds")
-
-    wide = kinds.groupBy("anchor").agg(F.ceil(F.count("*") / MOST).cast("int").alias("parts")).where("parts > 1")
-    asked = kinds.join(wide, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    groups = max(partitions(spark), int((kinds.agg(F.sum(F.col("n") + window)).first()[0] or 0) // SORT_BYTES))
-    span = "block long, row int, start long, once boolean, anchor long, place int, parts int, bytes binary"
-
-    def fetch(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        data = dict(zip(table.column("row").to_pylist(), texts(table.column("text")), strict=True)) if len(wanted) else {}
-        taken = [data[r][s:s + n + window - 1] for r, s, n in zip(*(wanted.column(c).to_pylist() for c in ("row", "start", "n")), strict=True)]
-        return pa.table([*(wanted.column(c) for c in ("block", "row", "start", "once", "anchor", "place", "parts")), pa.array(taken, pa.binary())],
-                        names=[x.split()[0] for x in span.split(", ")])
-
-    spans = rows.groupBy("block").cogroup(asked.withColumn("once", F.col("times") == 1).groupBy("block")).applyInArrow(fetch, span)
-    spans = spans.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    spans = spans.withColumn("group", F.pmod(F.xxhash64("anchor", "part"), F.lit(groups)))
-
-    def sort(table: pa.Table) -> pa.Table:
-        # a group takes in whole (anchor, part) classes
-        data = table.column("bytes").to_pylist()
-        kind = table.column("anchor").to_numpy().view(np.uint64)
-        place, part, parts = (table.column(c).to_numpy().astype(np.int64) for c in ("place", "part", "parts"))
-        marks = repeated_windows(data, kind, place, part, parts, window)
-        out: list[list] = [[], [], [], []]
-        begin = 0
-        for b, r, s, once, x in zip(*(table.column(c).to_pylist() for c in ("block", "row", "start", "once")), data, strict=True):
-            if once:
-                for a, n in zip(*_stretches(marks[begin:begin + len(x)]), strict=True):
-                    for c, v in zip(out, (b, r, s + int(a), int(n)), strict=True):
-                        c.append(v)
-            begin += len(x)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], names=["block", "row", "start", "n"])
-
-    sorted_ = spans.groupBy("group").applyInArrow(sort, "block long, row int, start long, n int")
+                yield pa.RecordBatch.from_arrays(
+                    [block.take(of), row.take(of), pa.array(start), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)),
+                     signed(anchor), signed(anchor), signed(content[:, 0].copy()), signed(content[:, 1].copy())], schema=schema)
+
+    def finer(size: int):
+        def split(table: pa.Table, wanted: pa.Table) -> pa.Table:
+            if not len(wanted):
+                return schema.empty_table()
+            data = dict(zip(table.column("row").to_pylist(), texts(table.column("text")), strict=True))
+            out = []
+            for r, start, n, place, anchor in zip(*(wanted.column(c).to_pylist() for c in ("row", "start", "n", "place", "anchor")), strict=True):
+                out += [(r, anchor, *c) for c in classes(data[r], start, n, place, anchor, window, size)]
+            r, anchor, start, n, place, core, digest = zip(*out, strict=True)
+            digest = np.frombuffer(b"".join(digest), "<i8").reshape(-1, 2)
+            columns = [np.full(len(r), table.column("block")[0].as_py()), r, start, n, place, anchor, np.array(core, np.uint64).view(np.int64), digest[:, 0].copy(), digest[:, 1].copy()]
+            return pa.table([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+        return split
+
+    settled, deeper = _passed(staged(rows.select("block", "row", "text").mapInArrow(scan, SPAN), "repeats_runs"), "repeats")
     cols = ["block", "row", "start", "n"]
-    twice = kinds.where("times > 1").select("anchor", "content")
-    cover = joined_all([hits.where("not mixed").select(cols), hits.where("mixed").join(twice, ["anchor", "content"], "left_semi").select(cols), sorted_])
+    covers = [settled.select(cols)]
+    for size in sizes:
+        asked = deeper.select("block", "row", "start", "n", "place", "anchor").groupBy("block")
+        found = rows.select("block", "row", "text").groupBy("block").cogroup(asked).applyInArrow(finer(size), SPAN)
+        settled, deeper = _passed(staged(found, f"repeats_{size}"), f"repeats_{size}")
+        covers.append(settled.select(cols))
+    cover = joined_all(covers)
 
     def remove(table: pa.Table, covers: pa.Table) -> pa.Table:
         order = np.argsort(covers.column("row").to_numpy(), kind="stable")
