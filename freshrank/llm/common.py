@@ -98,6 +98,15 @@ def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.select(*[c if c in ("doc_id", "text") else F.col(f"rest.`{c}`") for c in columns])
 
 
+def only(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of blocks that chosen (block, row) names; texts stay where they are."""
+
+    def some(table: pa.Table, own: pa.Table) -> pa.Table:
+        return table.filter(pc.is_in(table.column("row"), own.column("row").combine_chunks())) if len(table) else table
+
+    return rows.groupBy("block").cogroup(chosen.select("block", "row").groupBy("block")).applyInArrow(some, rows.schema)
+
+
 def texts(column) -> list[bytes]:
     """The texts of an Arrow column as UTF-8 bytes; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -118,7 +127,7 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of the undirected edges (src, dst): (node, root), root the least node.
 
     Large-star and small-star in turn until nothing changes: every round joins each node's neighbours to
-    their minimum, which is summed up map-side first; hubs are what skewed joins split. Nodes without
+    their minimum. Minima are taken map-side first and written apart, so that the joins can split a hub. Nodes without
     an edge to another node do not appear. All rounds are tables in the shared folder.
     """
     a, b = F.col("src"), F.col("dst")
@@ -126,10 +135,10 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(b.alias("src"), a.alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m"))
+        least = staged(both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("src", "m").alias("m")), name)
         large = both.join(least, "src").where(b > a).select(b.alias("src"), F.col("m").alias("dst")).where(a != b).distinct()
         large = staged(large, name)
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
+        least = staged(large.groupBy("src").agg(F.min("dst").alias("m")), name)
         small = (large.join(least, "src").where(b != F.col("m")).select(b.alias("src"), F.col("m").alias("dst"))
                  .unionByName(least.select("src", F.col("m").alias("dst"))))
         now = staged(small.where(a != b).select(F.greatest(a, b).alias("src"), F.least(a, b).alias("dst")).distinct(), name)

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, staged
 
+#: Neither a letter nor ASCII white space.
+MARKS = r"[^\p{L}\x20\x09-\x0D]"
+
 
 def quality_weight() -> Column:
-    """A weight from the text's own shape: 1 where a word has 3 to 10 characters in the mean (prose), else 0.25."""
+    """A weight from 0.0125 to 1 by the text's own shape: less the more of its characters are neither letters nor white space, and a fourth where
+    a word has not 3 to 11 characters in the mean. Uses columns text and size (words); no text: as with neither."""
+    n = F.greatest(F.coalesce(F.char_length("text"), F.lit(0)), F.lit(1))
+    marks = F.coalesce(F.regexp_count("text", F.lit(MARKS)), F.lit(0)) / n
     mean = F.coalesce(F.char_length("text"), F.lit(0)) / F.greatest(F.col("size"), F.lit(1))
-    return F.when((mean >= 3.0) & (mean <= 11.0), F.lit(1.0)).otherwise(F.lit(0.25))
+    return F.greatest(F.lit(0.05), 1.0 - 2.0 * marks) * F.when((mean >= 3.0) & (mean <= 11.0), F.lit(1.0)).otherwise(F.lit(0.25))
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1)) -> DataFrame:
@@ -39,30 +48,31 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
                         .otherwise(F.col("hit.level") * F.col("weight"))).drop("most", "ratio", "place", "level", "hit", "weight")
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1), seed: str = "mix") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1), seed: str = "mix", weight: Column | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, source): how many of its words the mix takes.
 
     Columns: doc_id, source, size, source_size, target, epochs (complete passes), part (words of the last,
     fractional pass), taken = epochs * size + part, text_hash (tells texts of one doc_id apart).
 
     A source whose target is e times its size and a rest gives e complete epochs, then documents in the order of
-    their Efraimidis-Spirakis key -ln(u) / quality until the rest is used up; the document at the edge gives
-    its first words, so a source's taken words sum to floor(target). u comes from a digest of seed and doc_id: reruns agree.
+    their Efraimidis-Spirakis key -ln(u) / weight until the rest is used up; the document at the edge gives
+    its first words, so a source's taken words sum to floor(target). weight is quality_weight() or a column over doc_id, text, source and size. u comes
+    from a digest of seed, doc_id and text: reruns agree, and rows that share a doc_id, null among them, spread.
     Prefix sums go by buckets of the key, about sqrt(rows) buckets of sqrt(rows) rows in each source,
     so that no task holds a source. Null text: size 0; null source: a source of its own, the last;
     null doc_id: as an empty one; rows with equal keys go by doc_id, size and text hash.
     """
     w = F.col("weight")
-    base = docs.select(
-        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64("text").alias("text_hash"), "text").withColumn("weight", quality_weight()).drop("text")
+    digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))
+    base = docs.select("doc_id", "source", "text", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+    base = base.select("doc_id", "source", "size", F.xxhash64("text").alias("text_hash"), (quality_weight() if weight is None else weight).alias("weight"),
+                       ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))).alias("u"))
     base = staged(base, "mix_sizes")
     totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean_weight"))
     targets = staged(source_targets(totals, share, cap, weights), "mix_targets")
 
-    u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
     d = base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "b.source", "size", "text_hash", "sid", "source_size", "target", "mean_weight", "n", (-F.ln(u) / w).alias("key"))
+        "doc_id", "b.source", "size", "text_hash", "sid", "source_size", "target", "mean_weight", "n", (-F.ln(F.col("u")) / w).alias("key"))
     d = d.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.ceil(F.sqrt("n"))).cast("long"))
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(
@@ -80,24 +90,27 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: docs, each row as often as it is taken whole, then the first words of what is taken in part.
 
-    Repeated rows are numbered and matched one to one. A document of no words, which costs nothing, comes once.
+    Repeated rows are numbered and matched one to one. A document of no words, which costs nothing, comes once. Columns of any names go along.
     """
-    plan = mix(docs, **options).withColumn("_nth", F.row_number().over(W.partitionBy("doc_id", "text_hash", "source").orderBy(F.desc("part")))).select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "_nth", F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("epochs").alias("_epochs"), F.col("part").alias("_part"))
-    mine = docs.withColumn("_h", F.xxhash64("text"))
-    mine = mine.withColumn("_n", F.row_number().over(W.partitionBy("doc_id", "_h", "source").orderBy("_h")))
-    took = mine.join(plan, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_h") == F.col("_hash")) & (F.col("_n") == F.col("_nth")))
-    copies = F.when(F.col("_size") == 0, 1).otherwise(F.col("_epochs") + (F.col("_part") == F.col("_size")).cast("long"))
-    copies = F.transform(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.col("text"))
-    cut = F.when((F.col("_part") > 0) & (F.col("_part") < F.col("_size")),
-                 F.array(F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_part").cast("int")), " "))).otherwise(F.array().cast("array<string>"))
-    return took.withColumn("text", F.explode(F.concat(copies, cut))).select(*docs.columns)
+    keys = ["doc_id", "source", "text_hash"]
+    plan = mix(docs, **options).withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("part")))).alias("p")
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
+    mine = mine.select("doc", "doc.doc_id", "doc.source", F.xxhash64("doc.text").alias("text_hash"))
+    mine = mine.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy("text_hash"))).alias("m")
+    same = [F.col(f"m.{c}").eqNullSafe(F.col(f"p.{c}")) for c in keys[:2]] + [F.col(f"m.{c}") == F.col(f"p.{c}") for c in ("text_hash", "nth")]
+    took = mine.join(plan, reduce(and_, same)).select("doc", "size", "epochs", "part")
+    copies = F.when(F.col("size") == 0, 1).otherwise(F.col("epochs") + (F.col("part") == F.col("size")).cast("long"))
+    copies = F.transform(F.when(copies > 0, F.sequence(F.lit(1), copies.cast("int"))).otherwise(F.array().cast("array<int>")), lambda i: F.col("doc.text"))
+    first = F.array_join(F.slice(F.regexp_extract_all("doc.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("part").cast("int")), " ")
+    cut = F.when((F.col("part") > 0) & (F.col("part") < F.col("size")), F.array(first)).otherwise(F.array().cast("array<string>"))
+    took = took.select("doc", F.explode(F.concat(copies, cut)).alias("text"))
+    return took.select(*["text" if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 SQL = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         coalesce(length(text), 0) AS n_cp FROM documents),
+         coalesce(length(text), 0) AS n_cp, coalesce(len(regexp_extract_all(text, '[^\p{L}\x20\x09-\x0D]')), 0) AS marks, md5(coalesce(text, '')) AS text_md5 FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS sid FROM s),
 s2 AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight, source_size * 2.0::DOUBLE AS most FROM s1),
@@ -111,8 +124,9 @@ hit AS (SELECT arg_min(level, place) AS level, min(place) AS place FROM s4 WHERE
 t AS (SELECT s4.source, s4.source_size, CASE WHEN s4.place < hit.place THEN s4.most ELSE hit.level * s4.weight END AS target FROM s4, hit),
 k AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, t.source,
-    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
-    / CASE WHEN d.n_cp::DOUBLE / greatest(d.size, 1) BETWEEN 3 AND 11 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END AS key
+    -ln((CAST(('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), '') || ':' || d.text_md5), 1, 13)) AS BIGINT)::DOUBLE + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+    / (greatest(0.05::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * (d.marks::DOUBLE / greatest(d.n_cp, 1)))
+       * CASE WHEN d.n_cp::DOUBLE / greatest(d.size, 1) BETWEEN 3 AND 11 THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END) AS key
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
         CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM k)

@@ -16,8 +16,8 @@ WINDOW, STEP = 48, 36
 WORDS, TRIPLES, WIDE, NARROW, STATE = 1 << 15, 1 << 13, 12, 8, 12
 #: Bytes of the beginnings of words that are looked up like words.
 HEADS = (5, 8)
-#: Labelled rows that training uses at most, of label 0 and 1: those of the least hash of doc_id.
-SAMPLE = (3000, 1500)
+#: Labelled rows that training uses at most, of label 0 and 1: those of the least hash of doc_id. Longer texts than so many bytes are not among them.
+SAMPLE, SAMPLE_BYTES = (3000, 1500), 1 << 16
 _STRIP = b" .,;:!?\"'()[]{}<>|*#$%&-_=+/\\~^`@"
 _A = np.uint64(0x9E3779B97F4A7C15)
 
@@ -240,12 +240,17 @@ def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 2
 
 
 def labelled(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, most: tuple = SAMPLE) -> list:
-    """At most `most` (text, label) of label 0 and of label 1 whose crc32(doc_id as text) is not `held` modulo `folds`."""
+    """At most `most` (text, label) of label 0 and of label 1 whose crc32(doc_id as text) is not `held` modulo `folds`.
+
+    Of rows with one doc_id the least text is taken. The sample's bound, for which SAMPLE and SAMPLE_BYTES are parameters, is all that
+    reaches the driver.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds)) != held)
     picked = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most[y]) for y in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").orderBy("doc_id", "toxic", "text").select("text", "toxic").limit(2 * sum(most)).collect()
+    short = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES)
+    return short.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").select("text", "toxic").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Net | None:

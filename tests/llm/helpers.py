@@ -6,11 +6,12 @@ ROWS = [
     (3, None, None), (4, "", "b"), (5, " \t\n", "b"), (6, LONG, "c"), (6, LONG, "c"), (7, LONG + " end", None), (8, "ÄÖ ß 你好 🙂 'tis <|endoftext|> DON'T", "ä"),
     (9, "a" * 3000, "c"), (10, "one", "z"), (10, "two", "z"), (None, "one", "z"), (11, "x\ny\nx\ny\nx\ny", "q"),
 ]
-SCHEMA = "doc_id long, text string, source string, size string, block string, row string, kept string, fp string, weight string"
+SCHEMA = ("doc_id long, text string, source string, size string, block string, row string, kept string, fp string, weight string, "
+          "score string, _h string, _n string, _part string, _hash string, doc string, rest string, nth string, hash string, id string")
 
 
 def fixture(spark, rows=ROWS):
-    return spark.createDataFrame([(*r, "s", "b", "r", "k", "f", "w") for r in rows], SCHEMA)
+    return spark.createDataFrame([(*r, *"sbrkfw", *"0123456789") for r in rows], SCHEMA)
 
 
 def empty(spark):
