@@ -12,8 +12,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, packed, partitions, staged, texts
+from .common import blocks, packed, staged, texts
 
+#: Fingerprints that an owner of a range should get.
+OWNED = 1 << 20
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
@@ -61,9 +63,8 @@ def exact_dedup(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     within their block, are suspects. Suspects are grouped by their digest and their whole bytes; equal texts
     of a task become one row before the shuffle, so a group of any size sends one row a task.
     """
-    spark = docs.sparkSession
     rows = blocks(packed(docs), "exact_rows")
-    bits = max(1, (partitions(spark) - 1).bit_length())
+    bits = max(2, (rows.count() // OWNED).bit_length())
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py()

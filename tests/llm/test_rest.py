@@ -83,30 +83,65 @@ def test_encoder():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [whole.encode(x, add_special_tokens=False).ids for x in data]
 
 
-def test_lm(docs):
-    k = 500.0
+@pytest.mark.parametrize("block_bytes", [1 << 23, 3000])
+def test_lm(docs, block_bytes):
+    k2, k3 = lm.WEIGHTS
     texts = [(r.doc_id, (r.text or "").encode().lower().split()) for r in docs.select("doc_id", "text").collect()]
     train = [t for d, t in texts if crc32(b"" if d is None else str(d).encode()) % 5 != 1]
-    uni, bi, ctx = Counter(), Counter(), Counter()
+    c, context = Counter(), Counter()
     for t in train:
-        full = [*t, None]
-        uni.update(full)
-        bi.update(zip([b"\n", *full], full))
-        ctx.update([b"\n", *t])
-    n, v = sum(uni.values()), len(uni)
+        full = [b"\n", *t, None]
+        for i in range(1, len(full)):
+            c.update([(full[i],), (full[i - 1], full[i])])
+            context.update([(full[i - 1],)])
+            if i > 1:
+                c.update([tuple(full[i - 2:i + 1])])
+                context.update([(full[i - 2], full[i - 1])])
+    n, v = sum(k for g, k in c.items() if len(g) == 1), sum(len(g) == 1 for g in c)
     want = Counter()
     for d, t in texts:
-        full = [*t, None]
+        full = [b"\n", *t, None]
         base = score = 0.0
-        for u, w in zip([b"\n", *full], full):
-            p = (uni[w] + 0.5) / (n + 0.5 * (v + 1))
+        for i in range(1, len(full)):
+            p = (c[full[i],] + 0.5) / (n + 0.5 * (v + 1))
             base += math.log10(p)
-            score += math.log10((bi[u, w] + k * p) / (ctx[u] + k) if ctx[u] else p)
-        want[(d, len(full), sum(uni[w] > 0 for w in full), round(base, 4), round(score, 4))] += 1
-    got = Counter((r.doc_id, r.n_tokens, r.n_known, round(r.base_score, 4), round(r.score, 4)) for r in lm.lm_scores(docs).collect())
+            for size, k in ((1, k2), (2, k3)):
+                if i >= size and context[tuple(full[i - size:i])]:
+                    p = (c[tuple(full[i - size:i + 1])] + k * p) / (context[tuple(full[i - size:i])] + k)
+            score += math.log10(p)
+        want[(d, len(full) - 1, sum(c[w,] > 0 for w in full[1:]), n, round(base, 4), round(score, 4))] += 1
+    got = Counter((r.doc_id, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in lm.lm_scores(docs, block_bytes=block_bytes).collect())
     assert got == want
 
 
+def test_lm_tells_held_out_texts_better_than_single_words(spark):
+    held = lm.lm_scores(documents(spark, "/root/testdata/sf0.01")).where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+    assert held[0] > -3.4 and held[1] < -4
+
+
+def test_automaton_sums_to_one():
+    """Each state's arcs and failures together give all tokens of a closed vocabulary, the unseen one included, a probability of one."""
+    sizes, ids, words = lm.encoded([b"a b a b c", b"b a c c a b", b""])
+    block = lm.Block([1, 2, 3], sizes, ids, words)
+    counts = [np.unique(g, return_counts=True) for g in block.grams(2)]
+    c1 = counts[0][1][np.searchsorted(counts[0][0], words)]
+    triples = np.unique(block.grams(3)[2][~block.first], return_counts=True)[1]
+    n, v = int(c1.sum()), len(c1)
+    made = lm.Automaton(block, [c1, counts[1][1], triples], n, v)
+    rest = 0.5 / (n + 0.5 * (v + 1))
+    for state in [0, *np.unique(made.keys // made.words).tolist()]:
+        total = 0.0
+        for token in range(len(words)):
+            at, cost = state, 0.0
+            while at and at * made.words + token not in made.keys:
+                cost, at = cost + made.failing[at], made.failure[at]
+            total += 10 ** (cost + (made.cost[np.searchsorted(made.keys, at * made.words + token)] if at else made.root[token]))
+        at, cost = state, 0.0
+        while at:
+            cost, at = cost + made.failing[at], made.failure[at]
+        assert total + 10 ** cost * rest == pytest.approx(1)
+
+
 def test_toxicity_learns():
     rng = np.random.default_rng(0)
     words = ["".join(map(chr, rng.integers(97, 110, 5))) for _ in range(300)]
