@@ -10,20 +10,20 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-#: Vectors of a shard, queries of a block, edges of a node, beam and relaxation of the graph, beam of a search.
-SHARD, BLOCK, DEGREE, BUILD_BEAM, ALPHA, BEAM = 8192, 4096, 32, 64, 1.2, 128
+#: Vectors of a shard, queries of a block and those searched at once, edges of a node, beam and relaxation of the graph, beam of a search.
+SHARD, BLOCK, AT_ONCE, DEGREE, BUILD_BEAM, ALPHA, BEAM = 8192, 16384, 2048, 32, 64, 1.2, 256
 
 
-def _gaps(x: np.ndarray, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Squared distances of each x to its own points ids; -1 is infinitely far."""
+def _gaps(x: np.ndarray, points: np.ndarray, ids: np.ndarray, inner: bool) -> np.ndarray:
+    """How far each x is from its own points ids: squared distances or, if inner, inner products with the other sign; -1 is infinitely far."""
     p = points[ids]
-    d = ((p - x[:, None, :]) ** 2).sum(axis=2)
+    d = -(p @ x[:, :, None])[:, :, 0] if inner else ((p - x[:, None, :]) ** 2).sum(axis=2)
     d[ids < 0] = np.inf
     return d
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each x the beam nearest nodes that a greedy search from entry meets: ids (-1: none) and squared distances, near to far.
+def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, x: np.ndarray, beam: int, inner: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """For each x the beam nearest nodes that a greedy search from entry meets: ids (-1: none) and how far (see _gaps), near to far.
 
     All searches go on in step: each opens its nearest node not opened yet and merges that node's neighbours into its beam.
     """
@@ -31,7 +31,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, x: np.ndarray
     ids = np.full((n, beam), -1, np.int32)
     far = np.full((n, beam), np.inf, np.float32)
     done = np.ones((n, beam), bool)
-    ids[:, 0], far[:, 0], done[:, 0] = entry, ((points[entry] - x) ** 2).sum(axis=1), False
+    ids[:, 0], far[:, 0], done[:, 0] = entry, _gaps(x, points, np.full((n, 1), entry), inner)[:, 0], False
     active = np.arange(n)
     while len(active):
         i, d, o = ids[active], far[active], done[active]
@@ -39,7 +39,7 @@ def beam_search(points: np.ndarray, graph: np.ndarray, entry: int, x: np.ndarray
         rows = np.arange(len(active))
         o[rows, pick] = True
         next_ = graph[i[rows, pick]]
-        nd = _gaps(x[active], points, next_)
+        nd = _gaps(x[active], points, next_, inner)
         i, d, o = np.hstack([i, next_]), np.hstack([d, nd]), np.hstack([o, next_ < 0])
         # of equal ids the first in (id, opened first) order stays
         by_id = np.lexsort((~o, i), axis=1)
@@ -123,42 +123,56 @@ def _matrix(column) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
-def build_index(distinct: DataFrame, count: int, largest: float, shard: int = SHARD) -> DataFrame:
-    """distinct (embedding, members) -> the same with shard, pos, entry and edges (positions in the shard): one row for every vector.
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Directions; the largest component is made one first, so that no square overflows or vanishes."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v ** 2).sum(axis=1, keepdims=True))
 
-    Inner products become distances by one more component, sqrt(largest^2 - |v|^2), so that the nearest has the largest product.
+
+def build_index(distinct: DataFrame, count: int, shard: int = SHARD) -> DataFrame:
+    """distinct (embedding, members) -> the same with dim, shard, pos, entry and edges (positions in the shard): one row for every vector.
+
+    The graph is one of directions: it stays as easy to walk where norms differ widely. Vectors of different lengths have graphs of their own.
     """
     shards = max(1, -(-count // shard))
-    dealt = distinct.withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
+    dealt = distinct.withColumn("dim", F.size("embedding")).withColumn("shard", F.pmod(F.xxhash64("embedding"), F.lit(shards)).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
         v = _matrix(table.column("embedding"))
-        more = np.sqrt(np.maximum(0.0, largest ** 2 - (v ** 2).sum(axis=1)))
-        graph, entry = build_graph(np.hstack([v, more[:, None]]).astype(np.float32))
+        graph, entry = build_graph(_unit(v).astype(np.float32))
         return table.append_column("pos", pa.array(np.arange(len(v), dtype=np.int32))).append_column(
             "entry", pa.array(np.full(len(v), entry, np.int32))).append_column("edges", pa.array(graph.tolist(), pa.list_(pa.int32())))
 
-    return dealt.groupBy("shard").applyInArrow(build, "embedding array<double>, members array<long>, shard int, pos int, entry int, edges array<int>")
+    return dealt.groupBy("dim", "shard").applyInArrow(build, "embedding array<double>, members array<long>, dim int, shard int, pos int, entry int, edges array<int>")
+
+
+def nearest(points: np.ndarray, graph: np.ndarray, entry: int, x: np.ndarray, beam: int) -> np.ndarray:
+    """For each query of x the nodes (-1: none) of large inner product that a beam over the graph meets; all, if no more than the beam holds."""
+    if len(points) <= beam:
+        return np.tile(np.arange(len(points)), (len(x), 1))
+    scaled = (points / np.abs(points).max()).astype(np.float32)
+    return beam_search(scaled, graph, entry, _unit(x).astype(np.float32), beam, inner=True)[0]
 
 
 def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
-    """vectors (vec_id, embedding) -> query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` the k
+    """vectors (vec_id, embedding, ...) -> query_id, rank, vec_id, score: for each row whose vec_id is divisible by `every` the k
     rows of largest inner product that beams over all shards find, its own row left out; ties to the smaller vec_id.
 
     Equal vectors are one node with its k + 1 smallest vec_ids (no more can be among the first k), and equal queries one
     query, so copies cost one search. Every shard's graph is built once and kept; blocks of queries are
-    sent to each. Vectors that are null, zero or hold null or non-finite components take no part. No vectors: no rows.
+    sent to each. Vectors that are null, empty, zero or hold null or non-finite components take no part; those of another length than a query's
+    are no candidates of it. No vectors: no rows.
     """
     fit = staged(usable(vectors), "ann_vectors")
     first = W.partitionBy("embedding").orderBy("vec_id")
     distinct = (fit.withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1).groupBy("embedding")
                 .agg(F.array_sort(F.collect_list("vec_id")).alias("members")))
     distinct = staged(distinct, "ann_distinct")
-    count, largest = distinct.agg(F.count("*"), F.max(F.expr("sqrt(aggregate(embedding, 0D, (s, x) -> s + x * x))"))).first()
-    index = staged(build_index(distinct, count, largest or 0.0, shard), "ann_index")
+    count = distinct.count()
+    index = staged(build_index(distinct, count, shard), "ann_index")
 
     asked = fit.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = staged(asked.select("embedding").distinct().withColumn("q", F.xxhash64("embedding")), "ann_queries")
+    queries = staged(asked.select("embedding").distinct().withColumn("q", F.xxhash64("embedding")).withColumn("dim", F.size("embedding")), "ann_queries")
     n_blocks = max(1, -(-queries.count() // block))
     shards = max(1, -(-count // shard))
     blocked = queries.withColumn("block", F.pmod("q", F.lit(n_blocks)).cast("int"))
@@ -171,9 +185,8 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, s
             return hit.empty_table()
         table = table.take(np.argsort(table.column("pos").to_numpy()))
         v, x = _matrix(table.column("embedding")), _matrix(asks.column("embedding"))
-        more = np.sqrt(np.maximum(0.0, largest ** 2 - (v ** 2).sum(axis=1)))
-        points = np.hstack([v, more[:, None]]).astype(np.float32)
-        ids, _ = beam_search(points, _matrix(table.column("edges")).astype(np.int32), table.column("entry")[0].as_py(), np.hstack([x, np.zeros((len(x), 1))]).astype(np.float32), beam)
+        graph, entry = _matrix(table.column("edges")).astype(np.int32), table.column("entry")[0].as_py()
+        ids = [i for a in range(0, len(x), AT_ONCE) for i in nearest(v, graph, entry, x[a:a + AT_ONCE], beam)]
         members = table.column("members").to_pylist()
         at, vec, score = [], [], []
         for i, found in enumerate(ids):
@@ -185,7 +198,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, s
             score += [-a for a, _ in some]
         return pa.table([asks.column("embedding").take(pa.array(at, pa.int64())), pa.array(vec, pa.int64()), pa.array(score, pa.float64())], schema=hit)
 
-    found = copies.groupBy("shard", "block").cogroup(sent.groupBy("shard", "block")).applyInArrow(find, "embedding array<double>, vec_id long, score double")
+    found = copies.groupBy("dim", "shard", "block").cogroup(sent.groupBy("dim", "shard", "block")).applyInArrow(find, "embedding array<double>, vec_id long, score double")
     best = W.partitionBy("embedding").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
     out = asked.select(F.col("vec_id").alias("query_id"), "embedding").join(top, "embedding").where(F.col("query_id") != F.col("vec_id"))

@@ -13,7 +13,7 @@ def brute(rows, every=20, k=20):
     out = {}
     for q, x in good:
         if q % every == 0:
-            out[q] = sorted((-float((v * x).sum()), i) for i, v in good if i != q)[:k]
+            out[q] = sorted((-float((v * x).sum()), i) for i, v in good if i != q and len(v) == len(x))[:k]
     return out
 
 
@@ -53,6 +53,31 @@ def test_odd_vectors(spark):
     assert [v for _, v in hot] == [i for _, i in want[1100]]
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.7])
+def test_recall_of_full_shards(spark, spread):
+    """16,000 Gaussian vectors in two shards of about 8,000, with norms alike and with norms that vary by a log-normal factor."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(16_000, 64)) * rng.lognormal(0, spread, (16_000, 1))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, every=160).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 16_000, 160):
+        true = np.argsort(-(x @ x[q]))
+        hits.append(len(got[q] & set(true[true != q][:20].tolist())) / 20)
+    assert len(hits) == 100 and np.mean(hits) >= 0.9
+
+
+def test_huge_components_and_other_lengths(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * (1e30 if i in (20, 3, 5, 7, 9) else 1.0)]) for i in range(1, 40)]
+    rows += [(100 + i, [float(x) for x in rng.normal(size=3)]) for i in range(5)] + [(200, [1e200, 1.0, 0.0, 0.0]), (300, [1e-200, 0.0])]
+    want = brute(rows)
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert recall(got, want) == 1 and {q for q, v in want.items() if v} == {r.query_id for r in got}
+
+
 def test_few_and_none(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0], 0, "", ""), (1, [0.5, 0.5], 0, "", "")], SCHEMA)
     assert [tuple(r) for r in ann.search(df).collect()] == [(20, 1, 1, 0.5)]
