@@ -159,7 +159,7 @@ def laid_out(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     starts = [windows(len(d)) for d in docs]
     of = np.repeat(np.arange(len(docs)), [len(s) for s in starts])
     n = np.array([len(d) for d in docs])
-    flat = np.concatenate([*docs, np.zeros(1, np.int64)])
+    flat = np.concatenate([*docs, np.zeros(1, np.int32)])
     begin = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(docs) else n
     at = np.concatenate(starts)[:, None] + np.arange(WINDOW) if len(docs) else np.zeros((0, WINDOW), np.int64)
     mask = at < n[of][:, None]
@@ -194,7 +194,7 @@ class Coder:
             for a in range(0, len(words), 20_000):
                 some = [clean(w) for w in words[a:a + 20_000]]
                 self.held[at + a:at + a + len(some)] = self.net.gates(self.net.inputs(some))
-        return [np.fromiter(map(known.__getitem__, ws), np.int64, len(ws)) for ws in split]
+        return [np.fromiter(map(known.__getitem__, ws), np.int32, len(ws)) for ws in split]
 
 
 def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 200, seed: int = 5) -> Net | None:
@@ -208,16 +208,16 @@ def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 2
         return None
     net = Net()
     rounds = max(rounds, -(-steps * 128 // len(data)))
-    split = [[clean(w) for w in x.lower().split()] for x in data]
+    vocabulary: dict[bytes, int] = {}
+    docs = [np.array([vocabulary.setdefault(clean(w), len(vocabulary)) for w in x.lower().split()], np.int32) for x in data]
+    words = np.array(list(vocabulary), object)
+    lots = buckets(list(vocabulary))
     odds = np.zeros((2, WORDS))
-    for ws, y in zip(split, labels.tolist(), strict=True):
-        odds[y, np.unique(buckets(list(set(ws))))] += 1
+    for d, y in zip(docs, labels.tolist(), strict=True):
+        odds[y, np.unique(lots[np.unique(d)])] += 1
     ratio = np.log((odds[1] + 0.3) / (labels.sum() + 1)) - np.log((odds[0] + 0.3) / (len(labels) - labels.sum() + 1))
     ratio[odds.sum(0) < 4] = 0
     net.w["words"][:, 0] = np.clip(ratio, -1, 3)
-    vocabulary: dict[bytes, int] = {}
-    docs = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in ws), np.int64, len(ws)) for ws in split]
-    words = np.array(list(vocabulary), object)
     idx, mask, of = laid_out(docs)
     rng, moments = np.random.default_rng(seed), {}
     share = labels.mean()
@@ -226,7 +226,7 @@ def train(data: list[bytes], labels: np.ndarray, rounds: int = 6, steps: int = 2
     begins = np.searchsorted(of, np.arange(len(docs)), "left")
     for turn in range(rounds):
         if turn == 0:  # the windows of the largest log odds
-            value = (ratio[buckets(words.tolist())].max(axis=1)[idx] * mask).max(axis=1)
+            value = (ratio[lots].max(axis=1).astype(np.float32)[idx] * mask).max(axis=1)
         elif turn % 2 == 0:
             g = np.vstack([net.gates(net.inputs(words[a:a + 20_000].tolist())) for a in range(0, len(words), 20_000)])
             value = np.concatenate([net.forward(g, idx[a:a + 1024], mask[a:a + 1024]) for a in range(0, len(idx), 1024)])
@@ -255,7 +255,10 @@ def labelled(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2,
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> Net | None:
     rows = labelled(docs, labels, **options)
-    return train([(r.text or "").encode() for r in rows], np.array([r.toxic for r in rows], np.int64))
+    toxic = np.array([r.toxic for r in rows], np.int64)
+    data = [(r.text or "").encode() for r in rows]
+    del rows
+    return train(data, toxic)
 
 
 def scorer(net: Net | None):

@@ -159,6 +159,48 @@ def test_toxicity_learns():
     assert toxicity.train(texts[:4], np.zeros(4, np.int64)) is None and toxicity.scorer(None)([b"x"])[0] == 0
 
 
+def test_toxicity_forward_pass():
+    """Against the recurrences written out for one window at a time."""
+    net = toxicity.Net()
+    rng = np.random.default_rng(4)
+    g, s, w = rng.normal(size=(9, 6 * toxicity.STATE)).astype(np.float32), toxicity.STATE, net.w
+    idx, mask = rng.integers(0, 9, (5, 7)), np.arange(7) < np.array([7, 1, 3, 7, 5])[:, None]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for row, m, got in zip(idx, mask, net.forward(g, idx, mask.astype(np.float32)), strict=True):
+        row = row[m]
+        sides = []
+        for way, off, order in (("f", 0, range(len(row))), ("b", 3 * s, reversed(range(len(row))))):
+            h, out = np.zeros(s), np.zeros((len(row), s))
+            for i in order:
+                x, y = g[row[i], off:off + 3 * s], h @ w[f"h{way}"]
+                z, r = sigmoid(x[:s] + y[:s]), sigmoid(x[s:2 * s] + y[s:2 * s])
+                h = (1 - z) * h + z * np.tanh(x[2 * s:] + r * y[2 * s:])
+                out[i] = h
+            sides.append(out)
+        both = np.hstack(sides)
+        a = np.exp(both @ w["look"])
+        assert got == pytest.approx((a / a.sum()) @ both @ w["out"] * 4 + w["bias"][0], abs=1e-4)
+
+
+def test_toxicity_gradient_is_that_of_finite_differences():
+    net, idx, mask = toxicity.Net(), np.array([[0, 1, 2], [2, 1, 0]]), np.array([[1, 1, 1], [1, 1, 0]], np.float32)
+    words, y, weight = [b"abc", b"wretch", b"x"], np.array([1.0, 0.0], np.float32), np.array([1.0, 2.0], np.float32)
+    net.w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    moments: dict = {}
+    net.step(words, idx, mask, y, weight, 0.0, moments)
+    rng = np.random.default_rng(6)
+    for name, value in net.w.items():
+        grad = moments[name][0] / 0.1
+        some = np.argwhere(np.abs(grad) > 1e-4)
+        for at in map(tuple, some[rng.permutation(len(some))[:6]]):
+            loss = []
+            for e in (1e-3, -1e-3):
+                value[at] += e
+                loss.append(net.step(words, idx, mask, y, weight, 0.0, {}))
+                value[at] -= e
+            assert grad[at] == pytest.approx((loss[0] - loss[1]) / 2e-3, rel=0.05, abs=2e-4), (name, at)
+
+
 def test_toxicity_gradient():
     net, idx, mask = toxicity.Net(), np.array([[0, 1, 2], [2, 1, 0]]), np.array([[1, 1, 1], [1, 1, 0]], np.float32)
     words, y, weight = [b"abc", b"wretch", b"x"], np.array([1.0, 0.0], np.float32), np.ones(2, np.float32)
@@ -203,3 +245,33 @@ def test_pipeline(spark, sf_dir):
         assert docs.columns == before.columns and 0 < docs.count() <= before.count()
     assert docs.select("doc_id").distinct().count() == docs.count()
     assert corpus_pipeline.run(spark, sf_dir).count() > 0
+
+
+def test_pipeline_stages_on_odd_rows(spark, sf_dir):
+    """Nulls, ties, repeated rows and clashing names through every stage, against the same decisions made row by row."""
+    import corpus_pipeline
+
+    docs = fixture(spark)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["toxicity"](spark, docs, sf_dir)
+    assert kept.columns == docs.columns and 0 < kept.count() <= docs.count()
+    once = stages["exact_dedup"](spark, docs, sf_dir)
+    groups = {}
+    for r in docs.collect():
+        key = "".join((r.text or "").translate({ord(c): None for c in " \t\n\x0b\x0c\r"}))
+        groups[key] = min(groups.get(key, (1, True, 0)), (-len(r.text or ""), r.doc_id is None, r.doc_id or 0))
+    assert once.columns == docs.columns and sorted((r.doc_id is None, r.doc_id or 0) for r in once.collect()) == sorted(g[1:] for g in groups.values())
+    near_ = stages["near_dedup"](spark, once, sf_dir)
+    assert near_.columns == docs.columns and {r.doc_id for r in near_.collect()} == {2, 5, 6, 8, 9, 10, 11} and near_.where("doc_id = 10").count() + near_.where("doc_id is null").count() == 2
+    mixed = stages["mix_sources"](spark, docs, sf_dir)
+    taken = {}
+    for r in mixing.mix(docs).collect():
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    words = {k: 0 for k in taken}
+    for r in mixed.collect():
+        words[r.doc_id, r.source] += len((r.text or "").encode().split())
+        assert (r.score, r._h, r._n, r._part, r._hash, r.doc) == tuple("012345")
+    assert mixed.columns == docs.columns and words == taken
+    packed = stages["pack"](spark, mixed, sf_dir).collect()
+    starts = Counter(r.doc_id for r in packed if r.start == 0)
+    assert starts == Counter(r.doc_id for r in mixed.collect())
