@@ -50,6 +50,14 @@ def rank_state(state: DataFrame, scores: DataFrame, exclude: DataFrame | None =
     return rows.join(scores, "body")
 
 
+def rank_postings(postings: DataFrame, terms: DataFrame) -> DataFrame:
+    """(query_id, shard, ident, body, score) from postings (shard, label, ident, body) and terms (query_id, alt, label): of an ident's labels
+    as many as one alternative has; only postings of queried labels are counted."""
+    hits = postings.join(terms.select("query_id", "alt", "label").distinct(), "label")
+    n = hits.groupBy("query_id", "shard", "ident", "body", "alt").agg(F.count("*").alias("n"))
+    return n.groupBy("query_id", "shard", "ident", "body").agg(F.max("n").alias("score"))
+
+
 def prefix(ranked: DataFrame, keys: tuple, length: int) -> DataFrame:
     """The first `length` rows of each key as rows with rank, each with the boundary: score and ident of the row after them (null: none).
 
@@ -70,10 +78,10 @@ def delta(changes: DataFrame, scores: DataFrame, bounds: DataFrame, k: int) -> t
     return final.select("shard", "ident"), rows
 
 
-def exact_topk(initial: DataFrame, changes: DataFrame, bodies: DataFrame, terms: DataFrame, cuts: DataFrame, k: int = 5) -> DataFrame:
-    """(cut_id, query_id, rank, shard, ident, body, score): the k best of every query at every cut, from the log alone."""
+def exact_topk(initial: DataFrame, changes: DataFrame, bodies: DataFrame, terms: DataFrame, cuts: DataFrame, k: int = 5, scores: DataFrame | None = None) -> DataFrame:
+    """(cut_id, query_id, rank, shard, ident, body, score): the k best of every query at every cut, from the log alone. scores: those of the bodies, if at hand."""
     state = state_as_of(versions(initial, changes), cuts)
-    rows = rank_state(state, score_bodies(bodies, terms))
+    rows = rank_state(state, score_bodies(bodies, terms) if scores is None else scores)
     return merge_topk(rows, ("cut_id", "query_id"), k).select("cut_id", "query_id", F.col("rank").cast("long").alias("rank"), "shard", "ident", "body", "score")
 
 

@@ -104,7 +104,8 @@ def repair_lengths(queries: DataFrame, dirty: DataFrame, k: int, base: int, rese
 
 def _refetch(heads: DataFrame, rows: DataFrame, pick: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     """(heads, rows) with those of pick (query_id, shard, length) replaced by prefixes of the state at hi."""
-    some = rank_state(state, scores).join(pick, list(KEYS)).withColumn("rank", F.row_number().over(best_first(*KEYS))).where(F.col("rank") <= most + 1)
+    wanted = pick.join(scores, "query_id")  # few tokens need a prefix: only their queries' scores meet the state
+    some = state.join(wanted, ["shard", "body"]).withColumn("rank", F.row_number().over(best_first(*KEYS))).where(F.col("rank") <= most + 1)
     tail = some.where("rank = length + 1").select(*KEYS, F.col("score").alias("tail_score"), F.col("ident").alias("tail_ident"))
     fresh = pick.join(tail, list(KEYS), "left").join(hi, "shard").select(
         *KEYS, F.col("hi").alias("at"), F.col("length").cast("int").alias("capacity"), F.lit(0).alias("generation"), "tail_score", "tail_ident")
@@ -177,24 +178,28 @@ def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, quer
     """Standing queries over ticks; ticks[0] is the start cut, each (shard, at). Returns (tick, query_id, rank, ident, body, score, status, repairs).
 
     A tick's active queries (schedule (tick, query_id); all without one) advance over everything since their own last activation,
-    merge, and repair blocked shards in up to as many rounds as there are shards. keep(df, name) ends a table's lineage.
+    merge, and repair blocked shards in up to as many rounds as there are shards. The state goes from tick to tick by the changes between
+    them. keep(df, name) ends a table's lineage.
     """
     n = ticks[0].select("shard").distinct().count()
     grid = queries.select("query_id").distinct().crossJoin(ticks[0].select("shard", "at"))
-    heads, rows = acquire_tokens(state_at(initial, changes, ticks[0]), scores, grid, capacity)
+    state, before = keep(state_at(initial, changes, ticks[0]), "token_state"), ticks[0].select("shard", F.col("at").alias("lo"))
+    log = keep(changes.join(before, "shard").where("seq > lo").drop("lo"), "token_log")  # all that any tick can need
+    heads, rows = acquire_tokens(state, scores, grid, capacity)
     heads, rows = keep(heads, "token_heads"), keep(rows, "token_rows")
     out = None
     for tick, cut in enumerate(ticks[1:], 1):
         hi = cut.select("shard", F.col("at").alias("hi"))
         active = queries.select("query_id").distinct() if schedule is None else schedule.where(F.col("tick") == tick).select("query_id")
         now_heads, now_rows = heads.join(active, "query_id", "left_semi"), rows.join(active, "query_id", "left_semi")
-        since = changes.join(now_heads.join(hi, "shard").select(*KEYS, "at", "hi"), "shard").where("seq > at and seq <= hi")
+        since = log.join(now_heads.join(hi, "shard").select(*KEYS, "at", "hi"), "shard").where("seq > at and seq <= hi")
         now_heads, now_rows = advance_tokens(now_heads, now_rows, final_assignments(since, KEYS), hi, scores, most)
         now_heads, now_rows = keep(now_heads, "token_heads"), keep(now_rows, "token_rows")
         floor = heads.groupBy("shard").agg(F.min("at").alias("lo"))
-        dirty = changes.join(floor, "shard").join(hi, "shard").where("seq > lo and seq <= hi").groupBy("shard").agg(F.count_distinct("ident").alias("dirty"))
+        dirty = log.join(floor, "shard").join(hi, "shard").where("seq > lo and seq <= hi").groupBy("shard").agg(F.count_distinct("ident").alias("dirty"))
         lengths = repair_lengths(now_heads.select(*KEYS), dirty, k, base, most=most)
-        state = state_at(initial, changes, cut)
+        step = log.join(before, "shard").where("seq > lo").drop("lo")
+        state, before = keep(state_at(state, step, cut), "token_state"), cut.select("shard", F.col("at").alias("lo"))
         now_heads, now_rows, done = refill_global(now_heads, now_rows, state, scores, hi, lengths, n, k, keep, most)
         best, answer = merge_tokens(now_heads, now_rows, n, k)
         repairs = done.groupBy("query_id").agg(F.count("*").alias("repairs"))

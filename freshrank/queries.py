@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import audit, log, rank, tables, tokens
@@ -87,21 +89,33 @@ def _long(*names: str):
 
 
 class Inputs:
-    """The adapted tables of one folder."""
+    """The adapted tables of one folder. Query terms, scores and exact answers, which a query may use many times, are written once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.bodies, self.changes, self.initial = fx.bodies(spark, sf_dir), fx.changes(spark, sf_dir), fx.initial(spark, sf_dir)
         self.cuts = fx.cuts(self.changes)
 
+    @cached_property
+    def _terms(self) -> DataFrame:
+        return staged(fx.query_terms(self.spark, self.dir), "terms")
+
+    @cached_property
+    def _scores(self) -> DataFrame:
+        return staged(rank.score_bodies(self.bodies, self.terms()), "scores")
+
+    @cached_property
+    def _exact(self) -> DataFrame:
+        return staged(rank.exact_topk(self.initial, self.changes, self.bodies, self.terms(), self.cuts, K, self.scores()), "exact")
+
     def terms(self) -> DataFrame:
-        return fx.query_terms(self.spark, self.dir)
+        return self._terms
 
     def scores(self) -> DataFrame:
-        return rank.score_bodies(self.bodies, self.terms())
+        return self._scores
 
     def exact(self) -> DataFrame:
-        return rank.exact_topk(self.initial, self.changes, self.bodies, self.terms(), self.cuts, K)
+        return self._exact
 
     def lag(self) -> DataFrame:
         return self.changes.groupBy("shard").agg(F.max("seq").alias("hi")).select("shard", (F.col("hi") - LAG).alias("lo"), "hi")
@@ -272,11 +286,17 @@ def l11_safe_floors(spark, sf_dir):
     return log.safe_floors(i.cuts.where("cut_id >= 3").select("shard", "at"), bounds).select(*_long("shard"), "floor")
 
 
-@query("SELECT body AS ident, count(DISTINCT shard) AS shards FROM state_cuts WHERE cut_id = 4 GROUP BY body HAVING count(DISTINCT shard) > 1")
+#: Every 50th ident has a second owner, which the check must find.
+_OWNED = "SELECT shard, ident FROM state_cuts WHERE cut_id = 4"
+
+
+@query(f"""SELECT ident, count(DISTINCT shard) AS shards FROM ({_OWNED} UNION ALL
+SELECT (shard + 1) % 3, ident FROM ({_OWNED}) WHERE CAST(substr(ident, 2) AS BIGINT) % 50 = 0) GROUP BY ident HAVING count(DISTINCT shard) > 1""")
 def l14_ownership(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    s = log.state_as_of(log.versions(i.initial, i.changes), i.cuts.where("cut_id = 4"))
-    return log.ownership_violations(s.select("shard", F.col("body").alias("ident")))
+    s = log.state_as_of(log.versions(i.initial, i.changes), i.cuts.where("cut_id = 4")).select("shard", "ident")
+    twice = s.where(F.substring("ident", 2, 20).cast("long") % 50 == 0).select(F.expr("(shard + 1) % 3").alias("shard"), "ident")
+    return log.ownership_violations(s.unionByName(twice))
 
 
 # ---- ranking
@@ -303,6 +323,15 @@ def r3_maintained_postings(spark, sf_dir):
     return kept.groupBy("shard", "label").agg(F.count("*").alias("n")).select(*_long("shard"), "label", "n")
 
 
+@query(f"""SELECT query_id, rank, ident, body, score FROM exact WHERE cut_id = 4""")
+def r4_rank_postings(spark, sf_dir):
+    """Postings of the start, maintained over the whole log, answer as the state at its end does."""
+    i = Inputs(spark, sf_dir)
+    start = log.state_at(i.initial, i.changes, i.cuts.where("cut_id = 0"))
+    posts = rank.apply_to_postings(rank.build_postings(start, i.bodies), i.changes, i.bodies)
+    return rank.top_n(rank.rank_postings(posts, i.terms()), ("query_id",), K).select("query_id", *_long("rank"), "ident", "body", "score")
+
+
 @query("SELECT query_id, CAST(shard AS BIGINT) AS shard, ident, score FROM idx JOIN scores USING (body) WHERE NOT EXISTS (SELECT 1 FROM finals f WHERE f.shard = idx.shard AND f.ident = idx.ident)")
 def r5_rank_excluding(spark, sf_dir):
     i = Inputs(spark, sf_dir)
@@ -410,24 +439,42 @@ def k4_repair_lengths(spark, sf_dir):
     return tokens.repair_lengths(i.grid(), dirty, K, LENGTH).select("query_id", *_long("shard", "length"), "guaranteed")
 
 
-def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 4, size: int = 16, schedule: DataFrame | None = None) -> DataFrame:
-    """A standing run over the last ticks * size changes of each shard."""
+def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 8, size: int = 16, active: int | None = None) -> DataFrame:
+    """A standing run over the last ticks * size changes of each shard; with `active`, only so many queries a tick, in turn."""
     i = Inputs(spark, sf_dir)
     changes, initial, scores = keep(i.changes, "log"), keep(i.initial, "initial"), keep(i.scores(), "scores")
-    top = changes.groupBy("shard").agg(F.max("seq").alias("top"))
-    cuts = [keep(top.select("shard", (F.col("top") - size * (ticks - t)).alias("at")), "cut") for t in range(ticks + 1)]
-    return tokens.run_standing(initial, changes, scores, i.terms(), cuts, keep, LENGTH, K, schedule)
+    queries = keep(i.terms().select("query_id").distinct(), "queries")
+    top = keep(changes.groupBy("shard").agg(F.max("seq").alias("top")), "tops")
+    cuts = [top.select("shard", (F.col("top") - size * (ticks - t)).alias("at")) for t in range(ticks + 1)]
+    schedule = None
+    if active:
+        turn = F.floor((F.row_number().over(Window.orderBy("query_id")) - 1) / active)  # one row a query
+        turns = queries.withColumn("turn", turn).crossJoin(spark.range(1, ticks + 1).select(F.col("id").alias("tick"), (F.col("id") - 1).alias("now")))
+        n_turns = F.ceil(F.lit(queries.count()) / active)
+        schedule = keep(turns.where(F.col("turn") == F.pmod("now", n_turns)).select("tick", "query_id"), "schedule")
+    return tokens.run_standing(initial, changes, scores, queries, cuts, keep, LENGTH, K, schedule)
+
+
+_STANDING = f"""SELECT CAST(tick AS BIGINT) AS tick, query_id, rank, ident, body, score, 'complete' AS status FROM (
+ SELECT tick, query_id, row_number() OVER (PARTITION BY tick, query_id ORDER BY score DESC, ident) AS rank, ident, body, score
+ FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8]) AS tick), tops t JOIN versions v ON v.shard = t.shard JOIN scores USING (body)
+ WHERE from_seq <= top - 16 * (8 - tick) AND (to_seq IS NULL OR top - 16 * (8 - tick) < to_seq)) WHERE rank <= {K}"""
 
 
-@query(f"""SELECT CAST(tick AS BIGINT) AS tick, query_id, rank, ident, body, score, 'complete' AS status FROM (
- SELECT tick, query_id, row_number() OVER (PARTITION BY tick, query_id ORDER BY score DESC, ident) AS rank, ident, body, score
- FROM (SELECT unnest([1, 2, 3, 4]) AS tick), tops t JOIN versions v ON v.shard = t.shard JOIN scores USING (body)
- WHERE from_seq <= top - 16 * (4 - tick) AND (to_seq IS NULL OR top - 16 * (4 - tick) < to_seq)) WHERE rank <= {K}""")
+@query(_STANDING)
 def k10_run_standing(spark, sf_dir):
     out = standing(spark, sf_dir, staged)
     return out.where("rank is not null").select(*_long("tick"), "query_id", "rank", "ident", "body", "score", "status")
 
 
+@query(f"""SELECT r.* FROM ({_STANDING}) r JOIN (
+  SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) // 4 AS turn, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM terms)) q
+ON q.query_id = r.query_id AND q.turn = (r.tick - 1) % CAST(ceil(n / 4.0) AS BIGINT)""")
+def k10_run_scheduled(spark, sf_dir):
+    out = standing(spark, sf_dir, staged, active=4)
+    return out.where("rank is not null").select(*_long("tick"), "query_id", "rank", "ident", "body", "score", "status")
+
+
 # ---- audit
 
 
