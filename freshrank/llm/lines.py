@@ -12,30 +12,41 @@ from pyspark.sql import functions as F
 
 from .common import blocks, staged, texts
 
-#: Lines that the rolling hash spans; a chunk ends after a line with probability 1 / MEAN.
-REACH, MEAN = 3, 4
+#: Lines that the rolling hash spans; lines of a piece, on average; how many times a text is cut.
+REACH, MEAN, CUTS = 2, 16 / 15, 2
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def chunks(text: bytes, reach: int = REACH, mean: int = MEAN) -> list[tuple[int, int, bytes]]:
-    """Chunks of a text's lines: first line, lines, bytes. A boundary depends on the last `reach` lines only, so it moves with them."""
+def chunks(text: bytes, reach: int = REACH, mean: float = MEAN, cuts: int = CUTS) -> list[tuple[int, int, bytes]]:
+    """Chunks of two lines or more of a text: first line, lines, bytes, in order of place.
+
+    A piece ends after a line with probability 1 / mean, as a rolling hash of the last `reach` lines says, so the ends move with their lines. A chunk
+    is a piece, or two pieces in a row. The text is cut so several times by differing hashes: where one cut has its ends beyond a
+    repeated run, another fits it. A line lies in three chunks of a cut at most.
+    """
     lines = text.split(b"\n")
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
     roll, power = np.zeros(len(h), np.uint64), 1
     for back in range(min(reach, len(h))):
         roll[back:] += h[:len(h) - back] * np.uint64(power)
         power = power * int(_MIX) % (1 << 64)
-    roll ^= roll >> np.uint64(32)
-    ends = np.flatnonzero((roll * _MIX) >> np.uint64(33) < np.uint64((1 << 31) // mean)) + 1
-    ends = np.unique(np.append(ends, len(lines))).tolist()
-    return [(a, b - a, b"\n".join(lines[a:b])) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def line_dedup(docs: DataFrame, reach: int = REACH, mean: int = MEAN) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_lines, n_removed (lines), n_chunks (removed), kept_text_sha256.
-
-    Lines end at LF. Chunks of two lines or more whose bytes occur more than once in all documents are removed but for the first, by doc_id (null
-    last), then by place. Null text: one empty line, as an empty text. Chunks are found by a 128-bit hash; before
+    found = set()
+    for cut in range(cuts):
+        x = roll + np.uint64(cut * int(_MIX) % (1 << 64))
+        for shift in (32, 29):
+            x = (x ^ (x >> np.uint64(shift))) * _MIX
+        ends = np.flatnonzero(x >> np.uint64(33) < np.uint64(int((1 << 31) / mean))) + 1
+        ends = [0, *np.unique(np.append(ends, len(lines))).tolist()]
+        found.update((a, b - a) for step in (1, 2) for a, b in zip(ends[:-step], ends[step:], strict=True) if b - a > 1)
+    return [(at, n, b"\n".join(lines[at:at + n])) for at, n in sorted(found)]
+
+
+def line_dedup(docs: DataFrame, reach: int = REACH, mean: float = MEAN, cuts: int = CUTS) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, n_lines, n_removed (lines), n_chunks (removed, they may overlap), kept_text_sha256.
+
+    Lines end at LF. Chunks whose bytes occur more than once in all documents are removed but for the first, by doc_id (null last), then by
+    place; chunks are taken from the input, not from what is left. So a line goes only where it and one beside it stand elsewhere too, and stays
+    where it comes first. Null text: one empty line, as an empty text. Chunks are found by a 128-bit hash; before
     anything goes, the bytes of all chunks of one hash are grouped, equal ones of a task first, and a hash with two contents
     removes nothing. Rows with equal doc_id are documents of their own.
     """
@@ -48,9 +59,8 @@ def line_dedup(docs: DataFrame, reach: int = REACH, mean: int = MEAN) -> DataFra
         for batch in batches:
             out = []
             for block, row, doc_id, x in zip(*(batch.column(c).to_pylist() for c in ("block", "row", "doc_id")), texts(batch.column("text")), strict=True):
-                for line, n, body in chunks(x, reach, mean):
-                    if n > 1:
-                        out.append((block, row, doc_id, line, n, *np.frombuffer(xxhash.xxh3_128_digest(body), "<i8").tolist()))
+                for line, n, body in chunks(x, reach, mean, cuts):
+                    out.append((block, row, doc_id, line, n, *np.frombuffer(xxhash.xxh3_128_digest(body), "<i8").tolist()))
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate(arrow)], names=names)
 
     found = staged(rows.mapInArrow(scan, schema), "lines_chunks")
