@@ -15,17 +15,30 @@ def validate_batches(events: DataFrame, bodies: DataFrame, most: int = 16) -> Da
     return g.select("shard", "seq", F.when((F.col("n") > most) | (F.col("n") != F.col("d")), "batch-schema").when(F.col("unknown"), "unknown-body").alias("reason"))
 
 
-def classify_deliveries(deliveries: DataFrame, floor: int = 0, window: int | None = 128) -> DataFrame:
-    """deliveries (shard, seq, ident, body, arrival; one change each) with outcome: old, retention-window, ok, duplicate
-    or conflicting-sequence. A repeat is a duplicate if the first of its (shard, seq) has the same content."""
-    content = F.xxhash64("ident", F.coalesce("body", F.lit("")), F.col("body").isNull())
-    first = F.min(F.struct("arrival", "content")).over(W.partitionBy("shard", "seq"))
-    d = deliveries.withColumn("content", content).withColumn("first", first)
-    out = F.when(F.col("seq") <= floor, "old")
-    if window:
-        out = out.when(F.col("seq") > floor + window, "retention-window")
+def classify_deliveries(deliveries: DataFrame, bodies: DataFrame | None = None, shards: int | None = None, floor: int = 0, window: int = 128, most: int = 16) -> DataFrame:
+    """deliveries (shard, seq, ident, body, arrival), the rows of one (shard, seq, arrival) being one delivery -> (shard, seq, arrival, outcome):
+    event-schema, batch-schema, unknown-body, old, retention-window, ok, duplicate or conflicting-sequence, the first that holds.
+
+    A repeat is a duplicate if the first well-formed delivery of its (shard, seq) has the same changes. Without bodies or shards these are not
+    checked. How many deliveries may wait depends on all that came before; that rule, pending-window, is the stream's (streaming/feed.py).
+    """
+    change = F.xxhash64("ident", F.coalesce("body", F.lit("")), F.col("body").isNull())
+    strange = F.lit(False)
+    if bodies is not None:
+        deliveries = deliveries.join(bodies.select("body", F.lit(True).alias("known")), "body", "left")
+        strange = F.col("body").isNotNull() & F.col("known").isNull()
+    d = deliveries.groupBy("shard", "seq", "arrival").agg(
+        F.count("*").alias("n"), F.count_distinct("ident").alias("idents"), F.max(strange).alias("strange"),
+        F.struct(F.count("*"), F.bit_xor(change), F.bit_xor(F.xxhash64(change, F.lit(1)))).alias("content"))
+    schema = F.col("seq").isNull() | (F.col("seq") < 1) | F.col("shard").isNull()
+    if shards is not None:
+        schema = schema | ~F.col("shard").between(0, shards - 1)
+    bad = F.when(schema, "event-schema").when((F.col("n") > most) | (F.col("n") != F.col("idents")), "batch-schema").when(F.col("strange"), "unknown-body")
+    d = d.withColumn("bad", bad)
+    first = F.min(F.when(F.col("bad").isNull(), F.struct("arrival", "content"))).over(W.partitionBy("shard", "seq"))
+    out = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("seq") <= floor, "old").when(F.col("seq") > floor + window, "retention-window")
     out = out.when(F.col("arrival") == F.col("first.arrival"), "ok").when(F.col("content") == F.col("first.content"), "duplicate").otherwise("conflicting-sequence")
-    return d.withColumn("outcome", out).drop("content", "first")
+    return d.withColumn("first", first).select("shard", "seq", "arrival", out.alias("outcome"))
 
 
 def frontiers(events: DataFrame, floor: int = 0) -> DataFrame:
@@ -90,6 +103,15 @@ def diff_states(a: DataFrame, b: DataFrame) -> DataFrame:
     return x.join(y, ["shard", "ident"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
+def convergence(replicas: DataFrame, members: DataFrame, state: DataFrame) -> DataFrame:
+    """replicas (replica, shard, ident, body), members (replica, shard) and the state they should hold -> (replica, shard, differences):
+    entries that a replica lacks, has besides or holds with another body; 0: it has converged."""
+    keys = ["replica", "shard", "ident"]
+    want = members.select("replica", "shard").join(state.select("shard", "ident", F.col("body").alias("want")), "shard")
+    off = replicas.select(*keys, "body").join(want, keys, "full").where(~F.col("body").eqNullSafe(F.col("want"))).groupBy("replica", "shard").agg(F.count("*").alias("n"))
+    return members.select("replica", "shard").join(off, ["replica", "shard"], "left").select("replica", "shard", F.coalesce("n", F.lit(0)).alias("differences"))
+
+
 def snapshots_to_log(snapshots: DataFrame) -> DataFrame:
     """snapshots (version, shard, ident, body), versions from 0 without gaps -> the log that leads from each to the next:
     (shard, seq = version, pos, ident, body), deletions as null."""

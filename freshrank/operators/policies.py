@@ -47,3 +47,13 @@ def pick_owner(replies: DataFrame, owners: DataFrame, cut: DataFrame, rule: str)
     fit = {"acquire": F.col("at") == F.col("cut"), "repair": (F.col("at") <= F.col("cut")) & F.col("covered")}[rule]
     able = replies.join(owners, ["shard", "owner"]).join(cut, "shard").where(fit)
     return able.groupBy("query_id", "shard").agg(F.min_by(F.struct("owner", "at"), "place").alias("o")).select("query_id", "shard", "o.*")
+
+
+def unverified_topk(ranked: DataFrame, replied: DataFrame, shards: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """ranked (query_id, shard, ident, body, score) from indexes of any age, replied (query_id, shard) -> (rows with rank, (query_id, covered, claim)).
+
+    The k best of the shards that replied. Complete is claimed where all did, whatever their age: availability taken for freshness.
+    """
+    rows = merge_topk(ranked.join(replied.select("query_id", "shard").distinct(), ["query_id", "shard"], "left_semi"), ("query_id",), k)
+    heads = replied.groupBy("query_id").agg(F.count_distinct("shard").alias("covered"))
+    return rows, heads.select("query_id", "covered", (F.col("covered") == shards).alias("claim"))

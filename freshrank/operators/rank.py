@@ -96,6 +96,20 @@ def tfidf_rank(state: DataFrame, bodies: DataFrame, terms: DataFrame) -> DataFra
     return hit.join(norm, "ident").where("norm > 0").select("query_id", "ident", (F.col("dot") / F.col("norm")).alias("weight"))
 
 
+def rank_flips(before: DataFrame, after: DataFrame, same: DataFrame, k: int) -> DataFrame:
+    """Pairs of documents that did not change and yet changed places, since the weights of all labels move with the corpus.
+
+    before, after (query_id, ident, weight), same (ident) -> (query_id, ident, other): of the k best of a query before, among same, those
+    of which ident weighed more than other before and less after. k is a literal: a query has at most k (k - 1) / 2 pairs.
+    """
+    w = W.partitionBy("query_id").orderBy(F.desc("weight"), "ident")
+    best = before.join(same.select("ident"), "ident", "left_semi").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = best.join(after.select("query_id", "ident", F.col("weight").alias("now")), ["query_id", "ident"], "left").withColumn("now", F.coalesce("now", F.lit(0.0)))
+    a, b = best.alias("a"), best.alias("b")
+    flips = a.join(b, "query_id").where((F.col("a.rank") < F.col("b.rank")) & (F.col("a.weight") > F.col("b.weight")) & (F.col("a.now") < F.col("b.now")))
+    return flips.select("query_id", F.col("a.ident").alias("ident"), F.col("b.ident").alias("other"))
+
+
 def rank_stability(before: DataFrame, after: DataFrame) -> DataFrame:
     """(cut_id, query_id, stability): the share of the ids in `after` (cut_id, query_id, ident) that `before` (query_id, ident) has."""
     b = before.select("query_id", "ident").distinct().withColumn("had", F.lit(1))

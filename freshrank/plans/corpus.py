@@ -54,6 +54,8 @@ def extract_fragments(files: DataFrame) -> DataFrame:
 
     def functions(node, parents, out):
         for child in ast.iter_child_nodes(node):
+            if isinstance(child, ast.expr):  # holds no definitions
+                continue
             inner = parents
             if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
                 inner = [*parents, child.name]
@@ -114,13 +116,21 @@ def plan_rare(seeds: DataFrame, df: DataFrame, key: str, n: int = 4, call_first:
     return terms.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).select(key, F.lit(0).alias("alt"), F.col("pos").cast("int").alias("pos"), "label")
 
 
-def plan_stable_labels(versions: DataFrame, df: DataFrame, key: str, n: int = 4) -> DataFrame:
-    """versions (key, version, labels) -> as plan_rare, of labels in all versions of a key, or in any where none is in all."""
-    total = versions.groupBy(key).agg(F.count_distinct("version").alias("all"))
+def plan_stable_labels(versions: DataFrame, base: DataFrame, df: DataFrame, key: str, n: int = 4) -> tuple[DataFrame, DataFrame]:
+    """versions (key, version, labels), base (key) and df (label, df) -> (plans (key, alt 0, pos, label), rejected (key, pool)).
+
+    The pool of a key in base is the labels in all its versions; of a key that came later, those in any. Pools of fewer than two
+    labels are rejected, none is planned for them. Labels go by (df, calls first, label); one that df lacks counts as 0.
+    """
+    keys = versions.groupBy(key).agg(F.count_distinct("version").alias("all")).join(base.select(key).distinct().withColumn("at_base", F.lit(True)), key, "left")
     each = versions.select(key, "version", F.explode("labels").alias("label")).groupBy(key, "label").agg(F.count_distinct("version").alias("in"))
-    each = each.join(total, key).withColumn("stable", F.col("in") == F.col("all"))
-    each = each.withColumn("any_stable", F.max("stable").over(W.partitionBy(key))).where("stable or not any_stable")
-    return plan_rare(each.groupBy(key).agg(F.collect_set("label").alias("labels")), df, key, n, call_first=False)
+    pool = keys.join(each, key, "left").withColumn("fits", F.col("label").isNotNull() & (F.col("at_base").isNull() | (F.col("in") == F.col("all"))))
+    pool = pool.withColumn("pool", F.count_if("fits").over(W.partitionBy(key)))
+    rejected = pool.where("pool < 2").select(key, "pool").distinct()
+    terms = pool.where("fits and pool >= 2").join(df, "label", "left")
+    order = W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), F.when(F.col("label").startswith("call:"), 0).otherwise(1), "label")
+    plans = terms.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select(key, F.lit(0).alias("alt"), F.col("pos").cast("int").alias("pos"), "label")
+    return plans, rejected
 
 
 def add_alternates(plans: DataFrame, mapping: dict[str, str], only: DataFrame | None = None) -> DataFrame:

@@ -210,13 +210,18 @@ def l1_validate_batches(spark, sf_dir):
 
 
 @query("""SELECT CAST(shard AS BIGINT) AS shard, outcome, count(*) AS n FROM (
- SELECT shard, CASE WHEN seq <= 10 THEN 'old' WHEN arrival = min(arrival) OVER w THEN 'ok'
-   WHEN ident = first_value(ident) OVER w AND body IS NOT DISTINCT FROM first_value(body) OVER w THEN 'duplicate' ELSE 'conflicting-sequence' END AS outcome
- FROM (SELECT shard, seq, ident, body, seq * 10 + seq * 7 % 5 * 10 AS arrival FROM changes
-  UNION ALL SELECT shard, seq, ident, CASE WHEN seq % 97 = 0 THEN 'b000000x' ELSE body END, seq * 10 + 55 FROM changes WHERE seq % 17 = 0)
- WINDOW w AS (PARTITION BY shard, seq ORDER BY arrival)) GROUP BY shard, outcome""")
+ SELECT shard, CASE WHEN bad IS NOT NULL THEN bad WHEN seq <= 10 THEN 'old' WHEN seq > 138 THEN 'retention-window' WHEN arrival = min(arrival) FILTER (WHERE bad IS NULL) OVER w THEN 'ok'
+   WHEN content = arg_min(content, arrival) FILTER (WHERE bad IS NULL) OVER w THEN 'duplicate' ELSE 'conflicting-sequence' END AS outcome
+ FROM (SELECT shard, seq, arrival, list_sort(list(ident || coalesce(body, '-'))) AS content,
+   CASE WHEN seq < 1 THEN 'event-schema' WHEN count(*) > count(DISTINCT ident) THEN 'batch-schema' WHEN bool_or(body IS NOT NULL AND body NOT IN (SELECT body FROM bodies)) THEN 'unknown-body' END AS bad
+  FROM (SELECT shard, seq, ident, body, seq * 10 + seq * 7 % 5 * 10 AS arrival FROM changes
+   UNION ALL SELECT shard, seq, ident, CASE WHEN seq % 5 = 0 THEN 'b000000' ELSE body END, seq * 10 + 55 FROM changes WHERE seq % 17 = 0
+   UNION ALL SELECT shard, seq, ident, 'b00000x', seq * 10 - 3 FROM changes WHERE seq % 53 = 0
+   UNION ALL SELECT shard, seq, ident, unnest([body, 'b000000']), seq * 10 - 4 FROM changes WHERE seq % 59 = 0
+   UNION ALL SELECT shard, -seq, ident, body, seq * 10 - 5 FROM changes WHERE seq % 1000 = 0) GROUP BY shard, seq, arrival)
+ WINDOW w AS (PARTITION BY shard, seq)) GROUP BY shard, outcome""")
 def l2_classify_deliveries(spark, sf_dir):
-    d = log.classify_deliveries(fx.deliveries(fx.changes(spark, sf_dir)), floor=10, window=None)
+    d = log.classify_deliveries(fx.deliveries(fx.changes(spark, sf_dir)), fx.bodies(spark, sf_dir), shards=3, floor=10)
     return d.groupBy("shard", "outcome").agg(F.count("*").alias("n")).select(*_long("shard"), "outcome", "n")
 
 

@@ -82,8 +82,23 @@ def batches(log: DataFrame, size: int = 4) -> DataFrame:
 
 
 def deliveries(log: DataFrame) -> DataFrame:
-    """The log as it might arrive: late by up to four places, every 17th change twice, every 97th of those with another body."""
+    """The log as it might arrive: late by up to four places, every 17th change twice, every 5th of those with another body; and faults:
+    an unknown body before every 53rd change, one ident twice in a batch before every 59th, every 1000th also without a valid seq."""
+    known = F.lit("b000000")
     first = log.select("shard", "seq", "ident", "body", (F.col("seq") * 10 + F.col("seq") * 7 % 5 * 10).alias("arrival"))
     again = log.where("seq % 17 = 0").select(
-        "shard", "seq", "ident", F.when(F.col("seq") % 97 == 0, F.lit("b000000x")).otherwise(F.col("body")).alias("body"), (F.col("seq") * 10 + 55).alias("arrival"))
-    return first.unionByName(again)
+        "shard", "seq", "ident", F.when(F.col("seq") % 5 == 0, known).otherwise(F.col("body")).alias("body"), (F.col("seq") * 10 + 55).alias("arrival"))
+    unknown = log.where("seq % 53 = 0").select("shard", "seq", "ident", F.lit("b00000x").alias("body"), (F.col("seq") * 10 - 3).alias("arrival"))
+    twice = log.where("seq % 59 = 0").select("shard", "seq", "ident", F.explode(F.array("body", known)).alias("body"), (F.col("seq") * 10 - 4).alias("arrival"))
+    unplaced = log.where("seq % 1000 = 0").select("shard", (-F.col("seq")).alias("seq"), "ident", "body", (F.col("seq") * 10 - 5).alias("arrival"))
+    return first.unionByName(again).unionByName(unknown).unionByName(twice).unionByName(unplaced)
+
+
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(project, path, text): each document's labels as code of two functions of one name; every 10th file cannot be parsed."""
+    call = F.transform("labels", lambda x: F.concat(F.lit("        n_"), x, F.lit(".a_"), x, F.lit("(w_"), x, F.lit(")\n")))
+    head, tail = "class Doc:\n    def body(self):\n        pass\n", "    def body(self):\n        return w_last\n"
+    broken = F.when(F.col("doc_id") % 10 == 7, "def (").otherwise("")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", token_labels(F.col("text")).alias("labels"))
+    return docs.select(F.coalesce("source", F.lit("none")).alias("project"), F.concat(code("b", F.col("doc_id")), F.lit(".py")).alias("path"),
+                       F.concat(F.lit(head), F.array_join(call, ""), F.lit(tail), broken).alias("text"))

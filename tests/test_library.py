@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from freshrank import queries, queries_checks  # noqa: F401 -- the checks register themselves
+from freshrank import queries, queries_checks, queries_corpus  # noqa: F401 -- they register themselves
 from freshrank.operators import audit, log, policies, rank, receipts, tables, tokens
 from freshrank.plans import corpus
 from freshrank.sources import files
@@ -35,7 +35,8 @@ def plain(df):
 
 
 @pytest.mark.parametrize("name", ["r10_exact_topk", "p1_overlay_topk", "k2_advance_rows", "k3_merge_tokens", "l2_classify_deliveries", "c9_query_plans", "d5_rule_violations", "p4_cut_cache", "p8_pick_owner", "k6_missing_shards",
-                                  "v1_check_rows", "v6_check_event_receipts", "v7_check_prefix_receipts", "a14_token_work", "t4_stream_state"])
+                                  "v1_check_rows", "v6_check_event_receipts", "v7_check_prefix_receipts", "a14_token_work", "t4_stream_state",
+                                  "c1_extract_fragments", "c2_code_labels", "c8_plan_calls_first", "c10b_drop_seeds", "c11_plan_stable_labels", "c15_labels_agree", "l9_convergence", "r11_rank_flips", "p7_unverified", "s7_flatten_observations"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -232,3 +233,67 @@ def test_policy_case_without_answers(spark):
     answers = spark.createDataFrame([("p", 1, 1, "a", "b1", 1)], "policy string, t int, rank int, ident string, body string, score long")
     other = answers.withColumn("policy", F.lit("r")).withColumn("t", F.lit(2))
     assert {r.t for r in audit.matched_answers(answers.unionByName(other), ["t"]).collect()} == {1, 2}
+
+
+def test_delivery_outcomes(spark):
+    """The first well-formed delivery counts: what was refused before it is no conflict."""
+    rows = [(0, 1, "a", "b9", 1), (0, 1, "a", "b1", 2), (0, 1, "a", "b1", 3), (0, 1, "a", None, 4), (0, 0, "a", "b1", 5), (7, 1, "a", "b1", 6), (None, 1, "a", "b1", 7),
+            (0, 2, "a", "b1", 8), (0, 2, "a", "b2", 8), (0, 3, "a", "b1", 9), (0, 3, "b", None, 9), (0, 3, "b", None, 10), (0, 3, "a", "b1", 10), (0, 300, "a", "b1", 11)]
+    d = spark.createDataFrame(rows, "shard int, seq long, ident string, body string, arrival long")
+    got = [r.outcome for r in log.classify_deliveries(d, bodies(spark), shards=3).orderBy("arrival").collect()]
+    assert got == ["unknown-body", "ok", "duplicate", "conflicting-sequence", "event-schema", "event-schema", "event-schema", "batch-schema", "ok", "duplicate", "retention-window"]
+
+
+def test_stable_plans(spark):
+    """f was there at the base: labels of both versions only; g came later: any; h: one stable label, no plan; i: no labels at all."""
+    rows = [("f", 0, ["a", "b", "c"]), ("f", 1, ["b", "c", "d"]), ("g", 1, ["call:z", "a"]), ("g", 2, ["name:z", "b"]), ("h", 0, ["a", "b"]), ("h", 1, ["a", "c"]), ("i", 0, [])]
+    df = spark.createDataFrame([("a", 9), ("b", 2), ("c", 1), ("call:z", 2)], "label string, df long")
+    versions = spark.createDataFrame(rows, "ident string, version int, labels array<string>")
+    plans, rejected = corpus.plan_stable_labels(versions, spark.createDataFrame([("f",), ("h",), ("i",)], "ident string"), df, "ident", 3)
+    got = [(r.ident, r.label) for r in plans.orderBy("ident", "pos").collect()]
+    assert got == [("f", "c"), ("f", "b"), ("g", "name:z"), ("g", "call:z"), ("g", "b")]
+    assert {(r.ident, r.pool) for r in rejected.collect()} == {("h", 1), ("i", 0)}
+
+
+def test_rank_flip(spark):
+    """Neither a nor b changes; documents that share a's label make it cheap."""
+    few = [("a", ["x"]), ("b", ["y"]), ("c", ["y"])]
+    d = spark.createDataFrame([*few, ("d", ["x"]), ("e", ["x"])], "body string, labels array<string>")
+    d = d.withColumn("labels", F.concat("labels", F.array("body")))  # own labels, so that norms differ
+    every = d.select(F.lit(0).alias("shard"), F.col("body").alias("ident"), "body")
+    few = every.where("body < 'd'")
+    t = spark.createDataFrame([("q", 0, 1, "x"), ("q", 0, 2, "y")], "query_id string, alt int, pos int, label string")
+    before, after = rank.tfidf_rank(few, d, t), rank.tfidf_rank(every, d, t)
+    assert {(r.ident, r.other) for r in rank.rank_flips(before, after, few, 5).collect()} == {("a", "b"), ("a", "c")}
+    assert rank.rank_flips(before, after, few, 1).count() == 0 and rank.rank_flips(before, after, few.where("ident = 'a'"), 5).count() == 0
+
+
+def test_top_of_nothing(spark):
+    rows = spark.createDataFrame([("q", 0, "a", 2), ("q", 1, "b", 2), ("q", 1, "c", 3)], "query_id string, shard int, ident string, score long")
+    assert rank.top_n(rows, ("query_id",), 0).count() == 0
+    assert [r.ident for r in rank.merge_topk(rows, ("query_id",), 2).orderBy("rank").collect()] == ["c", "a"]
+
+
+def test_unverified_claims_what_replied(spark):
+    ranked = spark.createDataFrame([("q", 0, "a", "b1", 1), ("q", 1, "b", "b2", 2)], "query_id string, shard int, ident string, body string, score long")
+    for shards, claim, want in (([0, 1], True, ["b", "a"]), ([0], False, ["a"])):
+        rows, heads = policies.unverified_topk(ranked, spark.createDataFrame([("q", s) for s in shards], "query_id string, shard int"), 2, 5)
+        assert [r.ident for r in rows.orderBy("rank").collect()] == want and heads.first().claim == claim
+
+
+def test_convergence(spark):
+    state = spark.createDataFrame([(0, "a", "b1"), (0, "b", "b2")], "shard int, ident string, body string")
+    replicas = spark.createDataFrame([("r", 0, "a", "b1"), ("r", 0, "b", "b2"), ("s", 0, "a", "b3"), ("s", 0, "c", "b1")], "replica string, shard int, ident string, body string")
+    members = spark.createDataFrame([("r", 0), ("s", 0), ("empty", 0), ("r", 1)], "replica string, shard int")
+    assert {(r.replica, r.shard, r.differences) for r in log.convergence(replicas, members, state).collect()} == {("r", 0, 0), ("s", 0, 3), ("empty", 0, 2), ("r", 1, 0)}
+
+
+def test_traces(spark, tmp_path):
+    import gzip
+    import json
+    trace = {"case": "c", "records": [{"tick": 1, "observations": {"exact": {"rows": 2}, "stale": {"rows": 1}}}, {"tick": 2, "observations": {}}]}
+    with gzip.open(tmp_path / "t.json.gz", "wt") as f:
+        json.dump(trace, f, indent=1)
+    schema = "case string, records array<struct<tick: int, observations: map<string, struct<rows: int>>>>"
+    got = files.flatten_observations(files.read_traces(spark, str(tmp_path), schema), ["case"])
+    assert sorted(tuple(r) for r in got.collect()) == [("c", 1, "exact", 2), ("c", 1, "stale", 1)]
