@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, exact, lines, lm, mixing, packing, repeats, simhash, toxicity, url_filter
+from . import ann, collocations, conversations, exact, html, lines, lm, mixing, packing, repeats, simhash, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_pack_windows, op3_exact_dedup, op4_simhash_near_dedup, op5_lm_scores,
-                                 op6_vector_search, op7_repeated_passages, op8_toxicity, op9_url_filter, op10_line_dedup)}
-ORACLES = {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact.SQL, "op9_url_filter": url_filter.SQL}
+                                 op6_vector_search, op7_repeated_passages, op8_toxicity, op9_url_filter, op10_line_dedup,
+                                 op11_main_text, op12_collocations, op13_repair_conversations)}
+ORACLES = {"op1_mix_sources": mixing.SQL, "op3_exact_dedup": exact.SQL, "op9_url_filter": url_filter.SQL,
+           "op12_collocations": collocations.SQL, "op13_repair_conversations": conversations.SQL}
