@@ -41,6 +41,38 @@ def classify_deliveries(deliveries: DataFrame, bodies: DataFrame | None = None,
     return d.withColumn("first", first).select("shard", "seq", "arrival", out.alias("outcome"))
 
 
+def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
+    """df with name: the place of each row (from 1) in the order of an integer column within key.
+
+    Counts by stretches of the order column give each stretch its first number, so that no task sorts all rows of a key.
+    """
+    part = F.floor(F.col(order) / width)
+    d = df.withColumn("_part", part)
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = d.groupBy(key, "_part").count().select(key, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(key, "_part").orderBy(order))
+    return d.join(starts, [key, "_part"]).withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_before")
+
+
+def placed(df: DataFrame, keys: tuple, order: str, name: str, keep, ranges: int | None = None) -> DataFrame:
+    """df with name, the place of each row (from 0) by a column of any type within keys, and name_of, the rows of its keys.
+
+    Splitters from a sample cut all rows into ranges by (keys, order), so that a group of any size lies in as many tasks as it fills; counts by range
+    say where each range begins in its group. keep(df, name) ends a table's lineage: both passes must see the same ranges.
+    """
+    n = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = keep(df.repartitionByRange(n, *keys, order).withColumn("_range", F.spark_partition_id()), f"{name}_ranges")
+    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    w = W.partitionBy(*keys)
+    sizes = sizes.select(*keys, "_range", F.sum("_n").over(w).alias(f"{name}_of"), (F.sum("_n").over(w.orderBy("_range").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))
+    inside = F.row_number().over(W.partitionBy(*keys, "_range").orderBy(order)) - 1
+    c, z = cut.withColumn("_inside", inside).alias("c"), sizes.alias("z")
+    same = F.col("c._range") == F.col("z._range")
+    for k in keys:
+        same = same & F.col(f"c.{k}").eqNullSafe(F.col(f"z.{k}"))
+    return c.join(z, same).select(*[f"c.{x}" for x in df.columns], (F.col("_before") + F.col("_inside")).cast("long").alias(name), F.col(f"{name}_of"))
+
+
 def frontiers(events: DataFrame, floor: int = 0) -> DataFrame:
     """(shard, frontier): the last position up to which the log has no gap above floor.
 
@@ -54,12 +86,17 @@ def frontiers(events: DataFrame, floor: int = 0) -> DataFrame:
 
 
 def coverage(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """ranges (range_id, shard, lo, hi) with covered: every position of (lo, hi] is in the log."""
-    r = ranges.alias("r")
-    e = events.select("shard", "seq").distinct().alias("e")
-    hit = r.join(e, (F.col("r.shard") == F.col("e.shard")) & (F.col("e.seq") > F.col("r.lo")) & (F.col("e.seq") <= F.col("r.hi")), "left")
-    return hit.groupBy("r.range_id", "r.shard", "r.lo", "r.hi").agg(F.count("e.seq").alias("n")).select(
-        "range_id", "shard", "lo", "hi", (F.col("n") == F.col("hi") - F.col("lo")).alias("covered"))
+    """ranges (range_id, shard, lo, hi) with covered: every position of (lo, hi] is in the log.
+
+    The log's positions are numbered once; a range is whole if its first and its last position are there and as far apart in number as in
+    position. So a range of any length costs two lookups, and an empty one none.
+    """
+    places = numbered(events.select("shard", "seq").distinct(), "shard", "seq", "place")
+    r = ranges.select("range_id", "shard", "lo", "hi")
+    first, last = (places.select("shard", F.col("seq").alias(f"{c}_seq"), F.col("place").alias(c)) for c in ("a", "z"))
+    j = r.withColumn("a_seq", F.col("lo") + 1).withColumn("z_seq", F.col("hi")).join(first, ["shard", "a_seq"], "left").join(last, ["shard", "z_seq"], "left")
+    whole = F.coalesce(F.col("z") - F.col("a") == F.col("hi") - F.col("lo") - 1, F.lit(False))
+    return j.select("range_id", "shard", "lo", "hi", ((F.col("hi") == F.col("lo")) | (F.col("hi") > F.col("lo")) & whole).alias("covered"))
 
 
 def suffix(changes: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -90,11 +127,27 @@ def versions(initial: DataFrame, changes: DataFrame) -> DataFrame:
     return every.select("shard", "ident", "body", F.col("seq").alias("from_seq"), F.lead("seq").over(w).alias("to_seq"))
 
 
+def _blocks(begin: str, end: str, levels: int):
+    """The fewest aligned blocks (level, block), of 2 ** level positions each, that make up [begin, end)."""
+    low, high = f"shiftright({begin} + shiftleft(1L, k) - 1, k)", f"shiftright({end}, k)"
+    one = lambda test, at: f"CASE WHEN {low} < {high} AND {test} % 2 = 1 THEN struct(k AS level, {at} AS block) END"
+    return F.expr(f"filter(flatten(transform(sequence(0, {levels}), k -> array({one(low, low)}, {one(high, f'{high} - 1')}))), x -> x IS NOT NULL)")
+
+
 def state_as_of(versions: DataFrame, cuts: DataFrame) -> DataFrame:
-    """(cut_id, shard, ident, body) for many cuts (cut_id, shard, at) at once."""
-    v = versions.where("body is not null")
-    held = (F.col("from_seq") <= F.col("at")) & (F.col("to_seq").isNull() | (F.col("at") < F.col("to_seq")))
-    return v.join(cuts, "shard").where(held).select("cut_id", "shard", "ident", "body")
+    """(cut_id, shard, ident, body) for many cuts (cut_id, shard, at) at once.
+
+    A version's interval is made of aligned blocks of 1, 2, 4, ... positions, two of each size at most, and a cut lies in one block of each size:
+    the two meet in exactly one block or in none. So the join is one of equal keys, and a version meets only the cuts at which it held.
+    """
+    cuts = cuts.select("cut_id", "shard", F.col("at").cast("long").alias("at"))
+    top = cuts.agg(F.max("at")).first()[0]
+    levels = max(0, top if top is not None else 0).bit_length()
+    v = versions.where(F.col("body").isNotNull() & (F.col("from_seq") <= max(0, top or 0)))
+    v = v.withColumn("_end", F.least(F.coalesce("to_seq", F.lit(1 << levels)), F.lit(1 << levels)).cast("long"))
+    v = v.select("shard", "ident", "body", F.explode(_blocks("from_seq", "_end", levels)).alias("_b")).select("shard", "ident", "body", "_b.level", "_b.block")
+    c = cuts.where("at >= 0").withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumn("block", F.expr("shiftright(at, level)"))
+    return v.join(c, ["shard", "level", "block"]).select("cut_id", "shard", "ident", "body")
 
 
 def diff_states(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -114,15 +167,40 @@ def convergence(replicas: DataFrame, members: DataFrame, state: DataFrame) -> Da
 
 def snapshots_to_log(snapshots: DataFrame) -> DataFrame:
     """snapshots (version, shard, ident, body), versions from 0 without gaps -> the log that leads from each to the next:
-    (shard, seq = version, pos, ident, body), deletions as null."""
+    (shard, seq = version, ident, body), deletions as null. An ident changes once in a version, so its name orders a batch; numbered_changes adds places."""
     s = snapshots.select("version", "shard", "ident", "body")
     now, then = s.alias("n"), s.withColumn("version", F.col("version") + 1).alias("t")
     last = s.agg(F.max("version")).first()[0] or 0
     keys = ["version", "shard", "ident"]
     j = now.join(then, keys, "full").select(*keys, F.col("n.body").alias("body"), F.col("t.body").alias("was"))
     j = j.where((F.col("version") > 0) & (F.col("version") <= last) & ~F.col("body").eqNullSafe(F.col("was")))
-    pos = F.row_number().over(W.partitionBy("version", "shard").orderBy("ident")) - 1
-    return j.select("shard", F.col("version").cast("long").alias("seq"), pos.alias("pos"), "ident", "body")
+    return j.select("shard", F.col("version").cast("long").alias("seq"), "ident", "body")
+
+
+def numbered_changes(log: DataFrame, keep) -> DataFrame:
+    """log (shard, seq, ident, body) with pos, each change's place in its batch by ident, from 0; a batch may be as large as a snapshot, so ranges of it are counted."""
+    return placed(log, ("shard", "seq"), "ident", "pos", keep).select("shard", "seq", "pos", "ident", "body")
+
+
+def set_digest(*columns: str):
+    """A digest of a set of rows that needs no order: their number, and the sums and exclusive-ors of two 64-bit hashes."""
+    h, g = F.xxhash64(*columns), F.xxhash64(*columns, F.lit(1))
+    return F.struct(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.bit_xor(g).alias("y"), F.sum(F.shiftright(h, 20)).alias("s"))
+
+
+def check_expected_changes(log: DataFrame, expected: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The changes of log (shard, seq, ident, ...) against those that each version was meant to make, expected (seq, ident) -> (verdicts, misfits).
+
+    verdicts (seq, found, expected, fits): digests of the two sets are compared, so only two rows a version meet. misfits (seq, ident, why), why being unexpected or
+    lacking, are looked for in versions that do not fit alone.
+    """
+    have, want = (d.select("seq", "ident").distinct() for d in (log, expected))
+    a, b = (d.groupBy("seq").agg(set_digest("ident").alias(c)) for d, c in ((have, "a"), (want, "b")))
+    verdicts = a.join(b, "seq", "full").select("seq", F.coalesce("a.n", F.lit(0)).alias("found"), F.coalesce("b.n", F.lit(0)).alias("expected"), F.col("a").eqNullSafe(F.col("b")).alias("fits"))
+    off = verdicts.where("not fits").select("seq")
+    x, y = have.join(off, "seq", "left_semi").withColumn("x", F.lit(True)), want.join(off, "seq", "left_semi").withColumn("y", F.lit(True))
+    misfits = x.join(y, ["seq", "ident"], "full").where("x is null or y is null")
+    return verdicts, misfits.select("seq", "ident", F.when(F.col("y").isNull(), "unexpected").otherwise("lacking").alias("why"))
 
 
 def compact(initial: DataFrame, changes: DataFrame, floors: DataFrame) -> tuple[DataFrame, DataFrame]:

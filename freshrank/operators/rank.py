@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import bucketed, staged
 from .log import final_assignments, state_as_of, versions
 
 
@@ -15,7 +16,32 @@ def plan_score(labels: Column, plan: Column) -> Column:
 
 
 def build_postings(state: DataFrame, bodies: DataFrame) -> DataFrame:
-    return state.join(bodies, "body").select("shard", F.explode("labels").alias("label"), "ident", "body")
+    """(shard, label, ident, body) of a state; bodies (body, labels) or, a row a label, (body, label)."""
+    return state.join(bodies, "body").select("shard", "label" if "label" in bodies.columns else F.explode("labels").alias("label"), "ident", "body")
+
+
+class PostingIndex:
+    """Stored postings (label, holder): a table bucketed by (label, part), so that a lookup moves only the labels that are asked for.
+
+    The postings of a label with over `most` are dealt to parts by their holder's hash, and each part lies in a bucket of its own. Labels and
+    their frequencies (label, df, parts) are a table too, made in the same pass.
+    """
+
+    def __init__(self, postings: DataFrame, holder: str, name: str, most: int = 1 << 20, a_bucket: int = 1 << 22):
+        spark = postings.sparkSession
+        postings = staged(postings.select("label", holder), f"{name}_raw")
+        self.labels = staged(postings.groupBy("label").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / most).cast("int")), f"{name}_labels")
+        total = self.labels.agg(F.sum("df")).first()[0] or 0
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // a_bucket))
+        large = self.labels.where("parts > 1").select("label", "parts")
+        part = F.pmod(F.xxhash64(holder), F.coalesce("parts", F.lit(1))).cast("int")
+        self.table = bucketed(postings.join(large, "label", "left").select("label", part.alias("part"), holder), ("label", "part"), buckets, name)
+        self.holder = holder
+
+    def lookup(self, labels: DataFrame) -> DataFrame:
+        """(label, holder) of all postings of labels (label, ...)."""
+        asked = labels.select("label").distinct().join(self.labels, "label").select("label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        return self.table.join(asked, ["label", "part"]).select("label", self.holder)
 
 
 def apply_to_postings(postings: DataFrame, changes: DataFrame, bodies: DataFrame) -> DataFrame:
@@ -25,8 +51,9 @@ def apply_to_postings(postings: DataFrame, changes: DataFrame, bodies: DataFrame
 
 
 def score_bodies(bodies: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, body, score), positive ones only: each distinct body is scored once, whoever holds it when."""
-    hits = bodies.select("body", F.explode("labels").alias("label")).join(terms.select("query_id", "alt", "label").distinct(), "label")
+    """(query_id, body, score), positive ones only: each distinct body is scored once, whoever holds it when. bodies (body, labels), or (body, label) as an index's lookup gives them."""
+    held = bodies if "label" in bodies.columns else bodies.select("body", F.explode("labels").alias("label"))
+    hits = held.join(terms.select("query_id", "alt", "label").distinct(), "label")
     return hits.groupBy("query_id", "body", "alt").agg(F.count("*").alias("n")).groupBy("query_id", "body").agg(F.max("n").alias("score"))
 
 

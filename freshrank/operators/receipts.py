@@ -121,10 +121,16 @@ def check_prefix_receipts(heads: DataFrame, rows: DataFrame, scores: DataFrame)
 
 
 def recompute_advance(heads: DataFrame, rows: DataFrame, final: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """What advance_tokens must give, by another way: of an ident's old row and its last assignment the later one counts. Heads have no position."""
+    """What advance_tokens must give, by another way: of an ident's old row, the mark that it was touched, and its new score the latest counts. Heads have no position.
+
+    A mark meets only rows held and a score only bodies hit, so nothing is made for each query and change.
+    """
+    cols = (*KEYS, "ident", "age", "body", "score")
     old = rows.select(*KEYS, "ident", F.lit(0).alias("age"), "body", F.col("score").cast("long").alias("score"))
-    new = heads.select(*KEYS).join(final, "shard").join(scores, ["query_id", "body"], "left").select(*KEYS, "ident", F.lit(1).alias("age"), "body", F.col("score").cast("long").alias("score"))
-    latest = old.unionByName(new).groupBy(*KEYS, "ident").agg(F.max(F.struct("age", "body", "score")).alias("v")).select(*KEYS, "ident", "v.body", "v.score").where("score is not null")
+    gone = rows.select(*KEYS, "ident").join(final.select("shard", "ident"), ["shard", "ident"]).select(*KEYS, "ident", F.lit(1).alias("age"), F.lit(None).cast("string").alias("body"), F.lit(None).cast("long").alias("score"))
+    new = final.where("body is not null").join(scores, "body").join(heads.select(*KEYS), list(KEYS), "left_semi").withColumn("age", F.lit(2)).withColumn("score", F.col("score").cast("long"))
+    every = old.unionByName(gone).unionByName(new.select(*cols))
+    latest = every.groupBy(*KEYS, "ident").agg(F.max(F.struct("age", "body", "score")).alias("v")).select(*KEYS, "ident", "v.body", "v.score").where("score is not null")
     ranked = latest.withColumn("place", F.row_number().over(best_first(*KEYS))).join(heads.select(*KEYS, "capacity"), list(KEYS))
     first_out = ranked.where("place = capacity + 1").select(*KEYS, key_of(F.col("score"), F.col("ident")).alias("out"))
     tail = F.least(key_of(F.col("tail_score"), F.col("tail_ident")), F.col("out"))

@@ -6,6 +6,8 @@ A token is held as two tables: heads (query_id, shard, at, capacity, generation,
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,25 +61,39 @@ def heads_of(rows: DataFrame, tails: DataFrame, shards: int, k: int) -> DataFram
     return b.select("query_id", status_of(F.col("missing"), F.col("blockers")).alias("status"), "missing", "blockers")
 
 
-def acquire_tokens(state: DataFrame, scores: DataFrame, grid: DataFrame, capacity: int) -> tuple[DataFrame, DataFrame]:
-    """(heads, rows) from the first `capacity` rows of a state; grid (query_id, shard, at) names the tokens, also those of no rows."""
+def acquire_tokens(state: DataFrame, scores: DataFrame, grid: DataFrame, capacity: int, k: int = 1, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(heads, rows) from the first `capacity` rows of a state; grid (query_id, shard, at) names the tokens, also those of no rows. A capacity below k, or
+    above `most`, is an error: no later step looks at more rows than that."""
+    if not k <= capacity <= most:
+        raise ValueError(f"capacity {capacity} is not between k = {k} and {most}")
     some = top_n(rank_state(state, scores), KEYS, capacity + 1)
     tail = some.where(F.col("rank") == capacity + 1).select(*KEYS, F.col("score").alias("tail_score"), F.col("ident").alias("tail_ident"))
     heads = grid.join(tail, list(KEYS), "left").select(*KEYS, "at", F.lit(capacity).alias("capacity"), F.lit(0).alias("generation"), "tail_score", "tail_ident")
     return heads, some.where(F.col("rank") <= capacity).select(*KEYS, "ident", "body", "score")
 
 
-def advance_tokens(heads: DataFrame, rows: DataFrame, suffix_final: DataFrame, hi: DataFrame, scores: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Tokens over one suffix each: suffix_final (query_id, shard, ident, body) or (shard, ident, body) are its last assignments, hi (shard, hi) its end.
+def fold_suffixes(changes: DataFrame, heads: DataFrame, hi: DataFrame) -> DataFrame:
+    """(shard, at, ident, body): the last assignments since each position at which tokens of a shard stand, folded once however many tokens stand there."""
+    spans = heads.select("shard", "at").distinct().join(hi, "shard").where("at < hi")
+    return final_assignments(changes.join(spans, "shard").where("seq > at and seq <= hi"), ("shard", "at"))
+
+
+def advance_tokens(heads: DataFrame, rows: DataFrame, folded: DataFrame, hi: DataFrame, scores: DataFrame, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Tokens over one suffix each: folded (shard, at, ident, body), or (shard, ident, body) if all of a shard stand at one place, are its last assignments, hi (shard, hi) its end.
 
     Touched rows go, live positive last values come, the first `capacity` stay; the tail is the lesser of itself and the
-    first row that was dropped. A token already at hi stays as it is. The tail never rises here.
+    first row that was dropped. A token already at hi stays as it is. The tail never rises here. The suffix meets the scores by body and the tokens' rows by
+    ident: what moves are changes, hits and rows held, never queries x changes.
     """
-    on = [c for c in KEYS if c in suffix_final.columns]
-    moving = heads.join(hi, "shard").where("at < hi").select(*KEYS, "capacity")
-    final = suffix_final.join(moving.select(*KEYS), on) if on == ["shard"] else suffix_final.join(moving.select(*KEYS), on, "left_semi")
-    clean = rows.join(final.select(*KEYS, "ident"), [*KEYS, "ident"], "left_anti")
-    fresh = final.where("body is not null").join(scores, ["query_id", "body"]).select(*KEYS, "ident", "body", "score")
+    on = [c for c in ("shard", "at") if c in folded.columns]
+    moving = heads.join(hi, "shard").where("at < hi").select(*KEYS, "at")
+    held = rows.select(*KEYS, "ident", "body", "score").join(moving.withColumnRenamed("at", "since"), list(KEYS), "left").alias("r")
+    touched = folded.select(*on, "ident").alias("f")
+    same = (F.col("r.shard") == F.col("f.shard")) & (F.col("r.ident") == F.col("f.ident"))
+    same = same & (F.col("r.since") == F.col("f.at") if "at" in on else F.col("r.since").isNotNull())
+    clean = held.join(touched, same, "left_anti").select(*KEYS, "ident", "body", "score")
+    hits = folded.where("body is not null").join(scores, "body")
+    fresh = hits.join(moving if "at" in on else moving.drop("at"), ["query_id", *on]).select(*KEYS, "ident", "body", "score")
     pool = clean.unionByName(fresh).withColumn("rank", F.row_number().over(best_first(*KEYS))).where(F.col("rank") <= most + 1).join(heads.select(*KEYS, "capacity"), list(KEYS))
     dropped = pool.where(F.col("rank") == F.col("capacity") + 1).select(*KEYS, F.col("score").alias("d_score"), F.col("ident").alias("d_ident"))
     h = heads.join(dropped, list(KEYS), "left").join(hi, "shard")
@@ -174,39 +190,37 @@ def refill_global(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: D
 
 
 def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, queries: DataFrame, ticks: list[DataFrame], keep, capacity: int = 5, k: int = 5,
-                 schedule: DataFrame | None = None, base: int = 5, most: int = 64) -> DataFrame:
-    """Standing queries over ticks; ticks[0] is the start cut, each (shard, at). Returns (tick, query_id, rank, ident, body, score, status, repairs).
+                 schedule: DataFrame | None = None, base: int = 5, most: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Standing queries over ticks; ticks[0] is the start cut, each (shard, at). Returns (answers (tick, query_id, rank, ident, body, score, status, repairs), repairs (tick, query_id, shard)).
 
     A tick's active queries (schedule (tick, query_id); all without one) advance over everything since their own last activation,
     merge, and repair blocked shards in up to as many rounds as there are shards. The state goes from tick to tick by the changes between
     them. keep(df, name) ends a table's lineage.
     """
     n = ticks[0].select("shard").distinct().count()
-    grid = queries.select("query_id").distinct().crossJoin(ticks[0].select("shard", "at"))
+    every = queries.select("query_id").distinct()
     state, before = keep(state_at(initial, changes, ticks[0]), "token_state"), ticks[0].select("shard", F.col("at").alias("lo"))
     log = keep(changes.join(before, "shard").where("seq > lo").drop("lo"), "token_log")  # all that any tick can need
-    heads, rows = acquire_tokens(state, scores, grid, capacity)
-    heads, rows = keep(heads, "token_heads"), keep(rows, "token_rows")
-    out = None
+    heads, rows = (keep(t, f"token_{name}") for t, name in zip(acquire_tokens(state, scores, every.crossJoin(ticks[0].select("shard", "at")), capacity, k, most), ("heads", "rows"), strict=True))
+    answers, repairs = [], []
     for tick, cut in enumerate(ticks[1:], 1):
         hi = cut.select("shard", F.col("at").alias("hi"))
-        active = queries.select("query_id").distinct() if schedule is None else schedule.where(F.col("tick") == tick).select("query_id")
-        now_heads, now_rows = heads.join(active, "query_id", "left_semi"), rows.join(active, "query_id", "left_semi")
-        since = log.join(now_heads.join(hi, "shard").select(*KEYS, "at", "hi"), "shard").where("seq > at and seq <= hi")
-        now_heads, now_rows = advance_tokens(now_heads, now_rows, final_assignments(since, KEYS), hi, scores, most)
-        now_heads, now_rows = keep(now_heads, "token_heads"), keep(now_rows, "token_rows")
+        active = every if schedule is None else schedule.where(F.col("tick") == tick).select("query_id")
+        whole = schedule is None
+        now_heads, now_rows = (heads, rows) if whole else (t.join(active, "query_id", "left_semi") for t in (heads, rows))
         floor = heads.groupBy("shard").agg(F.min("at").alias("lo"))
         dirty = log.join(floor, "shard").join(hi, "shard").where("seq > lo and seq <= hi").groupBy("shard").agg(F.count_distinct("ident").alias("dirty"))
         lengths = repair_lengths(now_heads.select(*KEYS), dirty, k, base, most=most)
-        step = log.join(before, "shard").where("seq > lo").drop("lo")
+        now_heads, now_rows = (keep(t, f"token_{name}") for t, name in zip(advance_tokens(now_heads, now_rows, fold_suffixes(log, now_heads, hi), hi, scores, most), ("heads", "rows"), strict=True))
+        step = log.join(before, "shard").join(hi, "shard").where("seq > lo and seq <= hi").drop("lo", "hi")
         state, before = keep(state_at(state, step, cut), "token_state"), cut.select("shard", F.col("at").alias("lo"))
         now_heads, now_rows, done = refill_global(now_heads, now_rows, state, scores, hi, lengths, n, k, keep, most)
         best, answer = merge_tokens(now_heads, now_rows, n, k)
-        repairs = done.groupBy("query_id").agg(F.count("*").alias("repairs"))
-        got = answer.join(best, "query_id", "left").join(repairs, "query_id", "left").select(
+        per_query = done.groupBy("query_id").agg(F.count("*").alias("repairs"))
+        got = answer.join(best, "query_id", "left").join(per_query, "query_id", "left").select(
             F.lit(tick).alias("tick"), "query_id", F.col("rank").cast("long").alias("rank"), "ident", "body", "score", "status", F.coalesce("repairs", F.lit(0)).cast("long").alias("repairs"))
-        got = keep(got, "token_answers")
-        out = got if out is None else out.unionByName(got)
-        heads = keep(heads.join(active, "query_id", "left_anti").unionByName(now_heads), "token_heads")
-        rows = keep(rows.join(active, "query_id", "left_anti").unionByName(now_rows), "token_rows")
-    return out
+        answers.append(keep(got, "token_answers"))
+        repairs.append(done.select(F.lit(tick).alias("tick"), *KEYS))
+        heads, rows = (now_heads, now_rows) if whole else (
+            keep(old.join(active, "query_id", "left_anti").unionByName(new), f"token_{name}") for old, new, name in ((heads, now_heads, "heads"), (rows, now_rows, "rows")))
+    return reduce(DataFrame.unionByName, answers), reduce(DataFrame.unionByName, repairs)

@@ -12,10 +12,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..operators.log import placed
+
 
 def token_labels(text: Column) -> Column:
     """The sorted distinct tokens of a text: runs of a-z and 0-9 after lower-casing. Null text: none."""
-    return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda x: x != "")))
+    return F.sort_array(distinct_tokens(text))
+
+
+def distinct_tokens(text: Column) -> Column:
+    """As token_labels, in no order."""
+    return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), "")
 
 
 def _terms(tree: ast.AST) -> list[str]:
@@ -94,13 +101,14 @@ def assign_shards(df: DataFrame, group: str, shards: int) -> DataFrame:
     return names.select(group, ((F.dense_rank().over(W.orderBy(group)) - 1) % shards).cast("int").alias("shard"))
 
 
-def split_seeds(df: DataFrame, group: str, order: str, per_group: int = 8) -> DataFrame:
-    """df with is_seed: n = min(per_group, rows div 2) rows of each group at places (j + 1) * rows div (n + 1)."""
-    w = W.partitionBy(group)
-    d = df.withColumn("_at", F.row_number().over(w.orderBy(order)) - 1).withColumn("_len", F.count("*").over(w))
-    n = F.least(F.lit(per_group).cast("long"), F.expr("_len div 2"))
-    places = F.expr("transform(sequence(1, greatest(_n, 1)), j -> (j * _len) div (_n + 1))")
-    return d.withColumn("_n", n).withColumn("is_seed", (F.col("_n") > 0) & F.array_contains(places, F.col("_at").cast("long"))).drop("_at", "_len", "_n")
+def split_seeds(df: DataFrame, group: str, order: str, keep, per_group: int = 8) -> DataFrame:
+    """df with is_seed: n = min(per_group, rows div 2) rows of each group at places (j + 1) * rows div (n + 1).
+
+    Places come from counts by range (log.placed), so a group of any size is not sorted in one task. keep(df, name) ends a table's lineage.
+    """
+    d = placed(df, (group,), order, "_at", keep).withColumn("_n", F.least(F.lit(per_group).cast("long"), F.expr("_at_of div 2")))
+    places = F.expr("transform(sequence(1, greatest(_n, 1)), j -> (j * _at_of) div (_n + 1))")
+    return d.withColumn("is_seed", (F.col("_n") > 0) & F.array_contains(places, F.col("_at"))).drop("_at", "_at_of", "_n")
 
 
 def label_df(bodies: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .plans import corpus
 from .sources import fixtures as fx
 from .sources.scratch import staged
 
+#: Answers, rows of a token; an index lags by one part in LAG of its log.
 K, LENGTH, LAG = 5, 5, 8
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +43,7 @@ versions AS (SELECT shard, ident, body, seq AS from_seq, lead(seq) OVER (PARTITI
 state_cuts AS (SELECT cut_id, v.shard, ident, body FROM versions v JOIN cuts c ON v.shard = c.shard AND from_seq <= cutp AND (to_seq IS NULL OR cutp < to_seq) WHERE body IS NOT NULL),
 exact AS (SELECT * FROM (SELECT cut_id, query_id, row_number() OVER (PARTITION BY cut_id, query_id ORDER BY score DESC, ident) AS rank, shard, ident, body, score
   FROM state_cuts JOIN scores USING (body)) WHERE rank <= {K}),
-lag_at AS (SELECT shard, top - {LAG} AS lo, top AS hi FROM tops),
+lag_at AS (SELECT shard, top - top // {LAG} AS lo, top AS hi FROM tops),
 idx AS (SELECT v.shard, ident, body FROM versions v JOIN lag_at l ON v.shard = l.shard AND from_seq <= lo AND (to_seq IS NULL OR lo < to_seq) WHERE body IS NOT NULL),
 finals AS (SELECT c.shard, ident, arg_max(coalesce(body, ''), seq) AS body FROM changes c JOIN lag_at l ON c.shard = l.shard WHERE seq > lo AND seq <= hi GROUP BY c.shard, ident),
 idx_ranked AS (SELECT query_id, shard, ident, body, score, row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, ident) AS rank FROM idx JOIN scores USING (body)),
@@ -96,13 +97,18 @@ class Inputs:
         self.bodies, self.changes, self.initial = fx.bodies(spark, sf_dir), fx.changes(spark, sf_dir), fx.initial(spark, sf_dir)
         self.cuts = fx.cuts(self.changes)
 
+    @cached_property
+    def posted(self) -> rank.PostingIndex:
+        """The bodies' labels, read once from the texts and stored."""
+        return rank.PostingIndex(fx.body_labels(self.spark, self.dir), "body", "postings")
+
     @cached_property
     def _terms(self) -> DataFrame:
-        return staged(fx.query_terms(self.spark, self.dir), "terms")
+        return staged(fx.query_terms(self.spark, self.dir, self.posted.labels), "terms")
 
     @cached_property
     def _scores(self) -> DataFrame:
-        return staged(rank.score_bodies(self.bodies, self.terms()), "scores")
+        return staged(rank.score_bodies(self.posted.lookup(self.terms()), self.terms()), "scores")
 
     @cached_property
     def _exact(self) -> DataFrame:
@@ -118,7 +124,7 @@ class Inputs:
         return self._exact
 
     def lag(self) -> DataFrame:
-        return self.changes.groupBy("shard").agg(F.max("seq").alias("hi")).select("shard", (F.col("hi") - LAG).alias("lo"), "hi")
+        return self.changes.groupBy("shard").agg(F.max("seq").alias("hi")).select("shard", F.expr(f"hi - hi div {LAG}").alias("lo"), "hi")
 
     def index(self) -> DataFrame:
         return log.state_at(self.initial, self.changes, self.lag().select("shard", F.col("lo").alias("at")))
@@ -161,7 +167,7 @@ def c5_assign_shards(spark, sf_dir):
 @query("""SELECT doc_id, source, len > 1 AND list_contains(list_transform(range(1, least(8, len // 2) + 1), lambda j: (j * len) // (least(8, len // 2) + 1)), nth) AS is_seed
 FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS nth, count(*) OVER (PARTITION BY source) AS len FROM documents)""")
 def c6_split_seeds(spark, sf_dir):
-    return corpus.split_seeds(fx.table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id")
+    return corpus.split_seeds(fx.table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", staged)
 
 
 @query("SELECT label, df FROM label_df")
@@ -238,6 +244,15 @@ def l4_coverage(spark, sf_dir):
     return log.coverage(i.changes.where("seq % 211 <> 0"), r).select(*_long("range_id", "shard"), "lo", "hi", "covered")
 
 
+@query("""SELECT c.seq AS range_id, CAST(c.shard AS BIGINT) AS shard, c.seq AS lo, least(c.seq + c.seq % 300, top) AS hi, (SELECT count(*) FROM changes x WHERE x.shard = c.shard AND x.seq > c.seq AND x.seq <= least(c.seq + c.seq % 300, top) AND x.seq % 211 <> 0) = least(c.seq + c.seq % 300, top) - c.seq AS covered
+FROM changes c JOIN tops t ON c.shard = t.shard""")
+def l4_many_ranges(spark, sf_dir):
+    """A range from every position of the log, of up to 299 positions."""
+    i = Inputs(spark, sf_dir)
+    r = i.changes.join(i.changes.groupBy("shard").agg(F.max("seq").alias("top")), "shard").select(F.col("seq").alias("range_id"), "shard", F.col("seq").alias("lo"), F.least(F.col("seq") + F.col("seq") % 300, "top").alias("hi"))
+    return log.coverage(i.changes.where("seq % 211 <> 0"), r).select("range_id", *_long("shard"), "lo", "hi", "covered")
+
+
 @query("SELECT CAST(shard AS BIGINT) AS shard, ident, nullif(arg_max(coalesce(body, ''), seq), '') AS body FROM changes GROUP BY shard, ident")
 def l5_final_assignments(spark, sf_dir):
     return log.final_assignments(fx.changes(spark, sf_dir)).select(*_long("shard"), "ident", "body")
@@ -260,6 +275,21 @@ def l8_state_as_of(spark, sf_dir):
     return log.state_as_of(log.versions(i.initial, i.changes), i.cuts).select(*_long("cut_id", "shard"), "ident", "body")
 
 
+#: A thousand cuts of each shard, evenly spaced.
+_MANY = BASE + ", many AS (SELECT t AS cut_id, shard, top * t // 1000 AS p FROM tops, (SELECT unnest(range(1, 1001)) AS t))"
+
+
+@query("""SELECT c.cut_id, CAST(c.shard AS BIGINT) AS shard, count(v.ident) AS live, CAST(sum(CAST(substr(body, 2) AS BIGINT)) AS BIGINT) AS bodies FROM many c LEFT JOIN versions v ON v.shard = c.shard AND from_seq <= p AND (to_seq IS NULL OR p < to_seq) AND body IS NOT NULL
+GROUP BY c.cut_id, c.shard HAVING count(v.ident) > 0""", _MANY)
+def l8_many_cuts(spark, sf_dir):
+    """The states at 1,000 cuts of each shard, summed up."""
+    i = Inputs(spark, sf_dir)
+    top = i.changes.groupBy("shard").agg(F.max("seq").alias("top"))
+    many = top.withColumn("cut_id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(1000).cast("long")))).select("cut_id", "shard", F.expr("top * cut_id div 1000").alias("at"))
+    state = log.state_as_of(log.versions(i.initial, i.changes), many)
+    return state.groupBy("cut_id", *_long("shard")).agg(F.count("*").alias("live"), F.sum(F.substring("body", 2, 20).cast("long")).alias("bodies"))
+
+
 @query("""SELECT CAST(coalesce(a.shard, b.shard) AS BIGINT) AS shard, coalesce(a.ident, b.ident) AS ident, a.body AS before, b.body AS after
 FROM (SELECT * FROM state_cuts WHERE cut_id = 1) a FULL JOIN (SELECT * FROM state_cuts WHERE cut_id = 3) b ON a.shard = b.shard AND a.ident = b.ident WHERE a.body IS DISTINCT FROM b.body""")
 def l12_snapshot_diff(spark, sf_dir):
@@ -268,13 +298,41 @@ def l12_snapshot_diff(spark, sf_dir):
     return log.diff_states(s.where("cut_id = 1"), s.where("cut_id = 3")).select(*_long("shard"), "ident", "before", "after")
 
 
-@query("""SELECT CAST(shard AS BIGINT) AS shard, CAST(cut_id AS BIGINT) AS seq, ident, body FROM (
+#: The log between the snapshots at the cuts.
+_SNAPS = BASE + """, snaps AS (SELECT cut_id AS seq, shard, ident, body FROM (
  SELECT coalesce(a.cut_id, b.cut_id + 1) AS cut_id, coalesce(a.shard, b.shard) AS shard, coalesce(a.ident, b.ident) AS ident, a.body AS body, b.body AS was
- FROM state_cuts a FULL JOIN state_cuts b ON a.cut_id = b.cut_id + 1 AND a.shard = b.shard AND a.ident = b.ident) WHERE cut_id BETWEEN 1 AND 4 AND body IS DISTINCT FROM was""")
+ FROM state_cuts a FULL JOIN state_cuts b ON a.cut_id = b.cut_id + 1 AND a.shard = b.shard AND a.ident = b.ident) WHERE cut_id BETWEEN 1 AND 4 AND body IS DISTINCT FROM was),
+meant AS (SELECT seq, CASE WHEN seq = 3 AND ident LIKE '%25' THEN ident || 'x' ELSE ident END AS ident FROM snaps WHERE NOT (seq = 2 AND ident LIKE '%7'))"""
+
+
+def _snapshot_log(i: Inputs) -> DataFrame:
+    return log.snapshots_to_log(log.state_as_of(log.versions(i.initial, i.changes), i.cuts).withColumnRenamed("cut_id", "version"))
+
+
+@query("SELECT CAST(shard AS BIGINT) AS shard, CAST(seq AS BIGINT) AS seq, row_number() OVER (PARTITION BY shard, seq ORDER BY ident) - 1 AS pos, ident, body FROM snaps", _SNAPS)
 def l13_snapshots_to_log(spark, sf_dir):
-    i = Inputs(spark, sf_dir)
-    s = log.state_as_of(log.versions(i.initial, i.changes), i.cuts).withColumnRenamed("cut_id", "version")
-    return log.snapshots_to_log(s).select(*_long("shard"), "seq", "ident", "body")
+    return log.numbered_changes(_snapshot_log(Inputs(spark, sf_dir)), staged).select(*_long("shard"), "seq", *_long("pos"), "ident", "body")
+
+
+def _expected(made: DataFrame) -> DataFrame:
+    """What the versions were meant to change: version 2 less than it did, version 3 something else."""
+    ident = F.when((F.col("seq") == 3) & F.col("ident").like("%25"), F.concat("ident", F.lit("x"))).otherwise(F.col("ident"))
+    return made.where("not (seq = 2 and ident like '%7')").select("seq", ident.alias("ident"))
+
+
+@query("""SELECT CAST(seq AS BIGINT) AS seq, (SELECT count(*) FROM snaps x WHERE x.seq = s.seq) AS found, (SELECT count(*) FROM meant x WHERE x.seq = s.seq) AS expected,
+NOT EXISTS (SELECT ident FROM snaps x WHERE x.seq = s.seq EXCEPT SELECT ident FROM meant x WHERE x.seq = s.seq) AND NOT EXISTS (SELECT ident FROM meant x WHERE x.seq = s.seq EXCEPT SELECT ident FROM snaps x WHERE x.seq = s.seq) AS fits
+FROM (SELECT DISTINCT seq FROM snaps) s""", _SNAPS)
+def l13_expected_changes(spark, sf_dir):
+    made = staged(_snapshot_log(Inputs(spark, sf_dir)), "snapshots")
+    return log.check_expected_changes(made, _expected(made))[0].select("seq", *_long("found", "expected"), "fits")
+
+
+@query("""SELECT CAST(seq AS BIGINT) AS seq, ident, 'unexpected' AS why FROM (SELECT seq, ident FROM snaps EXCEPT SELECT seq, ident FROM meant)
+UNION ALL SELECT CAST(seq AS BIGINT), ident, 'lacking' FROM (SELECT seq, ident FROM meant EXCEPT SELECT seq, ident FROM snaps)""", _SNAPS)
+def l13_misfits(spark, sf_dir):
+    made = staged(_snapshot_log(Inputs(spark, sf_dir)), "snapshots")
+    return log.check_expected_changes(made, _expected(made))[1]
 
 
 @query("SELECT CAST(shard AS BIGINT) AS shard, ident, body FROM state_cuts WHERE cut_id = 4")
@@ -333,7 +391,8 @@ def r4_rank_postings(spark, sf_dir):
     """Postings of the start, maintained over the whole log, answer as the state at its end does."""
     i = Inputs(spark, sf_dir)
     start = log.state_at(i.initial, i.changes, i.cuts.where("cut_id = 0"))
-    posts = rank.apply_to_postings(rank.build_postings(start, i.bodies), i.changes, i.bodies)
+    labels = staged(i.posted.lookup(i.terms()), "queried")  # only queried labels are ranked by
+    posts = rank.apply_to_postings(rank.build_postings(start, labels), i.changes, labels)
     return rank.top_n(rank.rank_postings(posts, i.terms()), ("query_id",), K).select("query_id", *_long("rank"), "ident", "body", "score")
 
 
@@ -444,7 +503,7 @@ def k4_repair_lengths(spark, sf_dir):
     return tokens.repair_lengths(i.grid(), dirty, K, LENGTH).select("query_id", *_long("shard", "length"), "guaranteed")
 
 
-def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 8, size: int = 16, active: int | None = None) -> DataFrame:
+def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 8, size: int = 16, active: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A standing run over the last ticks * size changes of each shard; with `active`, only so many queries a tick, in turn."""
     i = Inputs(spark, sf_dir)
     changes, initial, scores = keep(i.changes, "log"), keep(i.initial, "initial"), keep(i.scores(), "scores")
@@ -468,7 +527,7 @@ _STANDING = f"""SELECT CAST(tick AS BIGINT) AS tick, query_id, rank, ident, body
 
 @query(_STANDING)
 def k10_run_standing(spark, sf_dir):
-    out = standing(spark, sf_dir, staged)
+    out = standing(spark, sf_dir, staged)[0]
     return out.where("rank is not null").select(*_long("tick"), "query_id", "rank", "ident", "body", "score", "status")
 
 
@@ -476,7 +535,7 @@ def k10_run_standing(spark, sf_dir):
   SELECT query_id, (row_number() OVER (ORDER BY query_id) - 1) // 4 AS turn, count(*) OVER () AS n FROM (SELECT DISTINCT query_id FROM terms)) q
 ON q.query_id = r.query_id AND q.turn = (r.tick - 1) % CAST(ceil(n / 4.0) AS BIGINT)""")
 def k10_run_scheduled(spark, sf_dir):
-    out = standing(spark, sf_dir, staged, active=4)
+    out = standing(spark, sf_dir, staged, active=4)[0]
     return out.where("rank is not null").select(*_long("tick"), "query_id", "rank", "ident", "body", "score", "status")
 
 

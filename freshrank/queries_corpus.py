@@ -50,7 +50,7 @@ def c8_plan_calls_first(spark, sf_dir):
 WHERE NOT (len > 1 AND list_contains(list_transform(range(1, least(8, len // 2) + 1), lambda j: (j * len) // (least(8, len // 2) + 1)), nth))""")
 def c10b_drop_seeds(spark, sf_dir):
     start = fx.initial(spark, sf_dir)
-    return corpus.drop_seeds(start, corpus.split_seeds(start, "shard", "ident").where("is_seed")).select(*_long("shard"), "ident", "body")
+    return corpus.drop_seeds(start, corpus.split_seeds(start, "shard", "ident", staged).where("is_seed")).select(*_long("shard"), "ident", "body")
 
 
 #: Every 5th ident is not in the base. pos 0: the pool is too small for a plan.

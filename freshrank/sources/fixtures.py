@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..plans.corpus import add_alternates, label_df, plan_rare, token_labels
+from ..operators.log import numbered
+from ..plans.corpus import add_alternates, distinct_tokens, label_df, plan_rare, token_labels
 
 #: Substitutions of labels for a query's second alternative.
 ALTERNATES = {"the": "of", "and": "to", "was": "is", "der": "die", "la": "de", "with": "by", "for": "at", "that": "it"}
@@ -20,19 +20,6 @@ def code(prefix: str, number: Column) -> Column:
     return F.format_string(prefix + "%06d", number)
 
 
-def numbered(df: DataFrame, key: str, order: str, name: str, width: int = 4096) -> DataFrame:
-    """df with name: the place of each row (from 1) in the order of an integer column within key.
-
-    Counts by stretches of the order column give each stretch its first number, so that no task sorts all rows of a key.
-    """
-    part = F.floor(F.col(order) / width)
-    d = df.withColumn("_part", part)
-    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    starts = d.groupBy(key, "_part").count().select(key, "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy(key, "_part").orderBy(order))
-    return d.join(starts, [key, "_part"]).withColumn(name, (F.col("_before") + inside).cast("long")).drop("_part", "_before")
-
-
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.select(code("b", F.col("doc_id")).alias("body"), token_labels(F.col("text")).alias("labels"))
@@ -57,11 +44,17 @@ def initial(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.select((F.col("user_id") % 3).cast("int").alias("shard"), code("u", F.col("user_id")).alias("ident"), code("b", F.col("user_id") % n).alias("body"))
 
 
-def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+def body_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(body, label): the labels of bodies, a row each."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(code("b", F.col("doc_id")).alias("body"), F.explode(distinct_tokens(F.col("text"))).alias("label"))
+
+
+def query_terms(spark: SparkSession, sf_dir: str, df: DataFrame | None = None) -> DataFrame:
     """(query_id, alt, pos, label): for each benchmark item its 4 rarest labels that 2 % of the documents hold; for even
-    items a second alternative by ALTERNATES."""
+    items a second alternative by ALTERNATES. df (label, df): the labels' frequencies, if at hand."""
     n = n_docs(spark, sf_dir)
-    df = label_df(bodies(spark, sf_dir)).where(F.col("df") * 50 >= n)
+    df = (label_df(bodies(spark, sf_dir)) if df is None else df.select("label", "df")).where(F.col("df") * 50 >= n)
     items = table(spark, sf_dir, "benchmark").select(F.format_string("q%03d", "item_id").alias("query_id"), "item_id", token_labels(F.col("text")).alias("labels"))
     base = plan_rare(items, df, "query_id", 4)
     even = items.where("item_id % 2 = 0").select("query_id")

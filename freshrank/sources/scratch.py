@@ -26,3 +26,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, keys: tuple, buckets: int, name: str) -> DataFrame:
+    """As staged, but in buckets by keys and sorted by them: joins on these keys move none of its rows."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    (df.write.format("parquet").option("path", f"{shared_dir(spark)}/{table}").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table))
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the name alone: the files stay, and so does what out knows of them
+    return out

@@ -76,7 +76,7 @@ def test_tail_is_kept(spark):
 
 
 def test_complete_answers_of_a_standing_run_are_exact(spark, sf_dir):
-    got = queries.standing(spark, sf_dir, staged, ticks=2, size=8).where("rank is not null and status = 'complete'").toPandas()
+    got = queries.standing(spark, sf_dir, staged, ticks=2, size=8)[0].where("rank is not null and status = 'complete'").toPandas()
     i = queries.Inputs(spark, sf_dir)
     top = i.changes.groupBy("shard").agg(F.max("seq").alias("top")).withColumn("cut_id", F.explode(F.sequence(F.lit(1), F.lit(2))))
     want = rank.exact_topk(i.initial, i.changes, i.bodies, i.terms(), top.select("cut_id", "shard", (F.col("top") - 8 * (2 - F.col("cut_id"))).alias("at")), 5).toPandas()
