@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import audit, log, policies, rank, receipts, tables, tokens
-from .queries import _OBS, BASE, CERT, LENGTH, K, Inputs, _advanced, _long, _observations, policy_answers, query
+from .queries import _OBS, _STANDING, BASE, CERT, LENGTH, K, Inputs, _advanced, _long, _observations, policy_answers, query, standing
 from .sources import fixtures as fx
 from .sources.scratch import shared_dir, staged
 from .streaming import standing as streams
@@ -491,11 +491,70 @@ def t4_stream_state(spark, sf_dir):
     return state.join(n, ["shard", "ident"], "left").select(*_long("shard"), "ident", "body", F.coalesce("postings", F.lit(0)).alias("postings"))
 
 
-@query("SELECT query_id, CASE WHEN blockers > 0 THEN 'rank-underdetermined' ELSE 'complete' END AS status, blockers FROM merge_heads")
-def t2_stream_standing(spark, sf_dir):
-    """Tokens of the lagging index carried over the log's suffix by one micro-batch; the answer is that of the batch job."""
+def _streamed(spark, sf_dir, ticks: int = 8, size: int = 16):
+    """Answers and repairs of the standing run of k10, its ticks coming as micro-batches; half of them after a restart."""
     i, root = Inputs(spark, sf_dir), _feed_root(spark)
-    scores, lag = staged(i.scores(), "scores"), i.lag()
-    heads, rows = tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH)
-    log.suffix(i.changes, lag).select("shard", "seq", "pos", "ident", "body").write.parquet(f"{root}/feed")
-    return streams.stream_standing(_feed(spark, root), heads, rows, scores, root, 3, K)[2].select("query_id", "status", *_long("blockers"))
+    changes, scores = staged(i.changes, "log"), staged(i.scores(), "scores")
+    top = staged(changes.groupBy("shard").agg(F.max("seq").alias("top")), "tops")
+    start = top.select("shard", (F.col("top") - size * ticks).alias("at"))
+    state = staged(log.state_at(i.initial, changes, start), "state")
+    grid = i.terms().select("query_id").distinct().crossJoin(start)
+    heads, rows = (staged(t, "token") for t in tokens.acquire_tokens(state, scores, grid, LENGTH, K))
+    late = staged(changes.join(top, "shard").withColumn("tick", F.expr(f"{ticks} - (top - seq) div {size}")).where("tick > 0"), "late")
+    for half in (range(1, ticks // 2 + 1), range(ticks // 2 + 1, ticks + 1)):
+        for tick in half:
+            late.where(F.col("tick") == tick).select("shard", "seq", "pos", "ident", "body").coalesce(1).write.mode("append").parquet(f"{root}/feed")
+        feed = spark.readStream.schema("shard int, seq long, pos int, ident string, body string").option("maxFilesPerTrigger", 1).parquet(f"{root}/feed")
+        answers, repairs = streams.stream_standing(feed, state, heads, rows, scores, root, 3, K)
+    return answers, repairs
+
+
+@query(_STANDING.replace("CAST(tick AS BIGINT) AS tick", "CAST(tick AS BIGINT) - 1 AS version"))
+def t2_stream_standing(spark, sf_dir):
+    """Eight micro-batches advance, merge and repair; their answers are those of the batch job, exact at each one's cut."""
+    out = _streamed(spark, sf_dir)[0]
+    return out.where("rank is not null").select("version", "query_id", "rank", "ident", "body", "score", "status")
+
+
+def _stepwise(ticks: int = 8, size: int = 16, rounds: int = 3) -> str:
+    """The standing run in SQL, tick by tick and round by round: which tokens are repaired when."""
+    at = lambda t: f"(top - {size * (ticks - t)})"
+    state = lambda t: f"SELECT v.shard, ident, body FROM versions v JOIN tops t ON t.shard = v.shard WHERE body IS NOT NULL AND from_seq <= {at(t)} AND (to_seq IS NULL OR {at(t)} < to_seq)"
+    ctes = [f"""sc AS MATERIALIZED (SELECT * FROM scores), qs AS MATERIALIZED (SELECT DISTINCT query_id FROM terms),
+r0 AS MATERIALIZED (SELECT query_id, shard, ident, score, row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, ident) AS rank FROM ({state(0)}) JOIN sc USING (body)),
+h_0 AS MATERIALIZED (SELECT q.query_id, t.shard, {LENGTH} AS cap, r.score AS tail_score, r.ident AS tail_ident FROM qs q CROSS JOIN tops t LEFT JOIN r0 r ON r.query_id = q.query_id AND r.shard = t.shard AND r.rank = {LENGTH} + 1),
+w_0 AS MATERIALIZED (SELECT query_id, shard, ident, score FROM r0 WHERE rank <= {LENGTH})"""]
+    picks = []
+    for t in range(1, ticks + 1):
+        ctes.append(f"""f{t} AS MATERIALIZED (SELECT c.shard, ident, nullif(arg_max(coalesce(body, ''), seq), '') AS body FROM changes c JOIN tops t ON t.shard = c.shard WHERE seq > {at(t - 1)} AND seq <= {at(t)} GROUP BY c.shard, ident),
+s{t} AS MATERIALIZED ({state(t)}), n{t} AS MATERIALIZED (SELECT shard, greatest({LENGTH}, least(64, {K} + count(*))) AS length FROM f{t} GROUP BY shard),
+p{t} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, shard ORDER BY score DESC, ident) AS rank FROM (
+ SELECT w.* FROM w_{t - 1} w WHERE NOT EXISTS (SELECT 1 FROM f{t} f WHERE f.shard = w.shard AND f.ident = w.ident) UNION ALL SELECT query_id, shard, ident, score FROM f{t} JOIN sc USING (body))),
+h{t}_0 AS MATERIALIZED (SELECT h.query_id, h.shard, cap,
+  CASE WHEN p.score IS NULL OR (tail_score IS NOT NULL AND (-tail_score, tail_ident) <= (-p.score, p.ident)) THEN tail_score ELSE p.score END AS tail_score,
+  CASE WHEN p.score IS NULL OR (tail_score IS NOT NULL AND (-tail_score, tail_ident) <= (-p.score, p.ident)) THEN tail_ident ELSE p.ident END AS tail_ident
+  FROM h_{t - 1} h LEFT JOIN p{t} p ON p.query_id = h.query_id AND p.shard = h.shard AND p.rank = cap + 1),
+w{t}_0 AS MATERIALIZED (SELECT p.query_id, p.shard, ident, score FROM p{t} p JOIN h{t}_0 h USING (query_id, shard) WHERE rank <= cap)""")
+        for r in range(1, rounds + 1):
+            done = " UNION ALL ".join(f"SELECT query_id, shard FROM k{t}_{x}" for x in range(1, r)) or "SELECT '', -1"
+            ctes.append(f"""m{t}_{r} AS MATERIALIZED (SELECT query_id, count(*) AS n, max((-score, ident)) AS last FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ident) AS rank FROM w{t}_{r - 1}) WHERE rank <= {K} GROUP BY query_id),
+k{t}_{r} AS MATERIALIZED (SELECT query_id, shard FROM h{t}_{r - 1} LEFT JOIN m{t}_{r} USING (query_id) WHERE tail_score IS NOT NULL AND (coalesce(n, 0) < {K} OR last >= (-tail_score, tail_ident)) AND (query_id, shard) NOT IN (SELECT (query_id, shard) FROM ({done}) d(query_id, shard))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY tail_score DESC, tail_ident) = 1),
+g{t}_{r} AS MATERIALIZED (SELECT query_id, s.shard, s.ident, score, length, row_number() OVER (PARTITION BY query_id, s.shard ORDER BY score DESC, s.ident) AS rank FROM k{t}_{r} k JOIN s{t} s ON s.shard = k.shard JOIN sc USING (query_id, body) JOIN n{t} n ON n.shard = s.shard),
+h{t}_{r} AS MATERIALIZED (SELECT h.query_id, h.shard, CASE WHEN k.query_id IS NULL THEN cap ELSE (SELECT coalesce(max(length), {LENGTH}) FROM n{t} n WHERE n.shard = h.shard) END AS cap, CASE WHEN k.query_id IS NULL THEN tail_score ELSE g.score END AS tail_score, CASE WHEN k.query_id IS NULL THEN tail_ident ELSE g.ident END AS tail_ident
+  FROM h{t}_{r - 1} h LEFT JOIN k{t}_{r} k ON k.query_id = h.query_id AND k.shard = h.shard LEFT JOIN g{t}_{r} g ON g.query_id = h.query_id AND g.shard = h.shard AND g.rank = g.length + 1),
+w{t}_{r} AS MATERIALIZED (SELECT * FROM w{t}_{r - 1} WHERE (query_id, shard) NOT IN (SELECT (query_id, shard) FROM k{t}_{r}) UNION ALL SELECT query_id, shard, ident, score FROM g{t}_{r} WHERE rank <= length)""")
+            picks.append(f"SELECT {t} AS tick, query_id, shard FROM k{t}_{r}")
+        ctes.append(f"h_{t} AS MATERIALIZED (SELECT * FROM h{t}_{rounds}), w_{t} AS MATERIALIZED (SELECT * FROM w{t}_{rounds})")
+    return BASE + ", " + ",\n".join(ctes) + ", picks AS (" + " UNION ALL ".join(picks) + ")\n"
+
+
+@query("SELECT CAST(tick AS BIGINT) AS tick, query_id, CAST(shard AS BIGINT) AS shard FROM picks", _stepwise())
+def k10_repairs(spark, sf_dir):
+    """The tokens that the standing run repairs, by tick."""
+    return standing(spark, sf_dir, staged)[1].select(*_long("tick"), "query_id", *_long("shard"))
+
+
+@query("SELECT CAST(tick AS BIGINT) - 1 AS version, query_id, CAST(shard AS BIGINT) AS shard FROM picks", _stepwise())
+def t2_repairs(spark, sf_dir):
+    return _streamed(spark, sf_dir)[1].select("version", "query_id", *_long("shard"))
