@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import bucketed, partitions, staged, texts
+from .common import bucketed, staged, texts
 
-#: Bytes of text that are encoded together; suffixes, or pairs of words, that an owner should get.
-BLOCK_BYTES, OWNED = 16 << 20, 1 << 20
+#: Bytes of text that are encoded together; phrases, or suffixes, that an owner should get; lengths of phrases whose rare ones are told beforehand.
+BLOCK_BYTES, OWNED, TOLD = 16 << 20, 1 << 20, 3
 #: What ends a piece becomes LF, a tab a space.
 _ENDS = bytes.maketrans(b".,;:!?\x0b\x0c\r\t", b"\n" * 9 + b" ")
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-ENCODED = "block long, lang string, id int, word binary, times long, ids binary"
+ENCODED = "block long, lang string, tokens long, words binary, ids binary"
 
 
 def three_way(words: np.ndarray, weights: np.ndarray, least: int, shared: int = 2):
@@ -45,151 +48,224 @@ def three_way(words: np.ndarray, weights: np.ndarray, least: int, shared: int =
 
 
 def _encode(data: dict[str, list[bytes]]):
-    """Of each language its distinct words, their counts, and the texts as places of these words; -1 where a piece ends."""
+    """Of each language the number of words, its distinct words a line, and the texts as places of these words; -1 where a piece ends."""
     for lang, some in data.items():
         tokens = b" \n ".join(some).lower().translate(_ENDS).replace(b"\n", b" \n ").split(b" ")
         number: dict[bytes, int] = {b"": -2, b"\n": -1}
         ids = np.fromiter((number.setdefault(t, len(number) - 2) for t in tokens), np.int32, len(tokens))
         ids = ids[ids > -2]
-        yield lang, list(number)[2:], np.bincount(ids[ids >= 0], minlength=len(number) - 2), ids
+        yield lang, int(np.count_nonzero(ids >= 0)), b"\n".join(list(number)[2:]), ids.tobytes()
+
+
+def _packed(keys: np.ndarray) -> bytes:
+    """The lower 40 bits of each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def _unpacked(parts: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :5] = raw
+    return out.view("<u8").ravel()
+
+
+def _keys(values: np.ndarray, owners: int) -> np.ndarray:
+    """Of 64-bit values the owner above bit 40, and 40 bits of the value below."""
+    return ((values >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32) << np.uint64(40)) | (values & np.uint64((1 << 40) - 1))
+
+
+def _hashes(lang: str, words: list[bytes]) -> np.ndarray:
+    own = lang.encode() + b"\n"
+    return np.fromiter((xxhash.xxh3_64_intdigest(own + w) for w in words), np.uint64, len(words))
+
+
+class Texts:
+    """A block's texts of one language, as ids of its words; and for each length m the places where phrases of m words begin whose parts of m - 1 words are frequent, with their
+    keys; of lengths that are told, the frequent ones alone. frequent: sorted keys of the block's frequent phrases of one word, two words, ... as far as they are known."""
 
+    def __init__(self, lang: str, words: bytes, ids: bytes, owners: int, frequent: list[np.ndarray]):
+        self.lang, self.ids = lang, np.frombuffer(ids, np.int32)
+        self.words = words.split(b"\n") if words else []
+        h = _hashes(lang, self.words)
+        self.word_keys = _keys(h, owners)
+        word = h[self.ids] if len(h) else np.zeros(0, np.uint64)
+        at = np.flatnonzero(self.ids >= 0)
+        value = word[at]
+        self.places, self.keys = [at], [_keys(value, owners)]
+        for m, known in enumerate(frequent, 1):
+            keys = self.keys[-1]
+            kept = known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys if len(known) else np.zeros(len(at), bool)
+            at, value, self.keys[-1] = at[kept], value[kept], keys[kept]
+            self.places[-1] = at
+            goes = np.zeros(len(self.ids) + 1, bool)
+            goes[at] = True
+            at, value = at[goes[at + 1]], value[goes[at + 1]]
+            value = (value ^ (value >> np.uint64(31))) * _A + word[at + m] * _B
+            value ^= value >> np.uint64(29)
+            self.places.append(at)
+            self.keys.append(_keys(value, owners))
 
-def _linked(ids: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places whose word and the next are frequent and in one piece, and a value of each such pair. hashes: of each word, 0 if it is rare."""
-    h = np.where(ids >= 0, hashes[ids], np.uint64(0)) if len(hashes) else np.zeros(len(ids), np.uint64)
-    at = np.flatnonzero((h[:-1] != 0) & (h[1:] != 0))
-    x = (h[at] ^ (h[at] >> np.uint64(31))) * _A + h[at + 1] * _B
-    return at, x ^ (x >> np.uint64(29))
+
+def _dealt(keys: np.ndarray, owners: int):
+    """(owner, slice) of sorted keys."""
+    cuts = np.searchsorted(keys, np.arange(owners + 1, dtype=np.uint64) << np.uint64(40))
+    return [(int(i), slice(int(cuts[i]), int(cuts[i + 1]))) for i in np.flatnonzero(np.diff(cuts))]
 
 
 def phrase_counts(docs: DataFrame, least: int = 100, most: int = 5) -> tuple[DataFrame, DataFrame]:
-    """docs (text, lang, ...) -> (counts, sizes): counts (lang, phrase, words, f), each phrase of up to `most` words that its lang has `least` times or more; sizes (lang, n).
+    """docs (text, lang, ...) -> (counts, sizes): counts (lang, phrase, f), each phrase of up to `most` words that its lang has `least` times or more; sizes (lang, n).
 
-    Tasks encode texts by blocks, so no text moves. Words, then pairs of frequent words, are counted over all blocks, and each block is told which are frequent: it sends
-    ranges of pairs' 64-bit values to their owners, which answer with those that come often enough (a collision lets a rare pair pass, which is found out later).
-    A suffix begins with a frequent pair and goes on as long as the next pair is frequent; others can't be counted often. Equal suffixes of a block, then
-    of all blocks, become one row with a weight, and rows go to owners by their first three words. There they are sorted; counts of two words, which may have several owners, are
-    summed. A frequent word or phrase therefore sends one row a block, and neither a word nor a pair of words gathers all its suffixes in one task.
+    Tasks encode texts by blocks, so no text moves. In a round each for words, pairs and triples a block sends its phrases whose parts are frequent, with their counts, to the owners of ranges of
+    hashes: words as they are, so that their owners count them; longer ones as keys of 40 bits, since the owners only abandon what all blocks together have too seldom and tell the block the
+    rest (by a collision a rare phrase may pass, which is found out later). A suffix begins with a frequent pair and goes on as long as the next triple is frequent; what is cut off can't be counted often.
+    Equal suffixes of a block become one with a weight, and go to the owners of their first two words; there they are sorted and counted. A pair that occurs more often than an owner should hold rows
+    is dealt to as many owners as that takes, by its third word, and its own count is summed. So a frequent word or phrase sends one entry a block, and no owner gathers all that begins with a frequent pair.
     """
-    spark = docs.sparkSession
-    arrow = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("id", pa.int32()), ("word", pa.binary()), ("times", pa.int64()), ("ids", pa.binary())])
+    spark, levels = docs.sparkSession, min(TOLD, most)
+    arrow = pa.schema([("block", pa.int64()), ("lang", pa.string()), ("tokens", pa.int64()), ("words", pa.binary()), ("ids", pa.binary())])
 
     def encode(batches):
         block, held, data = TaskContext.get().partitionId() << 32, 0, {}
 
         def out():
-            for lang, words, times, ids in _encode(data):
-                n = len(words)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, block)), pa.array([lang] * n, pa.string()), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.binary()),
-                                                  pa.array(times.astype(np.int64)), pa.nulls(n, pa.binary())], schema=arrow)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([block], [lang], [None], [None], [None], [ids.tobytes()]), arrow.types, strict=True)], schema=arrow)
+            rows_ = [(block, *x) for x in _encode(data)]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], t) for i, t in enumerate(arrow.types)], schema=arrow)
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text")), strict=True):
                 if held and held + len(text) > BLOCK_BYTES:
-                    yield from out()
+                    yield out()
                     block, held, data = block + 1, 0, {}
                 data.setdefault(lang, []).append(text)
                 held += len(text) + 1
-        yield from out()
+        yield out()
 
     rows = bucketed(docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text").mapInArrow(encode, ENCODED), "block", "phrases_rows")
-    words = rows.where("word is not null").select("block", "lang", "id", F.decode("word", "utf-8").alias("word"), "times")
-    sizes = staged(words.groupBy("lang").agg(F.sum("times").alias("n")), "phrases_sizes")
-    frequent = staged(words.groupBy("lang", "word").agg(F.sum("times").alias("f")).where(F.col("f") >= least), "phrases_words")
-    told = words.join(frequent, ["lang", "word"]).select("block", "lang", "id", "word", F.xxhash64("lang", "word").alias("h"), F.lit(None).cast("binary").alias("pairs"))
-    told = bucketed(told, "block", "phrases_told")
-    encoded = rows.where("ids is not null").select("block", "lang", "ids")
-    n = sizes.agg(F.sum("n")).first()[0] or 0
-    owners = max(2, n // OWNED)
-
-    def hashed(table: pa.Table, known: pa.Table):
-        """Of each language of a block: its name, its texts, the values of its words (0: rare), their names."""
-        of: dict[str, list] = {}
-        for lang, i, h, word in zip(*(known.column(c).to_pylist() for c in ("lang", "id", "h", "word")), strict=True):
-            if i is not None:
-                of.setdefault(lang, []).append((i, h, word))
-        for lang, ids in zip(table.column("lang").to_pylist(), table.column("ids").to_pylist(), strict=True):
-            if some := of.get(lang):
-                ids = np.frombuffer(ids, np.int32)
-                hashes, names = np.zeros(int(ids.max()) + 1, np.uint64), {i: w for i, _, w in some}
-                hashes[[i for i, _, _ in some]] = np.array([h for _, h, _ in some], np.int64).view(np.uint64) | np.uint64(1)
-                yield lang, ids, hashes, names
-
-    def ask(table: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = [_linked(ids, hashes)[1] for _, ids, hashes, _ in hashed(table, known)]
-        values, times = np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)]), return_counts=True)
-        owner = ((values >> np.uint64(32)) * np.uint64(owners) >> np.uint64(32)).astype(np.int64)
-        cuts = np.searchsorted(owner, np.arange(owners + 1))
-        some = np.flatnonzero(np.diff(cuts))
-        times = np.minimum(times, least).astype("<u4")
-        return pa.table({"block": pa.array(np.full(len(some), (table if len(table) else known).column("block")[0].as_py(), np.int64)), "owner": pa.array(some.astype(np.int32)),
-                         "pairs": pa.array([values[cuts[i]:cuts[i + 1]].astype("<u8").tobytes() for i in some], pa.binary()),
-                         "times": pa.array([times[cuts[i]:cuts[i + 1]].tobytes() for i in some], pa.binary())})
-
-    def answer(table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(p, "<u8") for p in table.column("pairs").to_pylist()]
-        values, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        often = np.bincount(inverse, weights=np.concatenate([np.frombuffer(t, "<u4") for t in table.column("times").to_pylist()])) >= least
-        cuts = np.cumsum([0, *map(len, parts)])
-        kept = [p[often[inverse[a:b]]].tobytes() for p, a, b in zip(parts, cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"block": table.column("block"), "pairs": pa.array(kept, pa.binary())})
-
-    asked = encoded.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask, "block long, owner int, pairs binary, times binary")
-    answers = asked.groupBy("owner").applyInArrow(answer, "block long, pairs binary")
-    names = told.columns
-    both = told.unionByName(answers.select("block", *[F.lit(None).cast(told.schema[c].dataType).alias(c) for c in names if c not in ("block", "pairs")], "pairs").select(names))
-
-    def suffixes(table: pa.Table, known: pa.Table) -> pa.Table:
-        pairs = [np.frombuffer(p, "<u8") for p in known.column("pairs").drop_null().to_pylist()]
-        pairs = np.unique(np.concatenate([*pairs, np.zeros(0, np.uint64)]))
-        langs, phrases, times = [], [], []
-        for lang, ids, hashes, words_ in hashed(table, known):
-            at, values = _linked(ids, hashes)
-            goes = np.zeros(len(ids) + most, bool)
-            if len(pairs):
-                where = np.minimum(np.searchsorted(pairs, values), len(pairs) - 1)
-                goes[at[pairs[where] == values]] = True
-            begin = np.flatnonzero(goes)
+    sizes = staged(rows.groupBy("lang").agg(F.sum("tokens").alias("n")).where("n > 0"), "phrases_sizes")
+    owners = max(2, (sizes.agg(F.sum("n")).first()[0] or 0) // OWNED)
+
+    def views(table: pa.Table, told: pa.Table, known: int):
+        frequent = []
+        for level in range(1, known + 1):
+            own = told.filter(pc.equal(told.column("level"), level))
+            keys = [_unpacked([p]) | np.uint64(owner << 40) for owner, p in zip(own.column("owner").to_pylist(), own.column("phrases").to_pylist(), strict=True)]
+            frequent.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *keys])))
+        for lang, words, ids in zip(*(table.column(c).to_pylist() for c in ("lang", "words", "ids")), strict=True):
+            yield Texts(lang, words, ids, owners, frequent)
+
+    def entries(found: list[tuple], columns: str) -> pa.Table:
+        kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+        names = [c.split() for c in columns.split(", ")]
+        return pa.table({n: pa.array([r[i] for r in found], kinds[k]) for i, (n, k) in enumerate(names)})
+
+    asked_columns = "block long, owner int, lang string, phrases binary, times binary"
+    told_columns = "block long, level int, owner int, phrases binary, parts binary, lang string, word string, f long"
+
+    def ask(level: int):
+        def run(table: pa.Table, told: pa.Table) -> pa.Table:
+            out, seen, block = [], list(views(table, told, level - 1)), table.column("block")[0].as_py() if len(table) else 0
+            if level == 1:
+                for t in seen:
+                    order = np.argsort(t.word_keys)
+                    times = np.bincount(t.ids[t.ids >= 0], minlength=len(order)).astype("<u8")[order]
+                    out += [(block, o, t.lang, b"\n".join([t.words[i] for i in order[w]]), times[w].tobytes()) for o, w in _dealt(t.word_keys[order], owners)]
+            else:
+                keys, times = np.unique(np.concatenate([np.zeros(0, np.uint64), *(t.keys[-1] for t in seen)]), return_counts=True)
+                out += [(block, o, None, _packed(keys[w]), times[w].astype("<u4").tobytes()) for o, w in _dealt(keys, owners)]
+            return entries(out, asked_columns)
+        return run
+
+    def count_words(table: pa.Table) -> pa.Table:
+        columns = [table.column(c).to_pylist() for c in ("block", "owner", "lang", "phrases", "times")]
+        total: dict[str, Counter] = {}
+        for _, _, lang, words, times in zip(*columns, strict=True):
+            own = total.setdefault(lang, Counter())
+            for w, n in zip(words.split(b"\n"), np.frombuffer(times, "<u8").tolist(), strict=True):
+                own[w] += n
+        often = {lang: {w: f for w, f in own.items() if f >= least} for lang, own in total.items()}
+        out = [(None, 1, None, None, None, lang, w.decode(), f) for lang, own in often.items() for w, f in own.items()]
+        key = {lang: dict(zip(own, _keys(_hashes(lang, list(own)), owners).tolist(), strict=True)) for lang, own in often.items()}
+        for block, owner, lang, words, _ in zip(*columns, strict=True):
+            kept = np.array([key[lang][w] for w in words.split(b"\n") if w in key[lang]], np.uint64)
+            if len(kept):
+                out.append((block, 1, owner, _packed(kept), None, None, None, None))
+        return entries(out, told_columns)
+
+    def answer(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            parts = table.column("phrases").to_pylist()
+            keys, inverse = np.unique(_unpacked(parts), return_inverse=True)
+            times = np.bincount(inverse, weights=np.frombuffer(b"".join(table.column("times").to_pylist()), "<u4"))[inverse]
+            cuts = np.cumsum([0, *(len(p) // 5 for p in parts)])
+            out = []
+            for block, owner, a, b in zip(table.column("block").to_pylist(), table.column("owner").to_pylist(), cuts[:-1], cuts[1:], strict=True):
+                kept = times[a:b] >= least
+                if kept.any():
+                    dealt = np.ceil(times[a:b][kept] / OWNED).astype("<u4") if level == 2 else np.zeros(0, "<u4")
+                    out.append((block, level, owner, _packed(keys[inverse[a:b][kept]]), dealt.tobytes() if (dealt > 1).any() else None, None, None, None))
+            return entries(out, told_columns)
+        return run
+
+    told, counts = spark.createDataFrame([], told_columns), None
+    for level in range(1, levels + 1):
+        asked = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(ask(level), asked_columns)
+        answers = staged(asked.groupBy("owner").applyInArrow(count_words if level == 1 else answer(level), told_columns), f"phrases_told{level}")
+        counts = answers.where("word is not null").select("lang", F.col("word").alias("phrase"), "f") if level == 1 else counts
+        told = told.unionByName(answers.where("word is null"))
+
+    def suffixes(table: pa.Table, told_: pa.Table) -> pa.Table:
+        large = {}
+        some = told_.filter(pc.is_valid(told_.column("parts")))
+        for owner, keys, dealt in zip(*(some.column(c).to_pylist() for c in ("owner", "phrases", "parts")), strict=True):
+            large |= {k: n for k, n in zip((_unpacked([keys]) | np.uint64(owner << 40)).tolist(), np.frombuffer(dealt, "<u4").tolist(), strict=True) if n > 1}
+        out = []
+        for t in views(table, told_, levels) if levels > 1 else ():
+            begin = t.places[1]
             if not len(begin):
                 continue
+            goes = [np.zeros(len(t.ids) + most, bool) for _ in range(levels)]
+            for m in range(levels):
+                goes[m][t.places[m]] = True
             found = np.full((len(begin), most), -1, np.int32)
-            found[:, 0], on = ids[begin], np.ones(len(begin), bool)
-            for d in range(1, most):
-                on = on & goes[begin + d - 1]
-                found[on, d] = ids[begin[on] + d]
-            found = found[np.lexsort(found.T[::-1])]
+            on = np.ones(len(begin), bool)
+            for d in range(most):  # a word belongs to the suffix if the longest phrase told that ends with it is frequent
+                m = min(d + 1, levels)
+                on = on & (goes[m - 1][begin + d - m + 1] if d > 1 else True)
+                found[on, d] = t.ids[begin[on] + d]
+            order = np.lexsort(found.T[::-1])
+            found = found[order]
             first = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]).any(axis=1)]))
-            langs += [lang] * len(first)
-            phrases += [" ".join([words_[i] for i in row if i >= 0]) for row in found[first].tolist()]
-            times.append(np.diff(np.append(first, len(found))))
-        return pa.table([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(np.concatenate([*times, np.zeros(0, np.int64)]), pa.int64())], names=["lang", "phrase", "times"])
-
-    found = encoded.groupBy("block").cogroup(both.groupBy("block")).applyInArrow(suffixes, "lang string, phrase string, times long")
-    distinct = staged(found.groupBy("lang", "phrase").agg(F.sum("times").alias("times")), "phrases_suffixes")
-    shares = max(4 * partitions(spark), distinct.count() // OWNED)
-    owner = F.pmod(F.xxhash64("lang", F.substring_index("phrase", " ", 3)), F.lit(shares)).alias("owner")
+            pair, times, found = t.keys[1][order][first], np.diff(np.append(first, len(found))), found[first]
+            owner = (pair >> np.uint64(40)).astype(np.int64)
+            if large:
+                split = np.array([large.get(k, 1) for k in pair.tolist()], np.int64)
+                third = np.where(found[:, 2] >= 0, (t.word_keys[found[:, 2]] & np.uint64((1 << 40) - 1)).astype(np.int64), 0)
+                owner = (owner + third % split) % owners
+            order = np.argsort(owner, kind="stable")
+            for rows_ in np.split(order, np.flatnonzero(np.diff(owner[order])) + 1):
+                phrases = b"\n".join([b" ".join([t.words[i] for i in row if i >= 0]) for row in found[rows_].tolist()])
+                out.append((int(owner[rows_[0]]), t.lang, phrases, times[rows_].astype("<u8").tobytes()))
+        return entries(out, "owner int, lang string, phrases binary, times binary")
 
     def sort(table: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        table = table.combine_chunks()
-        for lang in pc.unique(table.column("lang")).to_pylist():
-            own = table.filter(pc.equal(table.column("lang"), lang))
-            split = [p.split(" ") for p in own.column("phrase").to_pylist()]
+        total: dict[str, Counter] = {}
+        for lang, phrases, times in zip(*(table.column(c).to_pylist() for c in ("lang", "phrases", "times")), strict=True):
+            own = total.setdefault(lang, Counter())
+            for p, n in zip(phrases.split(b"\n"), np.frombuffer(times, "<u8").tolist(), strict=True):
+                own[p] += n
+        out = []
+        for lang, own in total.items():
+            split = [p.split(b" ") for p in own]
             number = {w: i for i, w in enumerate(dict.fromkeys(w for p in split for w in p))}
             matrix = np.full((len(split), most), -1, np.int32)
             for i, p in enumerate(split):
                 matrix[i, :len(p)] = [number[w] for w in p]
-            weights = own.column("times").to_numpy()
-            for length, row, f in three_way(matrix, weights, least):
-                for c, v in zip(out, (lang, " ".join(split[row][:length]), f), strict=True):
-                    c.append(v)
-        return pa.table([pa.array(c, t) for c, t in zip(out, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "phrase", "f"])
+            out += [(lang, b" ".join(split[row][:length]).decode(), f) for length, row, f in three_way(matrix, np.fromiter(own.values(), np.int64, len(own)), least)]
+        return entries(out, "lang string, phrase string, f long")
 
-    sorted_ = distinct.select(owner, "lang", "phrase", "times").groupBy("owner").applyInArrow(sort, "lang string, phrase string, f long")
-    longer = sorted_.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
-    counts = longer.unionByName(frequent.select("lang", F.col("word").alias("phrase"), "f")).withColumn("words", F.size(F.split("phrase", " ")))
-    return staged(counts, "phrases_counts"), sizes
+    found = rows.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(suffixes, "owner int, lang string, phrases binary, times binary")
+    longer = found.groupBy("owner").applyInArrow(sort, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    return staged(counts.unionByName(longer.where(F.col("f") >= least)), "phrases_counts"), sizes
 
 
 def collocations(docs: DataFrame, least: int = 100, most: int = 5, first: int = 2000) -> DataFrame:
@@ -202,7 +278,7 @@ def collocations(docs: DataFrame, least: int = 100, most: int = 5, first: int =
     """
     counts, sizes = phrase_counts(docs, least, most)
     split = F.split("phrase", " ")
-    candidates = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
+    candidates = counts.select("lang", "phrase", F.size(split).alias("words"), F.col("f").alias("a")).where("words > 1")
     part = lambda start, n: F.array_join(F.slice(split, start, n), " ")
     cuts = candidates.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.select("*", part(F.lit(1), F.col("k")).alias("head"), part(F.col("k") + 1, F.col("words") - F.col("k")).alias("tail"))

@@ -82,6 +82,7 @@ def test_collocations(spark, sf_dir, kind, monkeypatch):
                                      "doc_id long, text string, lang string, phrase string")
         least, first = 2, 7
         monkeypatch.setattr(collocations, "BLOCK_BYTES", 3000)
+        monkeypatch.setattr(collocations, "OWNED", 5)  # pairs of words are dealt to several owners
     else:
         docs, least, first = documents(spark, sf_dir), 8, 2000
     rows = [(r.text, r.lang) for r in docs.select("text", "lang").collect()]
