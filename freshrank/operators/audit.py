@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import exp
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -68,15 +70,34 @@ def relative_to(df: DataFrame, baseline: str, metric: str) -> DataFrame:
     return df.crossJoin(F.broadcast(b.limit(1))).select("policy", metric, F.round(F.when(F.col("base") != 0, 100.0 * (1 - F.col(metric) / F.col("base"))), 9).alias("reduction"))
 
 
-def bootstrap_mean(pairs: DataFrame, column: str, n: int = 10_000, seed: int = 1, level: float = 0.95) -> DataFrame:
-    """(mean, low, high): percentile interval of the mean over n resamples, drawn by hash, so that reruns agree. pairs is one row a trial."""
-    p = pairs.select(F.col(column).cast("double").alias("v")).withColumn("i", F.row_number().over(W.orderBy("v")) - 1)
-    size = p.count()
-    draws = pairs.sparkSession.range(n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(0, size - 1)))))
-    draws = draws.withColumn("i", F.pmod(F.xxhash64("id", "j", F.lit(seed)), F.lit(max(1, size))).cast("int"))
-    means = draws.join(p, "i").groupBy("id").agg(F.avg("v").alias("m"))
-    a = (1 - level) / 2
-    return means.agg(F.expr(f"percentile(m, {a})").alias("low"), F.expr(f"percentile(m, {1 - a})").alias("high")).crossJoin(p.agg(F.avg("v").alias("mean"))).select("mean", "low", "high")
+def _poisson_steps(most: int = 12) -> list[int]:
+    """Numbers of 32 bits from which a Poisson variable of mean 1 is 1 or more, 2 or more, and so on."""
+    cumulated, term, out = 0.0, exp(-1), []
+    for k in range(most):
+        cumulated += term
+        term /= k + 1
+        out.append(int(cumulated * (1 << 32)))
+    return out
+
+
+def bootstrap_mean(pairs: DataFrame, column: str, key: str, by: tuple = (), n: int = 10_000, seed: int = 1, level: float = 0.95) -> DataFrame:
+    """(by, mean, low, high): percentile interval of the mean of column over n resamples of the rows; key names a row within by.
+
+    In a resample a row counts as often as a Poisson variable of mean 1 says, which the hash of seed, by, key and the resample's number decides. So no row is drawn from
+    elsewhere: weights are added up where the rows are, n sums a group and task leave it, and reruns agree. Values are taken to 9 digits, so that sums are exact in any order.
+    """
+    steps = [F.lit(x) for x in _poisson_steps()]
+    v = F.round(F.col(column) * 1e9).cast("long")
+    rows = pairs.select(*by, F.concat_ws(":", F.lit(str(seed)), *by, key).alias("_key"), v.alias("_v")).where("_v is not null")
+    draws = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    number = F.conv(F.substring(F.md5(F.concat_ws(":", "_key", "b")), 1, 8), 16, 10).cast("long")
+    weight = sum((number >= x).cast("int") for x in steps)
+    sums = draws.select(*by, "b", "_v", weight.alias("w")).groupBy(*by, "b").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_v")).alias("wv")).where("w > 0")
+    a = round((1 - level) / 2, 12)
+    means = sums.withColumn("m", F.col("wv") / F.col("w") / 1e9)
+    ends = means.groupBy(*by).agg(nearest_rank("m", a).alias("low"), nearest_rank("m", 1 - a).alias("high"))
+    mean = rows.groupBy(*by).agg((F.sum("_v") / F.count("*") / 1e9).alias("mean"))
+    return (mean.join(ends, list(by)) if by else mean.crossJoin(ends)).select(*by, "mean", "low", "high")
 
 
 def counter_deltas(df: DataFrame, keys: list[str], order: str, counter: str) -> DataFrame:

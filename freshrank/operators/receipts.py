@@ -176,3 +176,31 @@ def token_violations(heads: DataFrame, rows: DataFrame, state_rows: DataFrame) -
     wrong = F.col("m_body").isNotNull() & ~(F.col("m_body").eqNullSafe(F.col("body")) & F.col("m_score").eqNullSafe(F.col("score")))
     omitted = F.col("m_body").isNull() & (tail.isNull() | (key_of(F.col("score"), F.col("ident")) < tail))
     return j.select(*KEYS, "ident", F.when(wrong, "row").when(omitted, "omitted").alias("why")).where("why is not null")
+
+
+def receipt_digests(rows: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, n, x, s): a digest of each receipt's rows (place, fields) in their order; rows of one place are a set. Digests add up, so no receipt is gathered."""
+    h, g = F.xxhash64("place", *fields), F.xxhash64("place", *fields, F.lit(1))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(F.shiftright(g, 24)).alias("s"))
+
+
+def compare_receipts(claims: DataFrame, truth: DataFrame, fields: list[str]) -> DataFrame:
+    """(kind, receipts, wrong): claims and truth (kind, receipt, place, fields), a row an entry. A receipt is wrong if its rows are not those that the log gives at its own
+    cut, in their order; one that is claimed of nothing, or not claimed of something, is wrong too."""
+    a, b = (receipt_digests(d, ["kind", "receipt"], fields).select("kind", "receipt", F.struct("n", "x", "s").alias(c)) for d, c in ((claims, "a"), (truth, "b")))
+    return a.join(b, ["kind", "receipt"], "full").groupBy("kind").agg(F.count("*").alias("receipts"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("wrong"))
+
+
+def check_certificates(claims: DataFrame, requests: DataFrame, dirty: DataFrame, most: int = 64) -> DataFrame:
+    """(query_id, shard, reason): of each certificate the first rule that it breaks, or null.
+
+    claims (query_id, shard, owner, epoch, plan, at, lo, hi, length, n_rows, dirty), requests (query_id, shard, owners, epoch, plan, cut), dirty (shard, dirty): binding (the request's epoch
+    and plan), owner (one of the shard's), base-cut (the suffix begins where the prefix stands), interval (it ends at the cut), length (1 to `most`, and no more rows), dirty-set (the digest
+    of what the suffix touched, as log.set_digest makes it).
+    """
+    r = requests.select(*KEYS, "owners", F.col("epoch").alias("r_epoch"), F.col("plan").alias("r_plan"), "cut")
+    j = claims.join(r, list(KEYS), "left").join(dirty.select("shard", F.col("dirty").alias("d")), "shard", "left")
+    rules = {"binding": F.col("epoch").eqNullSafe(F.col("r_epoch")) & F.col("plan").eqNullSafe(F.col("r_plan")), "owner": F.array_contains("owners", F.col("owner")),
+             "base-cut": F.col("at") == F.col("lo"), "interval": (F.col("lo") <= F.col("hi")) & (F.col("hi") == F.col("cut")),
+             "length": F.col("length").between(1, most) & (F.col("n_rows") <= F.col("length")), "dirty-set": F.col("dirty").eqNullSafe(F.col("d"))}
+    return j.select(*KEYS, F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules.items()]).alias("reason"))

@@ -61,12 +61,22 @@ def heads_of(rows: DataFrame, tails: DataFrame, shards: int, k: int) -> DataFram
     return b.select("query_id", status_of(F.col("missing"), F.col("blockers")).alias("status"), "missing", "blockers")
 
 
+def status_lists(rows: DataFrame, tails: DataFrame, grid: DataFrame, k: int) -> DataFrame:
+    """(query_id, status, missing, blockers): the shards of grid (query_id, shard) that tails lacks, and those whose tail could still enter the first k of rows, both in
+    order. The lists are as long as a query has shards; blockers are told also where the status is partial."""
+    told = blockers(rows, tails, k).select(*KEYS, "blocks", F.lit(True).alias("replied"))
+    j = grid.select(*KEYS).join(told, list(KEYS), "left")
+    shards = lambda test: F.sort_array(F.collect_list(F.when(test, F.col("shard"))))
+    g = j.groupBy("query_id").agg(shards(F.col("replied").isNull()).alias("missing"), shards(F.col("blocks")).alias("blockers"))
+    return g.select("query_id", status_of(F.size("missing"), F.size("blockers")).alias("status"), "missing", "blockers")
+
+
 def acquire_tokens(state: DataFrame, scores: DataFrame, grid: DataFrame, capacity: int, k: int = 1, most: int = 64) -> tuple[DataFrame, DataFrame]:
     """(heads, rows) from the first `capacity` rows of a state; grid (query_id, shard, at) names the tokens, also those of no rows. A capacity below k, or
     above `most`, is an error: no later step looks at more rows than that."""
     if not k <= capacity <= most:
         raise ValueError(f"capacity {capacity} is not between k = {k} and {most}")
-    some = top_n(rank_state(state, scores), KEYS, capacity + 1)
+    some = top_n(rank_state(state, scores), KEYS, capacity + 1).join(grid.select(*KEYS), list(KEYS), "left_semi")
     tail = some.where(F.col("rank") == capacity + 1).select(*KEYS, F.col("score").alias("tail_score"), F.col("ident").alias("tail_ident"))
     heads = grid.join(tail, list(KEYS), "left").select(*KEYS, "at", F.lit(capacity).alias("capacity"), F.lit(0).alias("generation"), "tail_score", "tail_ident")
     return heads, some.where(F.col("rank") <= capacity).select(*KEYS, "ident", "body", "score")

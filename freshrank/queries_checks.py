@@ -355,6 +355,21 @@ def a10_paired_diff(spark, sf_dir):
     return d.groupBy(*_long("cut_id")).agg(F.round(F.avg("diff"), 9).alias("mean"), F.round(F.min("diff"), 9).alias("least"), F.round(F.max("diff"), 9).alias("most"))
 
 
+_POISSON = " + ".join(f"(u >= {x})::INT" for x in audit._poisson_steps())
+
+
+@query(f"""SELECT CAST(cut_id AS BIGINT) AS cut_id, round(mean, 9) AS mean, round(low, 9) AS low, round(high, 9) AS high FROM (
+ SELECT cut_id, quantile_disc(m, 0.025) AS low, quantile_disc(m, 0.975) AS high FROM (SELECT cut_id, b, sum(w * v)::BIGINT / sum(w)::BIGINT / 1e9::DOUBLE AS m FROM (SELECT cut_id, b, v, {_POISSON} AS w FROM (
+  SELECT cut_id, v, b, ('0x' || substr(md5('1:' || cut_id || ':' || query_id || ':' || b), 1, 8))::BIGINT AS u FROM diffs, (SELECT unnest(range(0, 1000)) AS b))) GROUP BY cut_id, b HAVING sum(w) > 0) GROUP BY cut_id)
+JOIN (SELECT cut_id, sum(v)::BIGINT / count(*) / 1e9::DOUBLE AS mean FROM diffs GROUP BY cut_id) USING (cut_id)""", _OBS + """, diffs AS (SELECT e.cut_id, e.query_id, round((e.id_recall - s.id_recall) * 1e9::DOUBLE)::BIGINT AS v
+FROM assessed e JOIN assessed s ON s.cut_id = e.cut_id AND s.query_id = e.query_id WHERE e.policy = 'exact' AND s.policy = 'stale')""")
+def a10_bootstrap(spark, sf_dir):
+    """Of each cut the interval of the mean difference of two policies over 1,000 resamples of its queries."""
+    d = audit.paired_diff(_observations(Inputs(spark, sf_dir)), ["cut_id", "query_id"], "exact", "stale", "id_recall")
+    b = audit.bootstrap_mean(d, "diff", "query_id", ("cut_id",), n=1000)
+    return b.select(*_long("cut_id"), *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")])
+
+
 @query(r"""SELECT doc_id, strlen(regexp_replace(regexp_replace(CAST(to_json({'lang': lang, 'note': NULL, 'source': source || substr(text, 1, 0) || regexp_replace(text, '[\x00-\x1f\x7f"\\/]', '', 'g')}) AS VARCHAR), '[\x{10000}-\x{10FFFF}]', 'xxxxxxxxxxxx', 'g'), '[^\x00-\x7F]', 'xxxxxx', 'g')) + 1 AS bytes
 FROM documents WHERE text IS NOT NULL AND source IS NOT NULL""", "")
 def a11_wire_bytes(spark, sf_dir):

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from freshrank import queries, queries_checks, queries_corpus  # noqa: F401 -- they register themselves
+from freshrank import queries, queries_checks, queries_corpus, queries_receipts  # noqa: F401 -- they register themselves
 from freshrank.operators import audit, log, policies, rank, receipts, tables, tokens
 from freshrank.plans import corpus
 from freshrank.sources import files
@@ -36,7 +36,7 @@ def plain(df):
 
 @pytest.mark.parametrize("name", ["r10_exact_topk", "p1_overlay_topk", "k2_advance_rows", "k3_merge_tokens", "l2_classify_deliveries", "c9_query_plans", "d5_rule_violations", "p4_cut_cache", "p8_pick_owner", "k6_missing_shards",
                                   "v1_check_rows", "v6_check_event_receipts", "v7_check_prefix_receipts", "a14_token_work", "t4_stream_state",
-                                  "c1_extract_fragments", "c2_code_labels", "c8_plan_calls_first", "c10b_drop_seeds", "c11_plan_stable_labels", "c15_labels_agree", "l9_convergence", "r11_rank_flips", "p7_unverified", "s7_flatten_observations"])
+                                  "c1_extract_fragments", "c2_code_labels", "c8_plan_calls_first", "c10b_drop_seeds", "c11_plan_stable_labels", "c11_stable_snapshots", "c15_labels_agree", "l9_convergence", "l4_many_ranges", "l8_many_cuts", "l13_misfits", "a10_bootstrap", "v10_all_receipts", "v4_certificate_rules", "p3_status_lists", "s1_read_sources", "r11_rank_flips", "p7_unverified", "s7_flatten_observations"])
 def test_against_sql(spark, sf_dir, name):
     con = duckdb.connect()
     for t in TABLES:
@@ -115,7 +115,7 @@ def test_golden_diff(spark):
 
 
 def test_bootstrap(spark):
-    r = audit.bootstrap_mean(spark.createDataFrame([(float(i),) for i in range(20)], "d double"), "d", 500).first()
+    r = audit.bootstrap_mean(spark.createDataFrame([(float(i),) for i in range(20)], "d double"), "d", "d", n=500).first()
     assert r.low < r.mean == 9.5 < r.high
 
 
@@ -297,3 +297,122 @@ def test_traces(spark, tmp_path):
     schema = "case string, records array<struct<tick: int, observations: map<string, struct<rows: int>>>>"
     got = files.flatten_observations(files.read_traces(spark, str(tmp_path), schema), ["case"])
     assert sorted(tuple(r) for r in got.collect()) == [("c", 1, "exact", 2), ("c", 1, "stale", 1)]
+
+
+def test_states_at_many_cuts(spark):
+    """Against all versions and cuts one by one; cuts beyond the log, before it, and none."""
+    import random
+    rng = random.Random(3)
+    start = [(s, f"i{i}", "b0") for s in range(2) for i in range(6)]
+    log_ = [(s, n, 0, f"i{rng.randrange(8)}", rng.choice([None, "b1", "b2"])) for s in range(2) for n in range(1, 70)]
+    v = log.versions(spark.createDataFrame(start, "shard int, ident string, body string"), spark.createDataFrame(log_, "shard int, seq long, pos int, ident string, body string"))
+    points = [(c, s, at) for s in range(2) for c, at in enumerate([*range(0, 70, 3), 69, 1000, -1])]
+    got = {tuple(r) for r in log.state_as_of(v, spark.createDataFrame(points, "cut_id int, shard int, at long")).collect()}
+    want = {(c, s, r.ident, r.body) for c, s, at in points for r in v.collect() if r.shard == s and r.body and r.from_seq <= at and (r.to_seq is None or at < r.to_seq)}
+    assert got == want
+    assert log.state_as_of(v, spark.createDataFrame([], "cut_id int, shard int, at long")).count() == 0
+
+
+def test_coverage(spark):
+    events = spark.createDataFrame([(0, s) for s in [1, 2, 3, 5, 6, 5000, 5001]] + [(0, 2), (1, 4)], "shard int, seq long")
+    ranges = [(0, 0, 3), (0, 0, 4), (0, 3, 3), (0, 4, 6), (0, 3, 6), (0, 4999, 5001), (0, 6, 5001), (1, 0, 4), (1, 3, 4), (2, 0, 1), (2, 1, 1), (0, 5, 2)]
+    got = log.coverage(events, spark.createDataFrame([(i, *r) for i, r in enumerate(ranges)], "range_id int, shard int, lo long, hi long"))
+    assert [r.covered for r in got.orderBy("range_id").collect()] == [True, False, True, True, False, True, False, False, True, False, True, False]
+
+
+def test_places_of_a_large_group(spark):
+    rows = spark.createDataFrame([("g" if i % 10 else None, f"k{i * 7919 % 1000:04}") for i in range(1000)], "g string, k string")
+    got = log.placed(rows, ("g",), "k", "at", staged, ranges=5).collect()
+    for g in ("g", None):
+        own = sorted((r.k, r.at, r.at_of) for r in got if r.g == g)
+        assert [a for _, a, _ in own] == list(range(len(own))) and {n for *_, n in own} == {len(own)}
+
+
+def test_stored_postings(spark):
+    """A label of more postings than a part should have lies in several parts, and is found whole."""
+    rows = [("common", f"b{i}") for i in range(500)] + [("rare", "b1"), ("rare", "b2"), ("other", "b3")]
+    index = rank.PostingIndex(spark.createDataFrame(rows, "label string, body string"), "body", "test_postings", most=64)
+    assert {(r.label, r.df, r.parts) for r in index.labels.collect()} == {("common", 500, 8), ("rare", 2, 1), ("other", 1, 1)}
+    asked = spark.createDataFrame([("common",), ("rare",), ("rare",), ("none",)], "label string")
+    assert sorted(tuple(r) for r in index.lookup(asked).collect()) == sorted(x for x in rows if x[0] != "other")
+
+
+def test_tokens_of_several_places(spark, sf_dir):
+    """Tokens of one shard that stand at different positions advance over suffixes of their own."""
+    i = queries.Inputs(spark, sf_dir)
+    changes, scores = staged(i.changes, "log"), staged(i.scores(), "scores")
+    top = changes.groupBy("shard").agg(F.max("seq").alias("hi"))
+    got = []
+    for back in (40, 9, 0):
+        at = top.select("shard", (F.col("hi") - back).alias("at"))
+        some = i.terms().where(F.crc32(F.col("query_id").cast("binary")) % 3 == {40: 0, 9: 1, 0: 2}[back]).select("query_id").distinct()
+        got.append(tokens.acquire_tokens(log.state_at(i.initial, changes, at), scores, some.crossJoin(at), 5))
+    heads, rows = (staged(got[0][n].unionByName(got[1][n]).unionByName(got[2][n]), "token") for n in (0, 1))
+    heads2, rows2 = tokens.advance_tokens(heads, rows, tokens.fold_suffixes(changes, heads, top), top, scores)
+    state = rank.rank_state(log.state_at(i.initial, changes, top.withColumnRenamed("hi", "at")), scores)
+    assert rows2.count() and receipts.token_violations(heads2, rows2, state.join(heads2.select("query_id").distinct(), "query_id", "left_semi")).count() == 0
+    assert {r.generation for r in heads2.collect()} == {0, 1}
+
+
+def test_capacity_bounds(spark):
+    heads = refill_case(spark)[0]
+    for capacity in (4, 65):
+        with pytest.raises(ValueError, match="capacity"):
+            tokens.acquire_tokens(heads, heads, heads, capacity, k=5)
+
+
+def test_expected_changes(spark):
+    made = spark.createDataFrame([("a", 1), ("b", 1), ("a", 2), ("c", 4)], "ident string, seq long").withColumn("shard", F.lit(0))
+    meant = spark.createDataFrame([("b", 1), ("a", 1), ("b", 2), ("a", 3)], "ident string, seq long")
+    verdicts, misfits = log.check_expected_changes(made, meant)
+    assert {tuple(r) for r in verdicts.collect()} == {(1, 2, 2, True), (2, 1, 1, False), (3, 0, 1, False), (4, 1, 0, False)}
+    assert {tuple(r) for r in misfits.collect()} == {(2, "a", "unexpected"), (2, "b", "lacking"), (3, "a", "lacking"), (4, "c", "unexpected")}
+
+
+def test_receipts_in_order(spark):
+    true = spark.createDataFrame([("p", "r1", 1, "a"), ("p", "r1", 2, "b"), ("s", "r2", 0, "a"), ("s", "r2", 0, "b")], "kind string, receipt string, place long, ident string")
+    swapped = true.withColumn("place", F.when(F.col("kind") == "p", 3 - F.col("place")).otherwise(F.col("place")))
+    got = {r.kind: (r.receipts, r.wrong) for r in receipts.compare_receipts(swapped, true, ["ident"]).collect()}
+    assert got == {"p": (1, 1), "s": (1, 0)}
+    assert {r.wrong for r in receipts.compare_receipts(true.where("receipt = 'r1' or ident = 'a'"), true, ["ident"]).collect()} == {0, 1}
+
+
+def test_state_by_deltas_survives_a_failed_batch(spark, tmp_path):
+    """The second batch fails after it has written its deltas; run again, it leaves what one run leaves. Folds happen on the way."""
+    from freshrank.streaming import standing as streams
+    shape = "shard int, seq long, pos int, ident string, body string"
+    start = spark.createDataFrame([(0, f"i{n}", "b1") for n in range(6)], "shard int, ident string, body string")
+    parts = [[(0, 3, 0, "i0", None), (0, 4, 0, "x", "b2")], [(0, 1, 0, "i0", "b3"), (0, 5, 0, "x", None)], [(0, 6, 0, "i1", "b4"), (0, 7, 0, "y", "b2"), (0, 8, 0, "i2", "b0")]]
+    root, real, failed = str(tmp_path / "root"), streams.Deltas.add, []
+
+    def add(self, df, version):
+        real(self, df, version)
+        if version == 1 and self.path.endswith("postings") and not failed:
+            failed.append(1)
+            raise RuntimeError("lost")
+
+    streams.Deltas.add = add
+    try:
+        for n, rows in enumerate(parts):
+            spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(f"{root}/feed")
+            feed = spark.readStream.schema(shape).parquet(f"{root}/feed")
+            if n == 1:
+                with pytest.raises(Exception, match="lost"):
+                    streams.stream_state(feed, start, bodies(spark), root, share=0.4)
+            state, postings = streams.stream_state(feed, start, bodies(spark), root, share=0.4)
+    finally:
+        streams.Deltas.add = real
+    assert {(r.ident, r.body) for r in state.collect()} == {("i1", "b4"), ("i2", "b0"), ("i3", "b1"), ("i4", "b1"), ("i5", "b1"), ("y", "b2")}
+    want = {(0, label, ident) for ident, labels in {"i1": "wxyz", "i2": "a", "i3": "x", "i4": "x", "i5": "x", "y": "xy"}.items() for label in labels}
+    assert sorted(tuple(r) for r in postings.collect()) == sorted(want)
+    journal = spark.read.parquet(f"{root}/state/journal").where("kind = 'base'")
+    assert failed and journal.count() > 1
+
+
+def test_feed_with_a_gap_is_an_error(spark, tmp_path):
+    from freshrank.streaming import standing as streams
+    heads, rows, state, scores, _, _ = refill_case(spark)
+    spark.createDataFrame([(0, 3, 0, "a", "b1")], "shard int, seq long, pos int, ident string, body string").write.parquet(f"{tmp_path}/feed")
+    feed = spark.readStream.schema("shard int, seq long, pos int, ident string, body string").parquet(f"{tmp_path}/feed")
+    with pytest.raises(Exception, match="the feed has a gap"):
+        streams.stream_standing(feed, state, heads, rows, scores, str(tmp_path), 2, 1)
