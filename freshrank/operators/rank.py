@@ -21,21 +21,23 @@ def build_postings(state: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 class PostingIndex:
-    """Stored postings (label, holder): a table bucketed by (label, part), so that a lookup moves only the labels that are asked for.
+    """Stored postings (label, holder): a table bucketed by (label, part) and sorted, so that a lookup moves only the labels that are asked for.
 
-    The postings of a label with over `most` are dealt to parts by their holder's hash, and each part lies in a bucket of its own. Labels and
-    their frequencies (label, df, parts) are a table too, made in the same pass.
+    A label of over `most` postings is dealt to parts by its holders' hash, each in a bucket of its own. Which labels that are is guessed from the holders whose hash is 0 modulo
+    `every`; a wrong guess makes a part larger or smaller and no posting is lost, since the parts of each label are then read off the table, with its frequency: labels (label, df, parts).
     """
 
-    def __init__(self, postings: DataFrame, holder: str, name: str, most: int = 1 << 20, a_bucket: int = 1 << 22):
+    def __init__(self, postings: DataFrame, holder: str, name: str, most: int = 1 << 20, a_bucket: int = 1 << 22, every: int = 64):
         spark = postings.sparkSession
-        postings = staged(postings.select("label", holder), f"{name}_raw")
-        self.labels = staged(postings.groupBy("label").agg(F.count("*").alias("df")).withColumn("parts", F.ceil(F.col("df") / most).cast("int")), f"{name}_labels")
-        total = self.labels.agg(F.sum("df")).first()[0] or 0
+        some = staged(postings.where(F.pmod(F.xxhash64(holder), F.lit(every)) == 0).groupBy("label").agg((F.count("*") * every).alias("n")), f"{name}_guess")
+        total = some.agg(F.sum("n")).first()[0] or 0
         buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // a_bucket))
-        large = self.labels.where("parts > 1").select("label", "parts")
-        part = F.pmod(F.xxhash64(holder), F.coalesce("parts", F.lit(1))).cast("int")
-        self.table = bucketed(postings.join(large, "label", "left").select("label", part.alias("part"), holder), ("label", "part"), buckets, name)
+        large = some.where(F.col("n") > most).select("label", F.ceil(F.col("n") / most).cast("int").alias("large"))
+        part = F.pmod(F.xxhash64(holder), F.coalesce("large", F.lit(1))).cast("int")
+        keyed = postings.join(large, "label", "left").select("label", part.alias("part"), holder)
+        self.table = bucketed(keyed.repartition(buckets, "label", "part"), ("label", "part"), buckets, name)
+        parts = self.table.groupBy("label", "part").agg(F.count("*").alias("n"))
+        self.labels = staged(parts.groupBy("label").agg(F.sum("n").alias("df"), (F.max("part") + 1).alias("parts")), f"{name}_labels")
         self.holder = holder
 
     def lookup(self, labels: DataFrame) -> DataFrame:

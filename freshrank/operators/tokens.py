@@ -82,6 +82,14 @@ def acquire_tokens(state: DataFrame, scores: DataFrame, grid: DataFrame, capacit
     return heads, some.where(F.col("rank") <= capacity).select(*KEYS, "ident", "body", "score")
 
 
+def keep_tokens(heads: DataFrame, rows: DataFrame, keep) -> tuple[DataFrame, DataFrame]:
+    """(heads, rows) as one table that keep(df, name) writes: both come from the same pool, which one job so makes once."""
+    h = heads.select(F.lit(True).alias("head"), *KEYS, "at", "capacity", "generation", "tail_score", "tail_ident")
+    r = rows.select(F.lit(False).alias("head"), *KEYS, "ident", "body", "score")
+    both = keep(h.unionByName(r, allowMissingColumns=True), "tokens")
+    return both.where("head").select(*h.columns[1:]), both.where("not head").select(*r.columns[1:])
+
+
 def fold_suffixes(changes: DataFrame, heads: DataFrame, hi: DataFrame) -> DataFrame:
     """(shard, at, ident, body): the last assignments since each position at which tokens of a shard stand, folded once however many tokens stand there."""
     spans = heads.select("shard", "at").distinct().join(hi, "shard").where("at < hi")
@@ -189,13 +197,14 @@ def refill_local(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: Da
 
 def refill_global(heads: DataFrame, rows: DataFrame, state: DataFrame, scores: DataFrame, hi: DataFrame, lengths: DataFrame, shards: int, k: int, keep, most: int = 64):
     """Overfetch and refill with one stop for the merged answer: rounds of repair_round until none blocks, at most one refill a shard."""
-    done = heads.select(*KEYS).limit(0)
+    done = heads.select(*KEYS).where("false")
     for _ in range(shards):
         new_heads, new_rows, pick = repair_round(heads, rows, state, scores, hi, done, lengths, shards, k, most)
         pick = keep(pick, "token_repairs")
         if not pick.head(1):
             break
-        heads, rows, done = keep(new_heads, "token_heads"), keep(new_rows, "token_rows"), keep(done.unionByName(pick), "token_repairs")
+        heads, rows = keep_tokens(new_heads, new_rows, keep)
+        done = done.unionByName(pick)
     return heads, rows, done
 
 
@@ -211,7 +220,7 @@ def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, quer
     every = queries.select("query_id").distinct()
     state, before = keep(state_at(initial, changes, ticks[0]), "token_state"), ticks[0].select("shard", F.col("at").alias("lo"))
     log = keep(changes.join(before, "shard").where("seq > lo").drop("lo"), "token_log")  # all that any tick can need
-    heads, rows = (keep(t, f"token_{name}") for t, name in zip(acquire_tokens(state, scores, every.crossJoin(ticks[0].select("shard", "at")), capacity, k, most), ("heads", "rows"), strict=True))
+    heads, rows = keep_tokens(*acquire_tokens(state, scores, every.crossJoin(ticks[0].select("shard", "at")), capacity, k, most), keep)
     answers, repairs = [], []
     for tick, cut in enumerate(ticks[1:], 1):
         hi = cut.select("shard", F.col("at").alias("hi"))
@@ -221,7 +230,7 @@ def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, quer
         floor = heads.groupBy("shard").agg(F.min("at").alias("lo"))
         dirty = log.join(floor, "shard").join(hi, "shard").where("seq > lo and seq <= hi").groupBy("shard").agg(F.count_distinct("ident").alias("dirty"))
         lengths = repair_lengths(now_heads.select(*KEYS), dirty, k, base, most=most)
-        now_heads, now_rows = (keep(t, f"token_{name}") for t, name in zip(advance_tokens(now_heads, now_rows, fold_suffixes(log, now_heads, hi), hi, scores, most), ("heads", "rows"), strict=True))
+        now_heads, now_rows = keep_tokens(*advance_tokens(now_heads, now_rows, fold_suffixes(log, now_heads, hi), hi, scores, most), keep)
         step = log.join(before, "shard").join(hi, "shard").where("seq > lo and seq <= hi").drop("lo", "hi")
         state, before = keep(state_at(state, step, cut), "token_state"), cut.select("shard", F.col("at").alias("lo"))
         now_heads, now_rows, done = refill_global(now_heads, now_rows, state, scores, hi, lengths, n, k, keep, most)
@@ -231,6 +240,6 @@ def run_standing(initial: DataFrame, changes: DataFrame, scores: DataFrame, quer
             F.lit(tick).alias("tick"), "query_id", F.col("rank").cast("long").alias("rank"), "ident", "body", "score", "status", F.coalesce("repairs", F.lit(0)).cast("long").alias("repairs"))
         answers.append(keep(got, "token_answers"))
         repairs.append(done.select(F.lit(tick).alias("tick"), *KEYS))
-        heads, rows = (now_heads, now_rows) if whole else (
-            keep(old.join(active, "query_id", "left_anti").unionByName(new), f"token_{name}") for old, new, name in ((heads, now_heads, "heads"), (rows, now_rows, "rows")))
+        heads, rows = (now_heads, now_rows) if whole else keep_tokens(
+            *(old.join(active, "query_id", "left_anti").unionByName(new) for old, new in ((heads, now_heads), (rows, now_rows))), keep)
     return reduce(DataFrame.unionByName, answers), reduce(DataFrame.unionByName, repairs)

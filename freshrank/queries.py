@@ -13,7 +13,7 @@ from .sources import fixtures as fx
 from .sources.scratch import staged
 
 #: Answers, rows of a token; an index lags by one part in LAG of its log.
-K, LENGTH, LAG = 5, 5, 8
+K, LENGTH, LAG = 5, 5, 100
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -475,8 +475,8 @@ def k1_acquire_tokens(spark, sf_dir):
 
 def _advanced(i: Inputs):
     """Tokens of the lagging index carried to the log's end. The scores and the tokens at the start are written once, as several branches read them."""
-    scores = staged(i.scores(), "scores")
-    heads, rows = (staged(t, "token") for t in tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH))
+    scores = i.scores()
+    heads, rows = tokens.keep_tokens(*tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH), staged)
     return tokens.advance_tokens(heads, rows, i.final(), i.lag().select("shard", "hi"), scores)
 
 
@@ -506,7 +506,7 @@ def k4_repair_lengths(spark, sf_dir):
 def standing(spark: SparkSession, sf_dir: str, keep, ticks: int = 8, size: int = 16, active: int | None = None) -> tuple[DataFrame, DataFrame]:
     """A standing run over the last ticks * size changes of each shard; with `active`, only so many queries a tick, in turn."""
     i = Inputs(spark, sf_dir)
-    changes, initial, scores = keep(i.changes, "log"), keep(i.initial, "initial"), keep(i.scores(), "scores")
+    changes, initial, scores = keep(i.changes, "log"), keep(i.initial, "initial"), i.scores()
     queries = keep(i.terms().select("query_id").distinct(), "queries")
     top = keep(changes.groupBy("shard").agg(F.max("seq").alias("top")), "tops")
     cuts = [top.select("shard", (F.col("top") - size * (ticks - t)).alias("at")) for t in range(ticks + 1)]

@@ -122,7 +122,7 @@ def _refilled(i: Inputs):
     heads, rows = (staged(t, "token") for t in _advanced(i))
     hi = staged(i.lag(), "lag").select("shard", "hi")
     state = log.state_at(i.initial, i.changes, hi.withColumnRenamed("hi", "at"))
-    return tokens.refill_local(heads, rows, state, staged(i.scores(), "scores"), hi, _lengths(i), K)
+    return tokens.refill_local(heads, rows, state, i.scores(), hi, _lengths(i), K)
 
 
 @query(f"""SELECT query_id, CAST(shard AS BIGINT) AS shard, ident, body, score FROM refetched UNION ALL
@@ -134,7 +134,7 @@ def k8_refill_local(spark, sf_dir):
 @query("SELECT query_id, rank, ident, body, score FROM exact WHERE cut_id = 4")
 def k9_refill_global(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    scores = staged(i.scores(), "scores")
+    scores = i.scores()
     heads, rows = (staged(t, "token") for t in _advanced(i))
     hi = i.lag().select("shard", "hi")
     state = log.state_at(i.initial, i.changes, hi.withColumnRenamed("hi", "at"))
@@ -244,7 +244,7 @@ def v7_check_prefix_receipts(spark, sf_dir):
 
 def _verdicts(i: Inputs):
     """(old heads, claimed heads, verdicts): claimed tokens lack shard 1's rows for some queries and have other tails for some."""
-    scores, final, m = staged(i.scores(), "scores"), staged(i.final(), "final"), number() % 5
+    scores, final, m = i.scores(), staged(i.final(), "final"), number() % 5
     old_heads, old_rows = (staged(t, "token") for t in tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH))
     heads, rows = (staged(t, "token") for t in tokens.advance_tokens(old_heads, old_rows, final, i.lag().select("shard", "hi"), scores))
     heads, rows = heads.withColumn("tail_ident", F.when(m == 0, F.concat("tail_ident", F.lit("x"))).otherwise(F.col("tail_ident"))), rows.where(~((m == 1) & (F.col("shard") == 1)))
@@ -396,7 +396,7 @@ LEFT JOIN (SELECT query_id, shard, count(*) AS n FROM idx_ranked WHERE rank <= {
 LEFT JOIN (SELECT query_id, shard, count(*) AS n FROM pool GROUP BY ALL) p ON p.query_id = g.query_id AND p.shard = g.shard GROUP BY g.query_id""")
 def a14_token_work(spark, sf_dir):
     i = Inputs(spark, sf_dir)
-    scores = staged(i.scores(), "scores")
+    scores = i.scores()
     heads, rows = (staged(t, "token") for t in tokens.acquire_tokens(i.index(), scores, i.grid(), LENGTH))
     return audit.token_work(heads, rows, staged(i.final(), "final"), scores)
 
@@ -509,7 +509,7 @@ def t4_stream_state(spark, sf_dir):
 def _streamed(spark, sf_dir, ticks: int = 8, size: int = 16):
     """Answers and repairs of the standing run of k10, its ticks coming as micro-batches; half of them after a restart."""
     i, root = Inputs(spark, sf_dir), _feed_root(spark)
-    changes, scores = staged(i.changes, "log"), staged(i.scores(), "scores")
+    changes, scores = staged(i.changes, "log"), i.scores()
     top = staged(changes.groupBy("shard").agg(F.max("seq").alias("top")), "tops")
     start = top.select("shard", (F.col("top") - size * ticks).alias("at"))
     state = staged(log.state_at(i.initial, changes, start), "state")

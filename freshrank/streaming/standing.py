@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators.log import final_assignments
 from ..operators.rank import build_postings
-from ..operators.tokens import KEYS, advance_tokens, merge_tokens, refill_global, repair_lengths
+from ..operators.tokens import KEYS, advance_tokens, keep_tokens, merge_tokens, refill_global, repair_lengths
 from ..sources.scratch import staged
 
 STATE = "shard int, ident string, body string, seq long, pos int"
@@ -169,7 +169,7 @@ def stream_standing(feed: DataFrame, initial: DataFrame, heads: DataFrame, rows:
         hi = hi.select("shard", F.when(F.col("top").isNull(), F.col("at")).when(whole, F.col("top")).otherwise(F.raise_error(F.lit("the feed has a gap"))).cast("long").alias("hi"), "dirty")
         hi = staged(hi, "hi")
         lengths = repair_lengths(heads.select(*KEYS), hi.where("dirty is not null").select("shard", "dirty"), k, base, most=most)
-        new_heads, new_rows = (staged(t, "token") for t in advance_tokens(heads, rows, final_assignments(batch), hi.select("shard", "hi"), scores, most))
+        new_heads, new_rows = keep_tokens(*advance_tokens(heads, rows, final_assignments(batch), hi.select("shard", "hi"), scores, most), staged)
         now = latest(state.raw(n))
         if state.due(n, share):
             state.fold(now, n)
