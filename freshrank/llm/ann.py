@@ -161,7 +161,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, beam: int = BEAM, s
     Equal vectors are one node with its k + 1 smallest vec_ids (no more can be among the first k), and equal queries one
     query, so copies cost one search. Every shard's graph is built once and kept; blocks of queries are
     sent to each. Vectors that are null, empty, zero or hold null or non-finite components take no part; those of another length than a query's
-    are no candidates of it. No vectors: no rows.
+    are no candidates of it. No vectors: no rows; other columns are not read.
     """
     fit = staged(usable(vectors), "ann_vectors")
     first = W.partitionBy("embedding").orderBy("vec_id")

@@ -48,7 +48,7 @@ def line_dedup(docs: DataFrame, reach: int = REACH, mean: float = MEAN, cuts: in
     place; chunks are taken from the input, not from what is left. So a line goes only where it and one beside it stand elsewhere too, and stays
     where it comes first. Null text: one empty line, as an empty text. Chunks are found by a 128-bit hash; before
     anything goes, the bytes of all chunks of one hash are grouped, equal ones of a task first, and a hash with two contents
-    removes nothing. Rows with equal doc_id are documents of their own.
+    removes nothing. Rows with equal doc_id are documents of their own. A long text lies in a block of its own and is cut as any other. An empty table gives no rows; other columns are not read.
     """
     rows = blocks(docs.select("doc_id", "text"), "lines_rows")
     schema = "block long, row int, doc_id long, line int, n int, h1 long, h2 long"

@@ -60,7 +60,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     from a digest of seed, doc_id and text: reruns agree, and rows that share a doc_id, null among them, spread.
     Prefix sums go by buckets of the key, about sqrt(rows) buckets of sqrt(rows) rows in each source,
     so that no task holds a source. Null text: size 0; null source: a source of its own, the last;
-    null doc_id: as an empty one; rows with equal keys go by doc_id, size and text hash.
+    null doc_id: as an empty one; rows with equal keys go by doc_id, size and text hash. An empty table gives no rows; other columns, of whatever names, are not read.
     """
     w = F.col("weight")
     digest = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")))))

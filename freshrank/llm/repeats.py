@@ -136,7 +136,7 @@ def strip_repeats(docs: DataFrame, window: int = 400, sizes: tuple = (100, 10, 1
 
     Removes every byte that is covered by a window-byte string which starts anywhere else too, the same document included;
     overlapping ones count. Texts are UTF-8 bytes, null is empty; texts shorter than a window lose nothing. Repeated rows repeat
-    each other. window is at least twice DIGIT bytes. sizes: windows of a class in the passes after the first; the last is 1.
+    each other. An empty table gives no rows; other columns, of whatever names, are not read. window is at least twice DIGIT bytes. sizes: windows of a class in the passes after the first; the last is 1.
 
     Suffixes are sorted from their most significant digit on, to the window's length. That digit is the window's anchor (see runs). The suffixes
     of one anchor are one row at first; each pass then takes more of their bytes into account and smaller classes of them:

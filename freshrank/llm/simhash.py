@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from itertools import combinations
-from math import acos, ceil, floor, log, log2, pi
 
 import numpy as np
 import pandas as pd
@@ -12,13 +11,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, packed, staged, texts, unpacked
+from .common import components, staged, texts
 
 LEAF, FAN = 16, 8
 #: Fingerprints that one group should hold, and beyond which a group is dealt out in pairs of parts.
 GROUP, MOST = 4096, 16384
-#: Of wide fingerprints: 64-bit words, what a group should hold at best and at most, the recall of a pair that is just near enough.
-WORDS, WIDE_GROUP, WIDE_MOST, RECALL = 8, 256, 4096, 0.98
 
 
 def shingle_hashes(text: bytes, width: int) -> np.ndarray:
@@ -46,20 +43,6 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(votes * 2 > last, bitorder="little").view("<u8")[0])
 
 
-def wide_fingerprint(text: bytes, width: int = 5) -> bytes:
-    """As fingerprint, but WORDS times as long and of the distinct shingles, so that the share of bits in which two differ tells their similarity."""
-    hashes = np.unique(shingle_hashes(text, width))
-    votes = np.zeros(64 * WORDS, np.int64)
-    step = np.arange(1, WORDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for at in range(0, len(hashes), 255):  # the most that 8-bit sums can hold
-        x = hashes[at:at + 255, None] + step
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        votes += np.add.reduce(np.unpackbits(x.astype("<u8").view(np.uint8), axis=1), axis=0, dtype=np.uint8)
-    return np.packbits(votes * 2 > len(hashes)).tobytes()
-
-
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fp (long, the bits as they are). Null text: as an empty one."""
 
@@ -215,7 +198,7 @@ def near_dedup(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     """docs (doc_id, text) -> doc_id, fingerprint (16 hex digits), component_id (the least doc_id that links reach, itself included).
 
     Equal fingerprints are made one before they are linked, so groups of copies cost one row. Null and empty texts have fingerprint
-    zero and link like any other. Rows with one doc_id are judged one by one. No rows: no rows.
+    zero and link like any other. Rows with one doc_id are judged one by one. No rows: no rows; other columns, of whatever names, are not read.
     """
     base = staged(fingerprints(docs, width), "simhash_fps")
     distinct = staged(base.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash_distinct")
@@ -224,64 +207,3 @@ def near_dedup(docs: DataFrame, most: int = 4, width: int = 4) -> DataFrame:
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(ids, "root").select("fp", "component_id")
     return base.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def far_share(similarity: float) -> float:
-    """The share of bits in which fingerprints differ in the mean, of sets of this Jaccard similarity: their angle over pi."""
-    return acos(2 * similarity / (1 + similarity)) / pi
-
-
-def wide_links(fps: DataFrame, count: int, similarity: float) -> DataFrame:
-    """fps (fp, distinct wide fingerprints) -> (src, dst), links between those whose differing bits tell a similarity of at least this.
-
-    A key is a few bits of the fingerprint, drawn once for each choice; there are as many bits as leave about WIDE_GROUP of count
-    in a group, and as many choices as give a pair that is just near enough one common key with probability RECALL. In a
-    group the index of linked() compares all; what it links is exact, and nearer pairs are missed much less.
-    """
-    same = 1 - far_share(similarity)
-    used = max(4, ceil(log2(max(1.0, count / WIDE_GROUP))))
-    choices = ceil(log(1 - RECALL) / log(1 - same ** used))
-    most = floor(far_share(similarity) * 64 * WORDS)
-    rng = np.random.default_rng(17)
-    picks = np.stack([rng.choice(64 * WORDS, used, replace=False) for _ in range(choices)])
-
-    def key(batches):
-        for batch in batches:
-            raw = batch.column("fp")
-            bits = np.unpackbits(np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(len(raw), -1), axis=1)
-            keys = [(bits[:, pick].astype(np.int64) << np.arange(used)).sum(axis=1) for pick in picks]
-            for i, k in enumerate(keys):
-                yield pa.RecordBatch.from_arrays([raw, pa.array(np.full(len(raw), i, np.int32)), pa.array(k)], names=["fp", "choice", "key"])
-
-    keyed = staged(fps.select("fp").mapInArrow(key, "fp binary, choice int, key long"), "simhash_keyed")
-
-    def solve(table: pa.Table) -> pa.Table:
-        fp = table.column("fp").to_pylist()
-        root = linked(np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1), most)
-        far = np.flatnonzero(root != np.arange(len(fp))).tolist()
-        return pa.table({"src": pa.array([fp[i] for i in far], pa.binary()), "dst": pa.array([fp[root[i]] for i in far], pa.binary())})
-
-    return _dealt(keyed, WIDE_MOST).groupBy("choice", "key", "p").applyInArrow(solve, "src binary, dst binary").distinct()
-
-
-def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
-    """docs (doc_id, text, ...) without all but one row of each group that near copies join: the one of the least doc_id (null last), then of the least text hash.
-
-    Near copies: similarity of their sets of shingles (five words), as told by fingerprints of 512 bits, at least 0.8. Texts without words
-    are copies of each other, null among them. Rows of one doc_id are judged one by one. No rows: no rows.
-    """
-    schema = packed(docs).schema.add("fp", "binary")
-
-    def run(batches):
-        for batch in batches:
-            fps = pa.array([wide_fingerprint(x, width) for x in texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, fps], names=[*batch.schema.names, "fp"])
-
-    base = staged(packed(docs).mapInArrow(run, schema).withColumn("id", F.monotonically_increasing_id()), "simhash_rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.xxhash64("text").alias("hash"), "id")).alias("first")
-    distinct = staged(base.groupBy("fp").agg(first), "simhash_distinct")
-    links = wide_links(distinct.select("fp"), distinct.count(), similarity)
-    roots = components(links, "simhash_rounds")
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("id"))
-    return unpacked(base.join(chosen, "id", "left_semi"), docs.columns)

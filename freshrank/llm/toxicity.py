@@ -309,7 +309,11 @@ def toxicity(docs: DataFrame, net: Net | None) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted (score >= threshold) for each row of docs."""
+    """doc_id, held_out, score, predicted (score >= threshold) for each row of docs.
+
+    Null and empty texts are scored as a window of padding; null doc_id counts as an empty one for its fold. Repeated rows each give their row, with one score; a doc_id with
+    several labels is toxic if one says so. Labels of one kind only, or none, make no net: all scores are 0. An empty table gives no rows; other columns are not read.
+    """
     net = fit(docs, labels, folds=folds, held=held)
     out = toxicity(docs.select("doc_id", "text"), net)
     fold = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(folds))

@@ -30,9 +30,9 @@ def node(url: Column) -> Column:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """pages (url, html) -> (src, dst): the page and what its canonical link or its refresh names, relative ones resolved."""
-    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.array(
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _TO, 1))).alias("to"))
+    """pages (url, html) -> (src, dst): the page and what its canonical links and refreshes name, all of them, relative ones resolved."""
+    named = lambda tag, what: F.transform(F.regexp_extract_all("html", F.lit(tag), F.lit(0)), lambda t: F.regexp_extract(t, what, 1))
+    found = pages.where(F.col("url").isNotNull() & F.col("html").isNotNull()).select("url", F.explode(F.concat(named(_CANONICAL, _HREF), named(_REFRESH, _TO))).alias("to"))
     root = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
     to = F.replace("to", F.lit("&amp;"), F.lit("&"))
     full = (F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(F.regexp_extract("url", r"(?s)^(.*?:)//", 1), to))
@@ -58,8 +58,8 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
 
     A page with a rule gets its verdict, allow included. Any other is blocked if its url is joined, by redirects and canonical
     links in either direction and over any number of steps, with a url that a rule blocks; else allowed.
-    DataFrame functions only. Null url or none with a scheme: empty host and path, no rule, allow. Null html: no links.
-    Repeated pages each give their row; urls and links are made distinct before they are joined.
+    DataFrame functions only. Null url or none with a scheme: empty host and path, no rule, allow. Null html: no links. An empty table gives no rows; other
+    columns, of whatever names, are not read. Repeated pages each give their row; urls and links are made distinct before they are joined.
     """
     spark = pages.sparkSession
     if not isinstance(rules, DataFrame):
@@ -78,9 +78,9 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame
 SQL = r"""
 WITH RECURSIVE rules(action, rule_host, rule_path) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
 found AS (
-  SELECT url, regexp_replace(regexp_extract(regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>', 0), '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1), '&amp;', '&', 'g') AS dest FROM pages
+  SELECT url, regexp_replace(unnest(list_transform(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1))), '&amp;', '&', 'g') AS dest FROM pages
   UNION ALL
-  SELECT url, regexp_replace(regexp_extract(regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>', 0), '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1), '&amp;', '&', 'g') FROM pages),
+  SELECT url, regexp_replace(unnest(list_transform(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), lambda t: regexp_extract(t, '(?is)\burl\s*=\s*["'']?([^"''\s>;]+)', 1))), '&amp;', '&', 'g') FROM pages),
 edges AS (
   SELECT regexp_replace(url, '(?s)#.*$', '') AS src, regexp_replace(CASE WHEN contains(dest, '://') THEN dest
      WHEN starts_with(dest, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || dest

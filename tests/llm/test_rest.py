@@ -2,7 +2,9 @@ import math
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from freshrank.llm import lm, mixing, packing, toxicity, url_filter
@@ -220,13 +222,19 @@ def test_url_filter(spark):
     pages = [(1, "http://A.Net/x", None), (2, "https://b.example.net/en/1", ""), (3, "http://c.org/de/1", '<link rel="canonical" href="http://d.org/2">'),
              (4, "http://d.org/2#top", '<meta http-equiv="refresh" content="0; url=//e.net/z">'), (5, "http://f.org/fr/1", "<link href='/de/9' rel=canonical>"), (6, "http://f.org/de/9", ""),
              (7, None, None), (8, "no scheme", "x"), (9, "http://net/", ""), (9, "http://net/", ""), (10, "http://x.net", ""), (11, "http://g.org/a/b", '<link rel=canonical href="c">'), (12, "http://g.org/a/c", ""),
-             (13, "http://example.com/de/q", '<link rel=canonical href="http://f.org/fr/1">')]
+             (13, "http://example.com/de/q", '<link rel=canonical href="http://f.org/fr/1">'),
+             (14, "http://h.org/1", '<link rel=canonical><link rel="canonical" href="http://h.org/2"><LINK rel=canonical href="//e.net/z">'),
+             (15, "http://i.org/1", '<meta http-equiv=refresh content="5"><meta http-equiv="refresh" content="0; url=http://A.Net/x">')]
     df = spark.createDataFrame([(*p, "h", "r") for p in pages], "page_id long, url string, html string, host string, rule string")
     got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(df).collect()}
     assert got == {
         1: ("a.net", "/x", "net/", "block"), 2: ("b.example.net", "/en/1", "example.net/en/", "allow"), 3: ("c.org", "/de/1", None, "block"), 4: ("d.org", "/2", None, "block"),
         5: ("f.org", "/fr/1", "org/fr/", "allow"), 6: ("f.org", "/de/9", None, "block"), 7: ("", "", None, "allow"), 8: ("", "", None, "allow"), 9: ("net", "/", "net/", "block"),
-        10: ("x.net", "", None, "allow"), 11: ("g.org", "/a/b", None, "allow"), 12: ("g.org", "/a/c", None, "allow"), 13: ("example.com", "/de/q", "example.com/de/", "block")}
+        10: ("x.net", "", None, "allow"), 11: ("g.org", "/a/b", None, "allow"), 12: ("g.org", "/a/c", None, "allow"), 13: ("example.com", "/de/q", "example.com/de/", "block"),
+        14: ("h.org", "/1", None, "block"), 15: ("i.org", "/1", None, "block")}
+    con = duckdb.connect()
+    con.register("pages", pd.DataFrame(pages, columns=["page_id", "url", "html"]))
+    assert {r[0]: r[1:] for r in con.execute(url_filter.SQL).fetchall()} == got
     assert url_filter.filter_urls(df).count() == len(pages) and url_filter.filter_urls(df.limit(0)).count() == 0
 
 
