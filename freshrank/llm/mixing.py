@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, staged
+from .common import WORD, partitions, staged
 
 #: Neither a letter nor ASCII white space.
 MARKS = r"[^\p{L}\x20\x09-\x0D]"
@@ -48,6 +48,18 @@ def source_targets(sizes: DataFrame, share: float = 1.5, cap: float = 2.0, weigh
                         .otherwise(F.col("hit.level") * F.col("weight"))).drop("most", "ratio", "place", "level", "hit", "weight")
 
 
+ORDER = ["key", "doc_id", "size", "text_hash"]
+
+
+def in_buckets(d: DataFrame) -> DataFrame:
+    """d (sid, key, doc_id, size, text_hash, ...) with bucket: ranges of (sid, key and what decides ties) that have about the same number of rows.
+
+    There is a range for each shuffle partition, and its number rises with the order. The ranges are written once, as the sums over them and the order within them must see the same ones.
+    """
+    n = partitions(d.sparkSession)
+    return staged(d.repartitionByRange(n, "sid", *ORDER).withColumn("bucket", F.spark_partition_id()), "mix_buckets")
+
+
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple = (5, 2, 1), seed: str = "mix", weight: Column | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text, source): how many of its words the mix takes.
 
@@ -58,8 +70,8 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     their Efraimidis-Spirakis key -ln(u) / weight until the rest is used up; the document at the edge gives
     its first words, so a source's taken words sum to floor(target). weight is quality_weight() or a column over doc_id, text, source and size. u comes
     from a digest of seed, doc_id and text: reruns agree, and rows that share a doc_id, null among them, spread.
-    Prefix sums go by buckets of the key, about sqrt(rows) buckets of sqrt(rows) rows in each source,
-    so that no task holds a source. Null text: size 0; null source: a source of its own, the last;
+    Prefix sums go by buckets of the key, cut where a sample of the keys themselves says (in_buckets), so that no task holds a source,
+    whatever its weights are. Null text: size 0; null source: a source of its own, the last;
     null doc_id: as an empty one; rows with equal keys go by doc_id, size and text hash. An empty table gives no rows; other columns, of whatever names, are not read.
     """
     w = F.col("weight")
@@ -68,16 +80,16 @@ def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple =
     base = base.select("doc_id", "source", "size", F.xxhash64("text").alias("text_hash"), (quality_weight() if weight is None else weight).alias("weight"),
                        ((F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))).alias("u"))
     base = staged(base, "mix_sizes")
-    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), F.avg("weight").alias("mean_weight"))
+    totals = base.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = staged(source_targets(totals, share, cap, weights), "mix_targets")
 
     d = base.alias("b").join(targets.alias("t"), F.col("b.source").eqNullSafe(F.col("t.source"))).select(
-        "doc_id", "b.source", "size", "text_hash", "sid", "source_size", "target", "mean_weight", "n", (-F.ln(F.col("u")) / w).alias("key"))
-    d = d.withColumn("bucket", F.floor((1 - F.exp(-F.col("key") * F.col("mean_weight"))) * F.ceil(F.sqrt("n"))).cast("long"))
+        "doc_id", "b.source", "size", "text_hash", "sid", "source_size", "target", (-F.ln(F.col("u")) / w).alias("key"))
+    d = in_buckets(d)
     sums = d.groupBy("sid", "bucket").agg(F.sum("size").alias("bucket_size"))
     sums = sums.select("sid", "bucket", F.coalesce(F.sum("bucket_size").over(
         W.partitionBy("sid").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
-    inside = W.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "text_hash").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("sid", "bucket").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
     d = d.join(sums, ["sid", "bucket"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")

@@ -43,6 +43,16 @@ def test_mix(docs):
     assert sum(len((r.text or "").encode().split()) for r in mixing.mixed(docs).collect()) == sum(words.values())
 
 
+def test_buckets_of_unlike_weights(spark):
+    """Half the rows have a twentieth of the weight, and one source nearly all rows: buckets stay even, and rise with the key."""
+    from pyspark.sql import functions as F
+    d = spark.range(20_000).select(F.when(F.col("id") % 50 == 0, 2).otherwise(1).alias("sid"), F.col("id").alias("doc_id"), F.lit(1).cast("long").alias("size"), F.lit(0).cast("long").alias("text_hash"),
+                                   (-F.ln((F.pmod(F.xxhash64("id"), F.lit(1 << 20)) + 0.5) / (1 << 20)) / F.when(F.col("id") % 2 == 0, 0.05).otherwise(1.0)).alias("key"))
+    got = mixing.in_buckets(d).groupBy("sid", "bucket").agg(F.count("*").alias("n"), F.min("key").alias("a"), F.max("key").alias("z")).orderBy("sid", "bucket").collect()
+    assert max(r.n for r in got) < 3 * 20_000 / 8
+    assert all(x.z <= y.a for x, y in zip(got, got[1:], strict=False) if x.sid == y.sid)
+
+
 def test_pack(docs):
     from tokenizers import Tokenizer
 
