@@ -93,7 +93,7 @@ def k6_missing_shards(spark, sf_dir):
     heads = tokens.acquire_tokens(i.index(), i.scores(), i.grid(), LENGTH)[0].where(number() % 11 != 0).withColumn("epoch", F.when(number() % 7 == 0, 1).otherwise(0))
     lag = i.lag()
     epochs = lag.select("shard", F.lit(0).alias("epoch"))
-    cover = lag.select("shard", F.when(F.col("shard") == 1, F.col("hi") - 6).otherwise(F.lit(0)).alias("base"), F.col("hi").alias("frontier"))
+    cover = lag.select("shard", F.when(F.col("shard") == 1, F.expr("hi - (hi - lo) div 2")).otherwise(F.lit(0)).alias("base"), F.col("hi").alias("frontier"))
     grid = i.grid().drop("at").join(lag.select("shard", F.col("hi").alias("cut")), "shard")
     return tokens.missing_shards(heads, grid, epochs, cover).select("query_id", *_long("shard"), "why")
 
