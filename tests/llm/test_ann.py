@@ -33,7 +33,7 @@ def recall(got, want):
     return hit / max(1, total)
 
 
-@pytest.mark.parametrize("shard", [8192, 120])
+@pytest.mark.parametrize("shard", [32768, 120])
 def test_recall_on_a_table(spark, sf_dir, shard):
     df = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     want = brute([(r.vec_id, r.embedding) for r in df.collect()])
@@ -55,12 +55,12 @@ def test_odd_vectors(spark):
 
 @pytest.mark.parametrize("spread", [0.0, 0.7])
 def test_recall_of_full_shards(spark, spread):
-    """16,000 Gaussian vectors in two shards of about 8,000, with norms alike and with norms that vary by a log-normal factor."""
+    """16,000 Gaussian vectors in two shards of about 8,000 (beams are measured), with norms alike and with norms that vary by a log-normal factor."""
     rng = np.random.default_rng(2)
     x = rng.normal(size=(16_000, 64)) * rng.lognormal(0, spread, (16_000, 1))
     df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
     got = {}
-    for r in ann.search(df, every=160).collect():
+    for r in ann.search(df, every=160, shard=8192).collect():
         got.setdefault(r.query_id, set()).add(r.vec_id)
     hits = []
     for q in range(0, 16_000, 160):
@@ -82,3 +82,28 @@ def test_few_and_none(spark):
     df = spark.createDataFrame([(20, [1.0, 0.0], 0, "", ""), (1, [0.5, 0.5], 0, "", "")], SCHEMA)
     assert [tuple(r) for r in ann.search(df).collect()] == [(20, 1, 1, 0.5)]
     assert ann.search(df.limit(0)).count() == 0
+
+
+def test_beams_and_graphs():
+    """A beam is as wide as its sample asks for; the graph keeps to its degree, holds no node twice and reaches all points from the entry."""
+    rng = np.random.default_rng(4)
+    like = rng.normal(size=(2000, 16))
+    unlike = like * rng.lognormal(0, 1.2, (2000, 1))
+    beams = []
+    for v in (like, unlike):
+        graph, entry = ann.build_graph(ann._unit(v).astype(np.float32))
+        assert graph.shape == (2000, ann.DEGREE)
+        rows = [[i for i in r if i >= 0] for r in graph.tolist()]
+        assert all(len(set(r)) == len(r) and n not in r for n, r in enumerate(rows))
+        met, todo = {entry}, [entry]
+        while todo:
+            new = set(rows[todo.pop()]) - met
+            met |= new
+            todo += new
+        assert len(met) >= 1990
+        beam = ann.fitting_beam(v, graph, entry, 21)
+        ids = ann.nearest(v, graph, entry, v[:300], beam)[:, :21]
+        true = np.argsort(-(v[:300] @ v.T), axis=1)[:, :21]
+        assert np.mean([len(set(a.tolist()) & set(b.tolist())) / 21 for a, b in zip(ids, true, strict=True)]) >= 0.95
+        beams.append(beam)
+    assert beams[0] <= beams[1]
