@@ -194,6 +194,40 @@ def test_toxicity_forward_pass():
         assert got == pytest.approx((a / a.sum()) @ both @ w["out"] * 4 + w["bias"][0], abs=1e-4)
 
 
+def test_toxicity_windows_and_worst():
+    """All windows over a text, every passage of half a window in one of them whole, and a score that is the worst of them by the plain forward pass."""
+    for n in (0, 1, 47, 48, 49, 72, 73, 500):
+        starts = toxicity.windows(n).tolist()
+        assert starts == sorted({*range(0, max(1, n - 48), 24), max(0, n - 48)})
+        assert all(any(s <= p and p + 25 <= s + 48 for s in starts) for p in range(n - 24))
+    rng = np.random.default_rng(8)
+    net, data = toxicity.Net(), [" ".join(f"w{j}" for j in rng.integers(0, 90, n)).encode() for n in (0, 1, 30, 48, 49, 200, 1300)]
+    want = []
+    for x in data:
+        words = x.split()
+        values = []
+        for s in toxicity.windows(len(words)).tolist():
+            some = words[s:s + 48]
+            g = net.gates(net.inputs([toxicity.clean(w) for w in some] or [b"x"]))
+            values.append(net.forward(g, np.arange(len(some) or 1)[None], np.full((1, len(some) or 1), float(bool(some)), np.float32))[0])
+        want.append(1 / (1 + np.exp(-max(values))))
+    assert toxicity.scorer(net)(data) == pytest.approx(want, abs=1e-5)
+
+
+def test_toxicity_sample_and_folds(spark):
+    """Labels without a usable text take no places; folds and predictions as stated; repeated rows, no labels, no rows."""
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 3 else "x" * 70_000) for i in range(1, 200)] + [(1, "again"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 600)], "doc_id long, toxic int")
+    got = toxicity.labelled(docs, labels, most=(20, 10))
+    assert sorted(r.toxic for r in got) == [0] * 20 + [1] * 10 and all(len(r.text) < 100 for r in got)
+    fold = {i: crc32(str(i).encode()) % 4 == 2 for i in range(1, 200)} | {None: False}
+    assert all(not fold[int(r.text.split()[1])] for r in got if r.text != "again")
+    rows = toxicity.judged(docs, labels).collect()
+    assert len(rows) == 201 and all(r.held_out == fold[r.doc_id] and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert {r.score for r in toxicity.judged(docs, labels.limit(0)).collect()} == {0.0}
+    assert toxicity.judged(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_gradient_is_that_of_finite_differences():
     net, idx, mask = toxicity.Net(), np.array([[0, 1, 2], [2, 1, 0]]), np.array([[1, 1, 1], [1, 1, 0]], np.float32)
     words, y, weight = [b"abc", b"wretch", b"x"], np.array([1.0, 0.0], np.float32), np.array([1.0, 2.0], np.float32)
