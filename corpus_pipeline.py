@@ -28,7 +28,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document, that of the smallest doc_id; texts without words, null among them, are one group."""
+    """Of each group of near copies (five-word shingles, similarity 0.8 or more) one document, that of the smallest doc_id; texts without words, null among them, are one group.
+
+    op4's fingerprints and Gray-order index give the first links, each checked by the sets; the pairs that fingerprints miss are looked for by an exact way.
+    """
     return near.without_near_copies(docs)
 
 

@@ -1,4 +1,4 @@
-"""Near copies by Jaccard similarity of sets of shingles: complete candidates, told by the sets themselves."""
+"""Near copies by Jaccard similarity of sets of shingles: links of op4's index, told by the sets themselves; then complete candidates for those that fingerprints miss."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, components, joined_all, only, packed, partitions, staged, texts, unpacked
-from .simhash import shingle_hashes
+from .simhash import linked_ids, majority, shingle_hashes
 
 #: Sets with one key beyond which they are first compared with some of them, with how many, and how often; sets of a part in which such a key is dealt out.
 MOST, SLOTS, ROUNDS, PART = 32, 8, 2, 1024
@@ -38,9 +38,10 @@ def both_hold(held: list[list[int]], some: np.ndarray) -> np.ndarray:
 
 
 def set_links(rows: DataFrame, wanted: DataFrame, similarity: float, width: int) -> DataFrame:
-    """rows: blocks of texts; wanted (block, row, id): one for each set of shingles -> (src, dst), enough links between ids of Jaccard similarity at least this to join all that any such links join.
+    """rows: blocks of texts; wanted (block, row, id, simhash): one for each set of shingles -> (src, dst), enough links between ids of Jaccard similarity at least this to join all that any such links join.
 
-    Complete by two bounds, in place of fingerprints. A set needs so large a share of its shingles in other sets, else it has no partner; and if each
+    The fingerprints that op4's Gray-order index links come first, and those links stay whose sets are so similar. Sets of similarity 0.8 may differ
+    in more bits than any fingerprint tells, so the pairs that no such link joins are looked for by two bounds. A set needs so large a share of its shingles in other sets, else it has no partner; and if each
     set is put in one order for all, two such sets share one of their first shingles (as many as may be missing, and one). That order is by the number
     of sets that hold a shingle, rare ones first, so what is common is hardly ever a key. Blocks ask the owners of ranges of hashes for
     these numbers. Pairs with a common key are told by the sets themselves, as 64-bit hashes.
@@ -127,12 +128,10 @@ def set_links(rows: DataFrame, wanted: DataFrame, similarity: float, width: int)
         return staged(pairs.join(x, "src").join(y, "dst").select("src", "dst", "x", "y").mapInArrow(compare, "src long, dst long"), "near_links")
 
     def with_comp(some: DataFrame, links: list[DataFrame]) -> DataFrame:
-        if not links:
-            return some.withColumn("comp", F.col("id"))
         roots = components(joined_all(links), "near_rounds")
         return some.join(roots, some.id == roots.node, "left").select(*some.columns, F.coalesce("root", "id").alias("comp"))
 
-    links: list[DataFrame] = []
+    links = [told(linked_ids(wanted.select("id", F.col("simhash").alias("fp"))))]
     hot = keyed.where(F.col("held") > MOST)
     for r in range(ROUNDS if hot.limit(1).count() else 0):
         now = staged(with_comp(hot, links), "near_hot")
@@ -191,23 +190,24 @@ def set_links(rows: DataFrame, wanted: DataFrame, similarity: float, width: int)
 def without_near_copies(docs: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
     """docs (doc_id, text, ...) without all but one row of each group that near copies join: the one of the least doc_id (null last), then of the least text hash.
 
-    Near copies: Jaccard similarity of their sets of shingles (five words) at least 0.8, all pairs (see set_links). Texts without words
+    Near copies: Jaccard similarity of their sets of shingles (five words) at least 0.8, all pairs: by op4's fingerprints and index, and an exact way for the rest (see set_links). Texts without words
     are copies of each other, null among them. Rows of one doc_id are judged one by one. No rows: no rows.
     """
     rows = blocks(packed(docs), "near_rows")
 
     def run(batches):
         for batch in batches:
-            fps = pa.array([xxhash.xxh3_128_digest(np.unique(shingle_hashes(x, width)).tobytes()) for x in texts(batch.column("text"))], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "row", "doc_id", "hash")), fps], names=["block", "row", "doc_id", "hash", "fp"])
+            sets = [np.unique(shingle_hashes(x, width)) for x in texts(batch.column("text"))]
+            fps, bits = pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(np.array([majority(s) for s in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "row", "doc_id", "hash")), fps, bits], names=["block", "row", "doc_id", "hash", "fp", "simhash"])
 
-    prints = rows.select("block", "row", "doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "block long, row int, doc_id long, hash long, fp binary")
+    prints = rows.select("block", "row", "doc_id", F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "block long, row int, doc_id long, hash long, fp binary, simhash long")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "hash", "block", "row")).alias("first")
     # a block has the reader's partition above bit 32 and a number below it; it holds less than 2^20 rows
     pid, nth = F.shiftright("first.block", 32), F.col("first.block").bitwiseAND(F.lit((1 << 20) - 1))
-    distinct = prints.groupBy("fp").agg(first).select("first", (F.shiftleft(pid, 40) + F.shiftleft(nth, 20) + F.col("first.row")).alias("id"))
+    distinct = prints.groupBy("fp").agg(first, F.min("simhash").alias("simhash")).select("first", "simhash", (F.shiftleft(pid, 40) + F.shiftleft(nth, 20) + F.col("first.row")).alias("id"))
     distinct = staged(distinct, "near_distinct")
-    links = set_links(rows, distinct.select("first.block", "first.row", "id"), similarity, width)
+    links = set_links(rows, distinct.select("first.block", "first.row", "id", "simhash"), similarity, width)
     roots = components(links, "near_rounds")
     rooted = distinct.join(roots, distinct.id == roots.node, "left").select("first", F.coalesce("root", "id").alias("root"))
     chosen = rooted.groupBy("root").agg(F.min("first").alias("first")).select("first.block", "first.row")

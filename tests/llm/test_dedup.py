@@ -329,3 +329,50 @@ def test_common_keys_are_counted_in_stretches(monkeypatch, keys):
     some = np.array([0, 3, 39])
     assert near.both_hold(held, some).tolist() == [[len({*held[a]} & {*b} & {k for k in held[a] if sum(k in c for c in held) > 1}) for b in held] for a in some]
     assert near.both_hold([[], []], np.array([1])).tolist() == [[0, 0]]
+
+
+def test_direct_links_of_the_index(spark, monkeypatch):
+    """Pairs of the index differ in 4 bits at most and join what all such pairs join, in one group, in dealt parts, and with ids of one fingerprint."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 62, 60, dtype=np.int64)
+    fps = sorted({int(b) ^ (1 << int(x)) ^ (1 << int(y)) for b in base for x, y in rng.integers(0, 60, (8, 2))} | set(range(300)))
+    fps += fps[::7]
+    want = [c for _, _, c in brute_components(list(enumerate(fps)))]
+    found = []
+    simhash.linked(np.array(fps[:len(set(fps))], np.uint64), found=found)
+    some = [(np.concatenate(found) if found else np.zeros((0, 2))).tolist()]
+    for most in (simhash.MOST, 7):
+        monkeypatch.setattr(simhash, "MOST", most)
+        got = simhash.linked_ids(spark.createDataFrame(list(enumerate(fps)), "id long, fp long"))
+        some.append([(r.src, r.dst) for r in got.collect()])
+    for n, pairs in zip((len(set(fps)), len(fps), len(fps)), some, strict=True):
+        assert all((fps[a] ^ fps[b]).bit_count() <= 4 and a != b for a, b in pairs)
+        label = list(range(n))
+        for a, b in pairs:
+            low, high = sorted((label[a], label[b]))
+            label = [low if x == high else x for x in label]
+        assert label == want[:n]
+
+
+def test_near_stage_asks_the_index(spark, monkeypatch):
+    """The pipeline's stage gets one fingerprint for each set of shingles into op4's index, and links of unlike sets, were it to return all pairs, join nothing."""
+    import corpus_pipeline
+
+    asked, index = [], near.linked_ids
+
+    def linked_ids(prints):
+        asked.append((prints, links := index(prints)))
+        x, y = (prints.select(prints.id.alias(c)) for c in ("src", "dst"))
+        return links.unionByName(x.crossJoin(y).where("src > dst"))
+
+    monkeypatch.setattr(near, "linked_ids", linked_ids)
+    rng = np.random.default_rng(2)
+    one, two = ([f"w{x}" for x in rng.integers(0, 50_000, 400)] for _ in range(2))
+    same = " ".join(one[:5] * 40)  # a longer text of the same shingles has the same set
+    rows = [(1, " ".join(one)), (2, " ".join([*one, "end"])), (3, same), (4, same + " " + " ".join(one[:5])), (5, "a b c"), (6, None), (7, " ".join(two)), (8, " ".join([*two, "end"]))]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert Counter(r.doc_id for r in got.collect()) == brute_near(rows)[0] == Counter([1, 3, 5, 6, 7])
+    (prints, links), = asked
+    sets = {frozenset(shingle_set(t or "")) for _, t in rows}
+    want = Counter(sum(1 << b for b in range(64) if 2 * sum(xxhash.xxh64_intdigest(b" ".join(s), 42) >> b & 1 for s in x) > len(x)) for x in sets)
+    assert Counter(r.fp % (1 << 64) for r in prints.collect()) == want and links.count() == 2
