@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import heapq
 import textwrap
 from collections import Counter
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..operators.log import placed
+from ..sources.scratch import staged
 
 
 def token_labels(text: Column) -> Column:
@@ -124,21 +126,81 @@ def plan_rare(seeds: DataFrame, df: DataFrame, key: str, n: int = 4, call_first:
     return terms.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= n).select(key, F.lit(0).alias("alt"), F.col("pos").cast("int").alias("pos"), "label")
 
 
-def plan_stable_labels(versions: DataFrame, base: DataFrame, df: DataFrame, key: str, n: int = 4) -> tuple[DataFrame, DataFrame]:
-    """versions (key, version, labels), base (key) and df (label, df) -> (plans (key, alt 0, pos, label), rejected (key, pool)).
+def shortlist(sets: DataFrame, df: DataFrame, key: str, n: int, call_first: bool = False, known: int = 1 << 16) -> DataFrame:
+    """sets (key, labels) with fewer labels, among them still the n first of each set by (df, calls first, label), or by (calls first, df, label) if so asked.
+
+    The frequencies of up to `known` labels, those above all the others', go to each task. Of a set that has n labels besides these, these are left out,
+    and else only their first ones stay. So most pairs of set and label need not be joined with df. Labels that df lacks count as 0.
+    """
+    floor, above = 0, 0
+    for x, labels in sorted(df.groupBy("df").agg(F.count("*")).collect(), reverse=True):  # far fewer values than labels: k values need k * k / 2 pairs
+        above += labels
+        if above > known:
+            floor = x
+            break
+    often = df.sparkSession.sparkContext.broadcast(dict(map(tuple, df.where(F.col("df") > floor).select("label", "df").collect())))
+
+    def first(labels, n):
+        of = often.value
+        rare = [x for x in labels if x not in of]
+        if len(rare) >= n:
+            return rare
+        return rare + heapq.nsmallest(n - len(rare), (x for x in labels if x in of), key=lambda x: (of[x], not x.startswith("call:"), x))
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def some(sets: pd.Series) -> pd.Series:
+        def one(labels):
+            calls = [x for x in labels if x.startswith("call:")] if call_first else []
+            if len(calls) >= n > 0:
+                return first(calls, n)
+            return calls + first([x for x in labels if not x.startswith("call:")] if call_first else labels, n - len(calls))
+
+        return sets.map(one, na_action="ignore")
+
+    return sets.select(key, some("labels").alias("labels"))
+
+
+def plan_stable_labels(versions: DataFrame, base: DataFrame, df: DataFrame, key: str, n: int = 4, bodies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """versions (key, version, body) of bodies (body, labels), or versions (key, version, labels), base (key) and df (label, df) -> (plans (key, alt 0, pos, label), rejected (key, pool)).
 
     The pool of a key in base is the labels in all its versions; of a key that came later, those in any. Pools of fewer than two
-    labels are rejected, none is planned for them. Labels go by (df, calls first, label); one that df lacks counts as 0.
+    labels are rejected, none is planned for them. Labels go by (df, calls first, label); one that df lacks counts as 0. A version whose body bodies lacks is none.
+
+    The labels of all versions are never listed. What all versions share is in the one with the fewest labels; another confirms those, and all the rest what is
+    left then. Of a pool of all labels in any version the first ones are among the first of some body, so each body is asked once for those. versions, bodies and df are read several times.
     """
-    keys = versions.groupBy(key).agg(F.count_distinct("version").alias("all")).join(base.select(key).distinct().withColumn("at_base", F.lit(True)), key, "left")
-    each = versions.select(key, "version", F.explode("labels").alias("label")).groupBy(key, "label").agg(F.count_distinct("version").alias("in"))
-    pool = keys.join(each, key, "left").withColumn("fits", F.col("label").isNotNull() & (F.col("at_base").isNull() | (F.col("in") == F.col("all"))))
-    pool = pool.withColumn("pool", F.count_if("fits").over(W.partitionBy(key)))
-    rejected = pool.where("pool < 2").select(key, "pool").distinct()
-    terms = pool.where("fits and pool >= 2").join(df, "label", "left")
-    order = W.partitionBy(key).orderBy(F.coalesce("df", F.lit(0)), F.when(F.col("label").startswith("call:"), 0).otherwise(1), "label")
-    plans = terms.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= n).select(key, F.lit(0).alias("alt"), F.col("pos").cast("int").alias("pos"), "label")
-    return plans, rejected
+    if bodies is None:
+        versions = versions.select(key, "version", F.coalesce("labels", F.array()).alias("body"))
+        bodies = versions.select("body", F.col("body").alias("labels")).distinct()
+    bodies = bodies.select("body", F.array_compact("labels").alias("labels"))
+    held = versions.select(key, "version", "body").join(bodies.select("body", F.size("labels").alias("size")), "body")
+    held = staged(held.join(base.select(key).distinct().withColumn("at_base", F.lit(True)), key, "left"), "held")
+    keys = held.groupBy(key, "version").agg(F.sum("size").alias("size"), F.max("at_base").alias("at_base"))
+    keys = staged(keys.groupBy(key).agg(F.count("*").alias("all"), F.max("at_base").alias("at_base"), F.min(F.struct("size", "version")).alias("least")), "held_keys")
+
+    old = held.where("at_base").join(keys.where("least.size > 0").select(key, F.col("least.version").alias("least")), key)
+    near = old.where("version <> least").groupBy(key).agg(F.min(F.struct("size", "version")).alias("near"))
+    old = old.join(near.select(key, F.col("near.version").alias("near")), key, "left")
+    few = old.where("version = least").join(bodies, "body").select(key, "near", F.explode("labels").alias("label")).groupBy(key, "near").agg(F.collect_set("label").alias("few"))
+    some = old.where("version = near").select(key, "body").join(few.select(key, "few"), key).join(bodies, "body").select(key, F.explode(F.array_intersect("few", "labels")).alias("label"))
+    few = staged(few.where("near is null").select(key, "few").unionByName(some.groupBy(key).agg(F.collect_set("label").alias("few"))), "held_few")
+    others = old.where("version <> least and version <> near").select(key, "version", "body").join(few, key).join(bodies, "body")
+    seen = others.select(key, "version", F.explode(F.array_intersect("few", "labels")).alias("label")).groupBy(key, "label").agg(F.count_distinct("version").alias("in"))
+    stable = few.join(keys.select(key, "all"), key).select(key, "all", F.explode("few").alias("label")).join(seen, [key, "label"], "left").where("all <= 2 + coalesce(in, 0)")
+
+    later = held.where("at_base is null").select(key, "body").distinct()
+    asked = bodies.join(later.select("body").distinct(), "body", "left_semi")
+    order = [F.coalesce("df", F.lit(0)), F.when(F.col("label").startswith("call:"), 0).otherwise(1), "label"]
+    most = max(n, 2)
+    firsts = shortlist(asked, df, "body", most).select("body", F.explode(F.array_distinct("labels")).alias("label")).join(df, "label", "left")
+    firsts = firsts.withColumn("place", F.row_number().over(W.partitionBy("body").orderBy(*order))).where(F.col("place") <= most)
+    some = later.join(firsts.select("body", "label", "df"), "body").select(key, "label", "df").distinct()
+
+    pool = stable.select(key, "label").join(df, "label", "left").select(key, "label", "df").unionByName(some)
+    pool = pool.withColumn("pool", F.count("*").over(W.partitionBy(key)))
+    plans = pool.where("pool >= 2").withColumn("pos", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("pos") <= n)
+    sizes = keys.select(key).join(pool.select(key, "pool").distinct(), key, "left").select(key, F.coalesce("pool", F.lit(0)).alias("pool"))
+    return plans.select(key, F.lit(0).alias("alt"), F.col("pos").cast("int").alias("pos"), "label"), sizes.where("pool < 2")
 
 
 def add_alternates(plans: DataFrame, mapping: dict[str, str], only: DataFrame | None = None) -> DataFrame:

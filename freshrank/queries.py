@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .operators import audit, log, rank, tables, tokens
 from .plans import corpus
 from .sources import fixtures as fx
-from .sources.scratch import staged
+from .sources.scratch import bucketed, staged
 
 #: Answers, rows of a token; an index lags by one part in LAG of its log.
 K, LENGTH, LAG = 5, 5, 100
@@ -102,6 +102,12 @@ class Inputs:
         """The bodies' labels, read once from the texts and stored."""
         return rank.PostingIndex(fx.body_labels(self.spark, self.dir), "body", "postings")
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The bodies with their labels, tokenized once and bucketed by body."""
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return bucketed(self.bodies.repartition(parts, "body"), ("body",), parts, "bodies")
+
     @cached_property
     def _terms(self) -> DataFrame:
         return staged(fx.query_terms(self.spark, self.dir, self.posted.labels), "terms")

@@ -63,8 +63,8 @@ few AS (SELECT t.ident FROM totals t LEFT JOIN fits f ON f.ident = t.ident GROUP
 def c11_plan_stable_labels(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     base = i.initial.where(F.substring("ident", 2, 20).cast("long") % 5 != 0)
-    seen = log.versions(base, i.changes).join(i.bodies, "body").select("ident", F.col("from_seq").alias("version"), "labels")
-    plans, few = corpus.plan_stable_labels(seen, base, corpus.label_df(i.bodies), "ident")
+    seen = log.versions(base, i.changes).where("body is not null").select("ident", F.col("from_seq").alias("version"), "body")
+    plans, few = corpus.plan_stable_labels(seen, base, staged(corpus.label_df(i.stored), "df"), "ident", bodies=i.stored)
     return plans.select("ident", *_long("pos"), "label").unionByName(few.select("ident", F.lit(0).cast("long").alias("pos"), F.lit(None).cast("string").alias("label")))
 
 

@@ -255,6 +255,40 @@ def test_stable_plans(spark):
     assert {(r.ident, r.pool) for r in rejected.collect()} == {("h", 1), ("i", 0)}
 
 
+def test_shortlist_keeps_the_first(spark):
+    """More labels than `known`, ties at its edge, labels that df lacks, sets of frequent labels alone, calls before others."""
+    sets = {"k1": ["a", "b", "call:c", "d"], "k2": ["a", "b"], "k3": ["x", "a", "b"], "k4": ["call:c", "call:e", "call:f", "x"], "k5": [], "k6": ["b", "call:b", "d"]}
+    df = {"a": 9, "b": 7, "call:c": 7, "call:b": 7, "d": 5, "call:e": 5, "call:f": 1}
+    d, f = spark.createDataFrame(list(sets.items()), "k string, labels array<string>"), spark.createDataFrame(list(df.items()), "label string, df long")
+    for known in (1, 2, 4, 5, 99):
+        for n in (1, 2, 3):
+            for calls in (False, True):
+                got = {r.k: r.labels for r in corpus.shortlist(d, f, "k", n, calls, known).collect()}
+                for k, labels in sets.items():
+                    order = lambda x: (not x.startswith("call:") if calls else False, df.get(x, 0), not x.startswith("call:"), x)
+                    assert set(got[k]) <= set(labels) and sorted(got[k], key=order)[:n] == sorted(labels, key=order)[:n]
+    assert {r.k: len(r.labels) for r in corpus.shortlist(d, f, "k", 2).collect()}["k1"] == 2
+
+
+def test_stable_plans_of_bodies(spark):
+    """Versions of bodies that many share give the plans that sets of labels give."""
+    held = [(f"f{i:02d}", v, f"b{(i * 7 + v * v) % 13}") for i in range(20) for v in range(1 + i % 6)]
+    labels = {f"b{j}": [x for k, x in enumerate("abcdefgh") if (j >> k) % 2 or k < j % 5] + ["name:z"] * (j % 3 > 0) for j in range(13)}
+    v, b = spark.createDataFrame(held, "ident string, version int, body string"), spark.createDataFrame(list(labels.items()), "body string, labels array<string>")
+    base, df = spark.createDataFrame([(f"f{i:02d}",) for i in range(0, 20, 2)], "ident string"), corpus.label_df(b)
+    plans, few = corpus.plan_stable_labels(v, base, df, "ident", 3, b)
+    n = {r.label: r.df for r in df.collect()}
+    want, none = set(), set()
+    for i in range(20):
+        each = [set(labels[x]) for k, _, x in held if k == f"f{i:02d}"]
+        pool = set.union(*each) if i % 2 else set.intersection(*each)
+        if len(pool) < 2:
+            none.add((f"f{i:02d}", len(pool)))
+        else:
+            want |= {(f"f{i:02d}", p, x) for p, x in enumerate(sorted(pool, key=lambda x: (n[x], x))[:3], 1)}
+    assert {(r.ident, r.pos, r.label) for r in plans.collect()} == want and {(r.ident, r.pool) for r in few.collect()} == none and want and none
+
+
 def test_rank_flip(spark):
     """Neither a nor b changes; documents that share a's label make it cheap."""
     few = [("a", ["x"]), ("b", ["y"]), ("c", ["y"])]
