@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import ast
+import gc
 import heapq
+import keyword
+import re
 import textwrap
 from collections import Counter
+from itertools import accumulate, chain
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,41 +32,62 @@ def distinct_tokens(text: Column) -> Column:
     return F.array_remove(F.array_distinct(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+")), "")
 
 
-def _terms(tree: ast.AST) -> list[str]:
-    """Names, attributes and called names of a syntax tree, typed and lower-cased."""
-    out = set()
-    for node in ast.walk(tree):
-        match node:
-            case ast.Name(id=name):
-                out.add(f"name:{name.lower()}")
-            case ast.Attribute(attr=name):
-                out.add(f"attr:{name.lower()}")
-            case ast.Call(func=ast.Name(id=name)) | ast.Call(func=ast.Attribute(attr=name)):
-                out.add(f"call:{name.lower()}")
-    return sorted(out)
+def _terms(*trees: ast.AST) -> list[str]:
+    """Names, attributes and called names of syntax trees, typed and lower-cased."""
+    return sorted(_gathered(trees))
+
+
+def _gathered(trees) -> set[str]:
+    out, todo = set(), [*trees]
+    while todo:
+        node = todo.pop()
+        kind = type(node)
+        if kind is ast.Name:
+            out.add(f"name:{node.id.lower()}")
+        elif kind is ast.Attribute:
+            out.add(f"attr:{node.attr.lower()}")
+            todo.append(node.value)
+        elif kind is ast.Call:
+            if type(node.func) is ast.Name:
+                out.add(f"call:{node.func.id.lower()}")
+            elif type(node.func) is ast.Attribute:
+                out.add(f"call:{node.func.attr.lower()}")
+            todo.append(node.func)
+            todo += node.args
+            todo += node.keywords
+        elif kind is ast.Expr:
+            todo.append(node.value)
+        elif kind is not ast.Constant:
+            todo += ast.iter_child_nodes(node)
+    return out
 
 
 _BROKEN = (SyntaxError, RecursionError, ValueError, MemoryError)
 
 
+def _labels(text: str) -> list[str] | None:
+    try:
+        return _terms(ast.parse(textwrap.dedent(text)))
+    except _BROKEN:
+        return None
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def code_labels(source: pd.Series) -> pd.Series:
     """The label set of a piece of code; null where it can't be parsed."""
+    return source.map(_labels, na_action="ignore")
 
-    def one(text):
-        try:
-            return _terms(ast.parse(textwrap.dedent(text)))
-        except _BROKEN:
-            return None
 
-    return source.map(one, na_action="ignore")
+#: Lines as Python's grammar has them; str.splitlines also splits at form feeds and the like.
+_LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+")
 
 
-def extract_fragments(files: DataFrame) -> DataFrame:
-    """files (project, path, text) -> (project, path, qual, n, ident, source, line_start, line_end, reason): a row for each function, or
-    one with a reason for a file that can't be parsed. n counts functions of one qualified name in a file."""
+def _functions(tree: ast.AST) -> list[tuple[str, int, int, int, ast.AST]]:
+    """(qualified name, which of that name, first line, last line, node) of each function."""
+    out: list = []
+    seen: Counter = Counter()
 
-    def functions(node, parents, out):
+    def visit(node, parents):
         for child in ast.iter_child_nodes(node):
             if isinstance(child, ast.expr):  # holds no definitions
                 continue
@@ -69,29 +95,157 @@ def extract_fragments(files: DataFrame) -> DataFrame:
             if isinstance(child, ast.ClassDef | ast.FunctionDef | ast.AsyncFunctionDef):
                 inner = [*parents, child.name]
                 if not isinstance(child, ast.ClassDef):
-                    out.append((".".join(inner), min([child.lineno, *(d.lineno for d in child.decorator_list)]), child.end_lineno))
-            functions(child, inner, out)
+                    qual = ".".join(inner)
+                    seen[qual] += 1
+                    out.append((qual, seen[qual], min([child.lineno, *(d.lineno for d in child.decorator_list)]), child.end_lineno, child))
+            visit(child, inner)
+
+    visit(tree, [])
+    return out
+
+
+def extract_fragments(files: DataFrame) -> DataFrame:
+    """files (project, path, text) -> (project, path, qual, n, ident, source, line_start, line_end, reason): a row for each function, or
+    one with a reason for a file that can't be parsed. n counts functions of one qualified name in a file."""
 
     def run(frames):
         for pdf in frames:
             rows = []
             for project, path, text in zip(pdf["project"], pdf["path"], pdf["text"], strict=True):
                 try:
-                    found: list = []
-                    functions(ast.parse(text), [], found)
+                    found = _functions(ast.parse(text))
                 except _BROKEN as e:
                     rows.append((project, path, None, None, f"{project}/{path}", None, None, None, type(e).__name__))
                     continue
-                lines, seen = text.splitlines(keepends=True), Counter()
-                for qual, a, b in found:
-                    seen[qual] += 1
-                    rows.append((project, path, qual, seen[qual], f"{project}/{path}:{qual}:{seen[qual]}", "".join(lines[a - 1:b]), a, b, None))
+                lines = _LINE.findall(text)
+                for qual, n, a, b, _ in found:
+                    rows.append((project, path, qual, n, f"{project}/{path}:{qual}:{n}", "".join(lines[a - 1:b]), a, b, None))
             yield pd.DataFrame(rows, columns=["project", "path", "qual", "n", "ident", "source", "line_start", "line_end", "reason"]).astype({"n": "Int32", "line_start": "Int32", "line_end": "Int32"})
 
     return files.select("project", "path", "text").mapInPandas(
         run, "project string, path string, qual string, n int, ident string, source string, line_start int, line_end int, reason string")
 
 
+_NAME = re.compile(r"([A-Za-z_][A-Za-z_0-9]*)")
+_PLAIN = frozenset(" .,:;()[]{}=+-*/%@&|^~<>!")
+_KEYWORDS = frozenset([*keyword.kwlist, *keyword.softkwlist])
+
+
+class Statements:
+    """Lines of code whose terms are known, so that a line which many files hold is parsed once.
+
+    A line that parses by itself, as simple statements, means the same wherever a statement may stand, and in a file none of whose lines opens what another closes
+    a statement may stand at each line. There all such lines with equal indents in a row are put as one `0` at the last one's place: what is left has the same functions
+    at the same lines, and a fraction of the nodes. Any other file is parsed whole.
+    """
+
+    _SIMPLE = (ast.Expr, ast.Assign, ast.AugAssign, ast.AnnAssign, ast.Return, ast.Delete, ast.Raise, ast.Assert, ast.Import, ast.ImportFrom, ast.Global, ast.Nonlocal, ast.Pass, ast.Break, ast.Continue)
+
+    def __init__(self, most: int = 1 << 17):
+        self.most = most
+        #: Terms of a line of simple statements; None for other lines that end what they begin; False for those that may not.
+        self.known: dict[str, tuple | bool | None] = {}
+        #: What stands around a line's names -> the kind of each term and the number of its name; None and False as above.
+        self.shapes: dict[tuple, tuple | bool | None] = {}
+
+    @staticmethod
+    def _other(line: str) -> bool | None:
+        code = line.partition("#")[0]
+        closed = not any(x in line for x in "'\"\\") and all(code.count(a) == code.count(b) for a, b in ("()", "[]", "{}"))
+        return None if closed else False
+
+    def _learn(self, lines) -> None:
+        """Lines that differ in nothing but names that are no keywords parse alike: one of each such shape is parsed, with names that tell their places."""
+        for line in lines:
+            parts = _NAME.split(line)
+            names, rest = parts[1::2], tuple(parts[::2])
+            if not line.isascii() or not _PLAIN.issuperset("".join(rest)) or not _KEYWORDS.isdisjoint(names):
+                self.known[line] = self._parsed(line)
+                continue
+            if rest not in self.shapes:
+                got = self._parsed("".join(f"{x}q{i}q" for i, x in enumerate(rest[:-1])) + rest[-1])
+                self.shapes[rest] = got and tuple((x[:x.index(":") + 1], int(x[x.index(":") + 2:-1])) for x in got)
+            shape = self.shapes[rest]
+            self.known[line] = shape and tuple(kind + names[i].lower() for kind, i in shape)
+
+    def _parsed(self, line: str) -> tuple | bool | None:
+        try:
+            body = ast.parse(line).body
+        except _BROKEN:
+            return self._other(line)
+        return tuple(_gathered(body)) if body and all(isinstance(x, self._SIMPLE) for x in body) else self._other(line)
+
+    def fragments(self, text: str) -> list[tuple[str, int, int, list[str] | None]]:
+        """(qualified name, which of that name, bytes, labels) of each function; raises one of _BROKEN where ast.parse does."""
+        found = None if any(x in text for x in "\r\f\t\0") else self._brief(text)
+        if found is None:
+            lines, found = _LINE.findall(text), []
+            for qual, n, a, b, _ in _functions(ast.parse(text)):
+                source = "".join(lines[a - 1:b])
+                found.append((qual, n, len(source.encode()), _labels(source)))
+        return found
+
+    def _brief(self, text: str):
+        lines = text.split("\n")
+        keys = [x.lstrip(" ") for x in lines]
+        if len(self.known) > self.most:
+            self.known.clear()
+        if len(self.shapes) > self.most:
+            self.shapes.clear()
+        if new := {x for x in keys if x not in self.known}:
+            self._learn(new)
+        terms = [*map(self.known.__getitem__, keys)]
+        stop = terms.index(False) if False in terms else len(terms)  # what follows is left as it is: a fault there or before shows without a whole parse
+        terms[stop:] = [None] * (len(terms) - stop)
+        indents = [len(x) - len(k) for x, k in zip(lines, keys, strict=True)]
+        left = [x if t is None else "" if t2 is not None and i == i2 else " " * i + "0" for x, t, i, t2, i2 in zip(lines, terms, indents, [*terms[1:], None], [*indents[1:], -1], strict=True)]
+        tree = ast.parse("\n".join(left))
+        if stop < len(terms):
+            return None
+        functions = _functions(tree)
+        others = [i for i, x in enumerate(terms) if x is None and keys[i]]
+        out, plain = [], text.isascii()
+        for qual, n, a, b, node in functions:
+            own = terms[a - 1:b]
+            if any(i < indents[a - 1] for i in (indents[x] for x in others if a <= x < b)):
+                return None  # a comment to the left of its function
+            size = sum(map(len, lines[a - 1:b])) if plain else sum(len(x.encode()) for x in lines[a - 1:b])
+            out.append((qual, n, size + b - a + (b < len(lines)), sorted(_gathered([node]).union(*filter(None, own)))))
+        return out
+
+
+def labelled_fragments(files: DataFrame) -> DataFrame:
+    """files (project, path, text) -> (ident, size, labels) of each function in the files that can be parsed: extract_fragments's ident, its source's bytes and code_labels, without the source."""
+
+    def run(batches):
+        known, out, n_labels = Statements(), [], 0
+        def block():
+            ident, size, labels = zip(*out, strict=True)
+            ends = pa.array([None if x is None else y for x, y in zip([*labels, ()], [0, *accumulate(len(x or ()) for x in labels)], strict=True)], pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array([*chain.from_iterable(x for x in labels if x)], pa.string()))
+            return pa.RecordBatch.from_arrays([pa.array(ident, pa.string()), pa.array(size, pa.int64()), lists], names=["ident", "size", "labels"])
+
+        gc.disable()  # syntax trees hold no cycles
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for project, path, text in zip(*(batch.column(k).slice(at, 64).to_pylist() for k in range(3)), strict=True):
+                    try:
+                        found = known.fragments(text)
+                    except _BROKEN:
+                        continue
+                    for qual, n, size, labels in found:
+                        out.append((f"{project}/{path}:{qual}:{n}", size, labels))
+                        n_labels += len(labels or ())
+                if n_labels > 200_000:
+                    yield block()
+                    out, n_labels = [], 0
+        if out:
+            yield block()
+        gc.enable()
+
+    return files.select("project", "path", "text").mapInArrow(run, "ident string, size long, labels array<string>")
+
+
 def admission(size: Column, labels: Column, most_bytes: int = 20_000, least_labels: int = 2) -> Column:
     """Null for a fragment that is admitted, else the reason."""
     return (F.when(size > most_bytes, "fragment-byte-bound").when(labels.isNull(), "unreadable").when(F.size(labels) < least_labels, "fewer-than-two-labels"))

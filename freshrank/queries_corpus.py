@@ -29,8 +29,7 @@ def c1_extract_fragments(spark, sf_dir):
 
 
 def _code_bodies(spark, sf_dir):
-    f = corpus.extract_fragments(fx.code_files(spark, sf_dir)).where("reason is null")
-    return f.select("ident", F.octet_length("source").alias("size"), corpus.code_labels("source").alias("labels"))
+    return corpus.labelled_fragments(fx.code_files(spark, sf_dir))
 
 
 @query("""SELECT ident, CAST(len(labels) AS BIGINT) AS n_labels, md5(list_aggregate(labels, 'string_agg', ' ')) AS digest,

@@ -1,3 +1,6 @@
+import ast
+import io
+
 import duckdb
 import pandas as pd
 import pytest
@@ -93,6 +96,42 @@ def test_code(spark):
     assert labels[0].l == ["attr:load", "call:load", "name:deco", "name:x", "name:y"] and labels[1].l is None and labels[2].l is None
 
 
+def test_known_lines_give_what_whole_parses_give(spark):
+    """Labels and bytes of each function, from lines known by themselves or not: strings and brackets over lines, comments to the left, decorators, tabs, form feeds, nesting, faults."""
+    plain = "class A:\n    @deco\n    def f(self, x):\n        a.b(c)\n        a.b(c)\n        if x: return d.e\n        else:\n            raise g(h)\n        def inner(): i = j; k()\n    def f(self):\n        é.ö(x)\n"
+    texts = [plain, plain.rstrip("\n"), plain.replace("a.b(c)", "a.b(\n c)", 1), plain.replace("a.b(c)", "s = \"\"\"\nq.r(t)\n\"\"\"", 1), plain.replace("a.b(c)", "# note", 1), plain.replace("        a.b(c)", "# note: (", 1),
+             plain.replace("a.b(c)", "x = \\\n  y", 1), plain.replace("        ", "\t"), plain.replace("a.b(c)", "a.b(c)\f", 1), plain.replace("        a.b(c)\n", "\f\n        a.b(c)\n", 1), plain.replace("\n", "\r\n"),
+             plain.replace("        a.b(c)", "         a.b(c)", 1), plain + "def (", plain + ")", "x = (\ndef f(): pass\n)", "@a(b)\n@c\nasync def f():\n  await d\n  match e:\n    case g: h\n", "def f():\n    a\n  b\n", "", "a\u2028b()\ndef f(): c.d\n"]
+
+    def ask(f, text):
+        try:
+            return f(text)
+        except SyntaxError as e:
+            return type(e)
+
+    def whole(text):
+        lines = io.StringIO(text, newline="").readlines()
+        each = [(q, n, "".join(lines[a - 1:b])) for q, n, a, b, _ in corpus._functions(ast.parse(text))]
+        return [(q, n, len(x.encode()), corpus._labels(x)) for q, n, x in each]
+
+    for known in (corpus.Statements(), corpus.Statements(most=3)):
+        for text in texts * 2:
+            assert ask(known.fragments, text) == ask(whole, text), text
+    assert corpus.Statements()._brief(plain) == whole(plain)
+    df = spark.createDataFrame([("p", f"{i}.py", x) for i, x in enumerate(texts)], "project string, path string, text string")
+    want = corpus.extract_fragments(df).where("reason is null").select("ident", F.octet_length("source").alias("size"), corpus.code_labels("source").alias("labels"))
+    assert sorted(map(str, corpus.labelled_fragments(df).collect())) == sorted(map(str, want.collect()))
+    calls, parse = [], ast.parse
+    try:
+        corpus.ast.parse = lambda text, *a, **k: calls.append(len(text)) or parse(text, *a, **k)
+        known = corpus.Statements()
+        for _ in range(50):
+            known.fragments("def f():\n" + "".join(f"    a{i}.b(c)\n" for i in range(500)))
+    finally:
+        corpus.ast.parse = parse
+    assert sum(calls) < 60_000  # 50 whole parses of the file and its function: 650,000
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "t").mkdir()
     (tmp_path / "t" / "a.py").write_text("x = 1")
