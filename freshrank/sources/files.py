@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import fnmatch
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def read_sources(spark: SparkSession, root: str, glob: str = "*.py") -> tuple[DataFrame, DataFrame]:
-    """(files (path, text), excluded (path, reason)) of a tree of text files; those that are not UTF-8 are excluded."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+def pack(files: DataFrame, root: str) -> None:
+    """files (path, content) as a Parquet table: a tree of many small files in a few large ones, each a row with its path and its bytes."""
+    files.select("path", F.col("content").cast("binary").alias("content")).write.parquet(root)
+
+
+def _packed(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """(path, content) of a packed tree's files whose name fits glob (without braces)."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return spark.read.schema("path string, content binary").parquet(root).where(name.rlike("^" + fnmatch.translate(glob).replace(r"\Z", r"\z")))
+
+
+def read_sources(spark: SparkSession, root: str, glob: str = "*.py", packed: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(files (path, text), excluded (path, reason)) of a tree of text files, loose or packed; those that are not UTF-8 are excluded."""
+    raw = _packed(spark, root, glob) if packed else spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
     fine = F.is_valid_utf8(F.col("content").cast("string"))
     return (raw.where(fine).select("path", F.decode("content", "UTF-8").alias("text")),
             raw.where(~fine).select("path", F.lit("UnicodeDecodeError").alias("reason")))
@@ -28,9 +41,12 @@ def read_table_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def last_match_per_file(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """(path, found): the last match's first group in each text file; null where there is none."""
-    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+def last_match_per_file(spark: SparkSession, path: str, pattern: str, packed: bool = False) -> DataFrame:
+    """(path, found): the last match's first group in each text file, loose or packed; null where there is none."""
+    if packed:
+        raw = _packed(spark, path).select("path", F.col("content").cast("string").alias("value"))
+    else:
+        raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
     hits = F.regexp_extract_all("value", F.lit(pattern), F.lit(1))
     return raw.select("path", F.when(F.size(hits) > 0, F.element_at(hits, -1)).alias("found"))
 

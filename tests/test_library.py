@@ -147,6 +147,36 @@ def test_sources_and_sinks(spark, tmp_path):
     assert files.last_match_per_file(spark, str(tmp_path / "log"), r"Ran (\d+) tests").first().found == "12"
 
 
+def test_packed_tree(spark, tmp_path):
+    """As loose files, and files without bytes too: only names that fit, UTF-8 or excluded, an empty file, the last match; many files in few."""
+    rows = [("p/a.py", b"x = 1\n"), ("p/b.py", b"\xff\xfe"), ("p/q/c.py", b""), ("p/a.py.txt", b"no"), ("p/d.py", "é\r\n".encode())]
+    rows += [(f"m/{i}.py", b"Ran %d tests\nRan %d tests\n" % (i, i + 1)) for i in range(2000)]
+    for path, content in rows:
+        (tmp_path / "loose" / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "loose" / path).write_bytes(content)
+    files.pack(spark.createDataFrame(rows, "path string, content binary"), str(tmp_path / "packed"))
+    assert len(list((tmp_path / "packed").glob("*.parquet"))) < 20
+    cut = F.regexp_replace("path", "^.*/loose/", "").alias("path")
+    some = [files.read_sources(spark, str(tmp_path / x), "*.py", packed=x == "packed") for x in ("packed", "loose")]
+    (good, bad), (good2, bad2) = some
+    assert sorted(map(tuple, good.where("text <> ''").collect())) == sorted(map(tuple, good2.select(cut, "text").collect()))  # Spark skips loose files without bytes
+    assert sorted(map(tuple, bad.collect())) == sorted(map(tuple, bad2.select(cut, "reason").collect()))
+    assert good.count() == 2003 and [r.path for r in bad.collect()] == ["p/b.py"]
+    found = {r.path: r.found for r in files.last_match_per_file(spark, str(tmp_path / "packed"), r"Ran (\d+) tests", packed=True).collect()}
+    assert len(found) == 2005 and found["m/7.py"] == "8" and found["p/a.py"] is None
+
+
+@pytest.mark.parametrize("name", ["s1_read_sources"])
+def test_trees_of_customers_are_few_files(spark, sf_dir, tmp_path, name):
+    """Orders without a customer too, and none at all."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    for at, df in (("some", orders.unionByName(orders.limit(3).withColumn("o_custkey", F.lit(None).cast(orders.schema["o_custkey"].dataType)))), ("none", orders.limit(0))):
+        df.coalesce(1).write.parquet(str(tmp_path / at / "orders.parquet"))
+        con = duckdb.connect()
+        con.execute(f"create view orders as select * from read_parquet('{tmp_path}/{at}/orders.parquet/*.parquet')")
+        assert plain(queries.QUERIES[name](spark, str(tmp_path / at)).toPandas()) == plain(con.execute(queries.ORACLES[name]).df())
+
+
 def test_golden_diff(spark):
     a = spark.createDataFrame([(1, 0.5, "x"), (2, 1.0, "y")], "k int, v double, s string")
     b = spark.createDataFrame([(1, 0.5 + 1e-12, "x"), (3, 1.0, "y")], "k int, v double, s string")
