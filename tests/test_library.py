@@ -166,7 +166,7 @@ def test_packed_tree(spark, tmp_path):
     assert len(found) == 2005 and found["m/7.py"] == "8" and found["p/a.py"] is None
 
 
-@pytest.mark.parametrize("name", ["s1_read_sources"])
+@pytest.mark.parametrize("name", ["s1_read_sources", "s4_last_match"])
 def test_trees_of_customers_are_few_files(spark, sf_dir, tmp_path, name):
     """Orders without a customer too, and none at all."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
