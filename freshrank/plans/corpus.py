@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..operators.log import placed
 from ..sources.scratch import staged
@@ -301,17 +301,36 @@ def shortlist(sets: DataFrame, df: DataFrame, key: str, n: int, call_first: bool
             return rare
         return rare + heapq.nsmallest(n - len(rare), (x for x in labels if x in of), key=lambda x: (of[x], not x.startswith("call:"), x))
 
-    @F.pandas_udf(ArrayType(StringType()))
-    def some(sets: pd.Series) -> pd.Series:
-        def one(labels):
-            calls = [x for x in labels if x.startswith("call:")] if call_first else []
-            if len(calls) >= n > 0:
-                return first(calls, n)
-            return calls + first([x for x in labels if not x.startswith("call:")] if call_first else labels, n - len(calls))
+    def one(labels):
+        calls = [x for x in labels if x.startswith("call:")] if call_first else []
+        if len(calls) >= n > 0:
+            return first(calls, n)
+        return calls + first([x for x in labels if not x.startswith("call:")] if call_first else labels, n - len(calls))
+
+    def some(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):  # few sets at once as Python's strings
+                few = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([few.column(0), pa.array([x if x is None else one(x) for x in few.column(1).to_pylist()], pa.list_(pa.string()))], names=[key, "labels"])
+
+    return sets.select(key, "labels").mapInArrow(some, StructType([sets.schema[key], StructField("labels", ArrayType(StringType()))]))
 
-        return sets.map(one, na_action="ignore")
 
-    return sets.select(key, some("labels").alias("labels"))
+def plan_calls_first(seeds: DataFrame, key: str, n: int = 4) -> DataFrame:
+    """plan_rare of seeds (key, labels) with calls first, by how many of the seeds hold each label.
+
+    Where a seed has n calls, no other label of it can come first. So there only calls are joined with frequencies, and other labels are counted only if a seed with
+    fewer calls holds them.
+    """
+    is_call = lambda x: x.startswith("call:")
+    split = staged(seeds.select(key, F.filter("labels", is_call).alias("calls"), F.filter("labels", lambda x: ~is_call(x)).alias("others")), "calls")
+    enough = F.size("calls") >= n
+    needed = staged(split.where(~enough).select(F.explode("others").alias("label")).distinct(), "needed")
+    others = split.select(F.explode("others").alias("label"))
+    others = others.join(F.broadcast(needed) if needed.count() <= 1 << 17 else needed, "label", "left_semi").groupBy("label").agg(F.count("*").alias("df"))
+    df = staged(label_df(split.select(F.col("calls").alias("labels"))).unionByName(others), "df")
+    first = split.select(key, F.when(enough, F.col("calls")).otherwise(F.concat("calls", "others")).alias("labels"))
+    return plan_rare(shortlist(first, df, key, n, call_first=True), df, key, n, call_first=True)
 
 
 def plan_stable_labels(versions: DataFrame, base: DataFrame, df: DataFrame, key: str, n: int = 4, bodies: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:

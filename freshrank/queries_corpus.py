@@ -41,8 +41,7 @@ def c2_code_labels(spark, sf_dir):
 
 @query("""SELECT ident, pos, label FROM (SELECT ident, label, row_number() OVER (PARTITION BY ident ORDER BY NOT starts_with(label, 'call:'), df, label) AS pos FROM code_terms JOIN code_df USING (label)) WHERE pos <= 4""", CODE)
 def c8_plan_calls_first(spark, sf_dir):
-    b = staged(_code_bodies(spark, sf_dir), "code")
-    return corpus.plan_rare(b, corpus.label_df(b), "ident", call_first=True).select("ident", *_long("pos"), "label")
+    return corpus.plan_calls_first(_code_bodies(spark, sf_dir), "ident").select("ident", *_long("pos"), "label")
 
 
 @query("""SELECT CAST(shard AS BIGINT) AS shard, ident, body FROM (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY ident) - 1 AS nth, count(*) OVER (PARTITION BY shard) AS len FROM initial)

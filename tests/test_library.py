@@ -339,6 +339,15 @@ def test_shortlist_keeps_the_first(spark):
     assert {r.k: len(r.labels) for r in corpus.shortlist(d, f, "k", 2).collect()}["k1"] == 2
 
 
+def test_plans_with_calls_first(spark):
+    """As plan_rare with all labels joined: seeds with more calls than places, as many, fewer, none, no labels, null."""
+    sets = [(f"k{i:02d}", [f"call:c{j}" for j in range(9) if (i * 7 + j * j) % 5 < i % 4] + [f"name:n{j}" for j in range(6) if (i + j) % 3]) for i in range(40)] + [("none", []), ("null", None)]
+    seeds = spark.createDataFrame(sets, "k string, labels array<string>")
+    for n in (1, 3, 4):
+        got, want = corpus.plan_calls_first(seeds, "k", n), corpus.plan_rare(seeds, corpus.label_df(seeds), "k", n, call_first=True)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 40 * n - 40
+
+
 def test_stable_plans_of_bodies(spark):
     """Versions of bodies that many share give the plans that sets of labels give."""
     held = [(f"f{i:02d}", v, f"b{(i * 7 + v * v) % 13}") for i in range(20) for v in range(1 + i % 6)]
